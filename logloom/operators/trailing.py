@@ -8,7 +8,7 @@ time bucket would still break on a hot bucket or on many logs with one time.
 The count is therefore put together from bounded pieces:
 
 * *cells* of 10 ms per source, counted with partial aggregation; the 30,000
-  cells before a log's cell come from a range frame over those counts;
+  cells before a log's cell come from a running sum over those counts;
 * inside a cell, the counts per distinct time, less what leaves the window;
 * among logs with one time, the counts per block of 2**20 ids, and a row number
   inside the block. Ids are unique, so no block has more rows than that.
@@ -43,15 +43,26 @@ def blocks(logs: DataFrame) -> DataFrame:
     """``(source, _t, _block, _n, _base)``: a block's logs and the count before its first one."""
     counted = _placed(logs).groupBy(*_PLACE).agg(F.count(F.lit(1)).alias("_n"))
 
-    # Logs in the full cells of the span before each cell. The frame is taken
-    # per source and span-long stretch; each cell also serves the next stretch.
+    # Logs in the full cells of the span before each cell, as a running sum per
+    # source and span-long stretch: cells of this stretch and the last one add
+    # to it, and those of the last one leave it a span later. A running sum
+    # costs one addition per row, a sliding frame would add up 30,000 cells.
     cells = counted.groupBy("source", _div(F.col("_t"), CELL).alias("_cell")).agg(F.sum("_n").alias("_n"))
     stretch = _div(F.col("_cell"), _STEPS)
-    copies = cells.select("source", "_cell", "_n", F.explode(F.array(stretch, stretch + 1)).alias("_stretch"))
-    frame = Window.partitionBy("source", "_stretch").orderBy("_cell").rangeBetween(-_STEPS, -1)
+
+    def step(place: Column, at: Column, value: Column, own: bool) -> Column:
+        return F.struct(place.alias("_stretch"), at.alias("_cell"), value.alias("_v"), F.lit(own).alias("_own"))
+
+    steps = F.inline(F.array(
+        step(stretch, F.col("_cell"), F.col("_n"), True),
+        step(stretch + 1, F.col("_cell"), F.col("_n"), False),
+        step(stretch + 1, F.col("_cell") + _STEPS, -F.col("_n"), False),
+    ))
+    frame = Window.partitionBy("source", "_stretch").orderBy("_cell").rangeBetween(Window.unboundedPreceding, -1)
     before = (
-        copies.withColumn("_v", F.coalesce(F.sum("_n").over(frame), F.lit(0)))
-        .filter(F.col("_stretch") == stretch)
+        cells.select("source", steps)
+        .withColumn("_v", F.coalesce(F.sum("_v").over(frame), F.lit(0)))
+        .filter("_own")
         .select("source", "_cell", (F.col("_cell") * CELL - 1).alias("_t"), F.lit(None).cast("long").alias("_block"), F.lit(None).cast("long").alias("_n"), "_v")
     )
     # Arrivals add to the running count of their cell; one span later they leave
