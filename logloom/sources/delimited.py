@@ -7,8 +7,8 @@ import csv
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logloom.operators.validate import EMPTY_FILE, NO_HEADER, NO_ROWS, Report, file_error, normalize_header, validate
-from logloom.session import prepare, staged
+from logloom.operators.validate import normalize_header
+from logloom.session import staged
 
 DELIMITERS = ",\t;|"
 SAMPLE_CHARACTERS = 4096
@@ -73,17 +73,3 @@ def number_rows(rows: DataFrame) -> DataFrame:
         .withColumn("row_no", F.col("_seq") + F.col("_shift"))
         .drop("_file", "_block", "_seq", "_shift")
     )
-
-
-def validate_file(spark: SparkSession, path: str, sep: str | None = None, multi_line: bool = True) -> Report:
-    """Read and validate; a file that has no rows gives a single file-level error."""
-    prepare(spark)
-    blank = spark.read.text(path).filter(F.trim(F.replace("value", F.lit("\ufeff"), F.lit(""))) != "").isEmpty()
-    if blank:
-        return file_error(spark, "file", EMPTY_FILE)
-    rows = read_delimited(spark, path, sep, multi_line)
-    if rows is None:
-        return file_error(spark, "header", NO_HEADER)
-    if rows.isEmpty():
-        return file_error(spark, "file", NO_ROWS)
-    return validate(rows)
