@@ -26,7 +26,7 @@ SPAN = schema.WINDOW_SECONDS * 1_000_000
 CELL = 10_000
 BLOCK_BITS = 20
 _STEPS = SPAN // CELL
-_PLACE = ["source", "_t", "_block"]
+_PLACE = ["_source", "_t", "_block"]
 
 
 def _div(value: Column, by: int) -> Column:
@@ -36,18 +36,19 @@ def _div(value: Column, by: int) -> Column:
 def _placed(logs: DataFrame) -> DataFrame:
     """Logs with time in microseconds and the block of their id."""
     time = F.coalesce(micros(F.col("timestamp")), F.lit(0))
-    return logs.withColumns({"_t": time, "_block": F.shiftright(F.col("id").cast("long"), BLOCK_BITS)})
+    source = F.coalesce("source", F.lit(""))
+    return logs.withColumns({"_source": source, "_t": time, "_block": F.shiftright(F.col("id").cast("long"), BLOCK_BITS)})
 
 
 def blocks(logs: DataFrame) -> DataFrame:
-    """``(source, _t, _block, _n, _base)``: a block's logs and the count before its first one."""
+    """``(_source, _t, _block, _n, _base)``: a block's logs and the count before its first one."""
     counted = _placed(logs).groupBy(*_PLACE).agg(F.count(F.lit(1)).alias("_n"))
 
     # Logs in the full cells of the span before each cell, as a running sum per
     # source and span-long stretch: cells of this stretch and the last one add
     # to it, and those of the last one leave it a span later. A running sum
     # costs one addition per row, a sliding frame would add up 30,000 cells.
-    cells = counted.groupBy("source", _div(F.col("_t"), CELL).alias("_cell")).agg(F.sum("_n").alias("_n"))
+    cells = counted.groupBy("_source", _div(F.col("_t"), CELL).alias("_cell")).agg(F.sum("_n").alias("_n"))
     stretch = _div(F.col("_cell"), _STEPS)
 
     def step(place: Column, at: Column, value: Column, own: bool) -> Column:
@@ -58,26 +59,35 @@ def blocks(logs: DataFrame) -> DataFrame:
         step(stretch + 1, F.col("_cell"), F.col("_n"), False),
         step(stretch + 1, F.col("_cell") + _STEPS, -F.col("_n"), False),
     ))
-    frame = Window.partitionBy("source", "_stretch").orderBy("_cell").rangeBetween(Window.unboundedPreceding, -1)
+    frame = Window.partitionBy("_source", "_stretch").orderBy("_cell").rangeBetween(Window.unboundedPreceding, -1)
+    nothing = F.lit(None).cast("long")
     before = (
-        cells.select("source", steps)
+        cells.select("_source", steps)
         .withColumn("_v", F.coalesce(F.sum("_v").over(frame), F.lit(0)))
         .filter("_own")
-        .select("source", "_cell", (F.col("_cell") * CELL - 1).alias("_t"), F.lit(None).cast("long").alias("_block"), F.lit(None).cast("long").alias("_n"), "_v")
+        .select(
+            "_source", "_cell", (F.col("_cell") * CELL - 1).alias("_t"), nothing.alias("_block"), nothing.alias("_n"), "_v"
+        )
     )
     # Arrivals add to the running count of their cell; one span later they leave
     # it again. The cells' own opening value stands just before their first time.
-    arrive = counted.select("source", _div(F.col("_t"), CELL).alias("_cell"), "_t", "_block", "_n", F.col("_n").alias("_v"))
-    leave = counted.select(
-        "source", (_div(F.col("_t"), CELL) + _STEPS).alias("_cell"), (F.col("_t") + SPAN).alias("_t"),
-        F.lit(None).cast("long").alias("_block"), F.lit(None).cast("long").alias("_n"), (-F.col("_n")).alias("_v"),
-    )
-    cell = Window.partitionBy("source", "_cell")
+    own = _div(F.col("_t"), CELL)
+
+    def move(at: Column, time: Column, block: Column, number: Column, value: Column) -> Column:
+        return F.struct(
+            at.alias("_cell"), time.alias("_t"), block.alias("_block"), number.alias("_n"), value.alias("_v")
+        )
+
+    moves = counted.select("_source", F.inline(F.array(
+        move(own, F.col("_t"), F.col("_block"), F.col("_n"), F.col("_n")),
+        move(own + _STEPS, F.col("_t") + SPAN, nothing, nothing, -F.col("_n")),
+    )))
+    cell = Window.partitionBy("_source", "_cell")
     earlier = F.sum("_v").over(cell.orderBy("_t").rangeBetween(Window.unboundedPreceding, -1))
-    same_time = Window.partitionBy("source", "_cell", "_t").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    same_time = Window.partitionBy("_source", "_cell", "_t").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     peers = F.coalesce(F.sum("_n").over(same_time), F.lit(0))
     return (
-        arrive.unionByName(leave).unionByName(before)
+        moves.unionByName(before)
         .withColumn("_base", F.coalesce(earlier, F.lit(0)) + peers)
         .filter(F.col("_block").isNotNull())
         .select(*_PLACE, "_n", "_base")
