@@ -194,4 +194,5 @@ def export_rows(logs: DataFrame) -> DataFrame:
 
 def export_csv(logs: DataFrame, path: str) -> None:
     """Write the export as CSV parts in order, each with the header."""
-    export_rows(logs).write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+    writer = export_rows(logs).write.mode("overwrite").option("header", True).option("escape", '"')
+    writer.option("nullValue", "").option("emptyValue", "").csv(path)
