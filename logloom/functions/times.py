@@ -1,8 +1,9 @@
-"""Reading the accepted time layouts with one pattern and one cast each.
+"""Reading the accepted time layouts with one cast.
 
-The cast of Spark accepts one-digit fields and never throws, so each layout is
-first rewritten to ``y-M-d H:m:s[.f]`` and then cast, rather than trying a
-formatter per layout.
+Spark's cast to a timestamp accepts one-digit fields, drops an offset (the wall
+clock stays) and never throws. Each layout is rewritten to what the cast reads,
+in one chain that mentions the text once, and what does not then look like an
+accepted time is cut to empty text.
 """
 
 from __future__ import annotations
@@ -13,41 +14,37 @@ from pyspark.sql import functions as F
 from logloom.functions.text import filled, null_words, strip
 
 _CLOCK = r"(\d{1,2}:\d{1,2}:\d{1,2})"
-_CANONICAL = r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}(\.\d{1,6})?$"
-# year first with dashes; the offset, if any, is dropped: wall clock is kept
-_DASHED = rf"^(\d{{4}}-\d{{1,2}}-\d{{1,2}})(?:\s+|T){_CLOCK}(\.\d{{1,6}})?$"
-_OFFSET = rf"^(\d{{4}}-\d{{1,2}}-\d{{1,2}})T{_CLOCK}[+-]\d{{2}}:?\d{{2}}(?::?\d{{2}})?$"
+_DASHED = rf"^(\d{{4}}-\d{{1,2}}-\d{{1,2}})(?:\s+|T){_CLOCK}(\.\d{{1,6}})?(?:[+-]\d{{2}}:?\d{{2}}(?::?\d{{2}})?)?$"
 _SLASHED = rf"^(\d{{4}})/(\d{{1,2}})/(\d{{1,2}})\s+{_CLOCK}$"
+# read as month first only when the second number cannot be a month
+_MONTH_FIRST = rf"^(\d{{1,2}})/(1[3-9]|2\d|3[01])/(\d{{4}})\s+{_CLOCK}$"
 _DAY_FIRST = rf"^(\d{{1,2}})([-/])(\d{{1,2}})\2(\d{{4}})\s+{_CLOCK}$"
-_MONTH_FIRST = rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}})\s+{_CLOCK}$"
 _DATE_DAY_FIRST = r"^(\d{1,2})-(\d{1,2})-(\d{4})$"
-_DATE = r"^\d{4}-\d{1,2}-\d{1,2}$"
-_ISO_HEAD = r"^\d{4}-\d{2}-\d{2}"
 _COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
+_REWRITTEN = r"\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}(?:\.\d{1,6})?"
+_ISO = r"\d{4}-\d{2}-\d{2}.*"
+_DATE = r"\d{4}-\d{1,2}-\d{1,2}"
 
 
-def _cast(value: Column) -> Column:
-    return value.try_cast("timestamp_ntz")
+def _without_zone(value: Column) -> Column:
+    return strip(F.replace(value, F.lit("Z"), F.lit("")))
 
 
-def _rewritten(value: Column) -> Column:
-    text = F.regexp_replace(value, _DASHED, "$1 $2$3")
-    text = F.regexp_replace(text, _OFFSET, "$1 $2")
-    text = F.regexp_replace(text, _SLASHED, "$1-$2-$3 $4")
-    text = F.regexp_replace(text, _DAY_FIRST, "$4-$3-$1 $5")
-    return F.when(text.rlike(_CANONICAL), text)
+def _read(text: Column, rewrites: list[tuple[str, str]], accepted: tuple[str, ...]) -> Column:
+    for pattern, form in rewrites:
+        text = F.regexp_replace(text, pattern, form)
+    return F.regexp_extract(text, f"^(?:{'|'.join(accepted)})$", 0).try_cast("timestamp_ntz")
 
 
-def _iso(value: Column) -> Column:
-    compact = F.regexp_replace(value, _COMPACT, "$1-$2-$3")
-    return F.when(compact.rlike(_ISO_HEAD), _cast(compact))
+_LOG_FORMS = [
+    (_DASHED, "$1 $2$3"), (_SLASHED, "$1-$2-$3 $4"), (_DAY_FIRST, "$4-$3-$1 $5"), (_COMPACT, "$1-$2-$3"),
+]
+_LOOSE_FORMS = [(_MONTH_FIRST, "$3-$1-$2 $4"), (_DATE_DAY_FIRST, "$3-$2-$1"), *_LOG_FORMS]
 
 
 def parse_time(value: Column) -> Column:
     """Accepted log time as a wall-clock timestamp, null when unreadable."""
-    text = null_words(filled(value), ("nan", "none", "null"))
-    bare = strip(F.replace(text, F.lit("Z"), F.lit("")))
-    return F.coalesce(_cast(_rewritten(bare)), _iso(text))
+    return _read(_without_zone(strip(value)), _LOG_FORMS, (_REWRITTEN, _ISO))
 
 
 def iso_utc(value: Column) -> Column:
@@ -56,14 +53,5 @@ def iso_utc(value: Column) -> Column:
 
 def normalize_time(value: Column) -> Column:
     """Time text as ``yyyy-MM-ddTHH:mm:ssZ``; unreadable text comes back unchanged."""
-    text = null_words(filled(value), ("nan", "nat", "none", "null", "n/a"))
-    bare = strip(F.replace(text, F.lit("Z"), F.lit("")))
-    parsed = F.coalesce(
-        _cast(_rewritten(bare)),
-        F.when(bare.rlike(_DATE), _cast(bare)),
-        F.when(bare.rlike(_DATE_DAY_FIRST), _cast(F.regexp_replace(bare, _DATE_DAY_FIRST, "$3-$2-$1"))),
-        # reached only when day-first did not give a date
-        F.when(bare.rlike(_MONTH_FIRST), _cast(F.regexp_replace(bare, _MONTH_FIRST, "$3-$1-$2 $4"))),
-        _iso(text),
-    )
-    return F.coalesce(iso_utc(parsed), text)
+    read = _read(_without_zone(strip(value)), _LOOSE_FORMS, (_REWRITTEN, _ISO, _DATE))
+    return F.coalesce(iso_utc(read), null_words(filled(value), ("nan", "nat", "none", "null", "n/a")))

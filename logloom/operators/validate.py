@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from logloom import schema
 from logloom.functions.text import filled, first_filled
 from logloom.functions.times import parse_time
+from logloom.session import staged
 
 _NULL_WORDS = ("nan", "none", "null")
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
@@ -224,8 +225,12 @@ class Report:
 
 
 def validate(raw: DataFrame) -> Report:
-    """Validate a batch of text rows that carries a unique ``row_no``."""
-    checked = check_rows(normalize_names(raw))
+    """Validate a batch of text rows that carries a unique ``row_no``.
+
+    The checked rows are staged: records, errors and counts all come from them,
+    and reading them again is cheaper than parsing the text again.
+    """
+    checked = staged(check_rows(normalize_names(raw)))
     valid = mark_duplicates(valid_rows(checked))
     return Report(valid, error_rows(checked), summary(checked))
 
