@@ -3,27 +3,36 @@
 Counted are logs of the same source with a time in ``[t - 300 s, t]`` that do
 not come after the log in ``(time, id)`` order.
 
-A window over a source would sort it in one task, and one over a source and a
-time bucket would still break on a hot bucket or on many logs with one time.
-The count is therefore put together from bounded pieces:
+The busiest source and five-minute stretch is measured first. While its logs fit
+in one task, one window over source and stretch does (:func:`by_stretch`). When
+not, because a source is hot, a stretch is hot, or many logs share one time, the
+count is put together from pieces that are bounded whatever the data
+(:func:`blocks`):
 
 * *cells* of 10 ms per source, counted with partial aggregation; the 30,000
   cells before a log's cell come from a running sum over those counts;
 * inside a cell, the counts per distinct time, less what leaves the window;
 * among logs with one time, the counts per block of 2**20 ids, and a row number
   inside the block. Ids are unique, so no block has more rows than that.
+
+Everywhere a log adds to a running sum when it arrives and is taken off again a
+span later: one addition per row, where a sliding frame would add up its rows.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom import schema
 from logloom.functions.text import micros
+from logloom.session import staged
 
 SPAN = schema.WINDOW_SECONDS * 1_000_000
 CELL = 10_000
+STRETCH_ROWS = 1_000_000
 BLOCK_BITS = 20
 _STEPS = SPAN // CELL
 _PLACE = ["_source", "_t", "_block"]
@@ -40,14 +49,54 @@ def _placed(logs: DataFrame) -> DataFrame:
     return logs.withColumns({"_source": source, "_t": time, "_block": F.shiftright(F.col("id").cast("long"), BLOCK_BITS)})
 
 
+@dataclass(frozen=True)
+class Counts:
+    """How a table is counted: by stretch, or from its staged blocks."""
+
+    blocks: DataFrame | None = None
+
+
+def take_counts(logs: DataFrame) -> Counts:
+    """Measure the busiest stretch (one row) and stage the blocks when it is too busy."""
+    stretches = _placed(logs).groupBy("_source", _div(F.col("_t"), SPAN)).agg(F.count(F.lit(1)).alias("_n"))
+    busiest = stretches.agg(F.max("_n")).first()[0] or 0
+    return Counts() if busiest <= STRETCH_ROWS else Counts(staged(blocks(logs)))
+
+
+def by_stretch(logs: DataFrame, name: str = "n_5m") -> DataFrame:
+    """Logs with the trailing count from one window over source and stretch.
+
+    A stretch also gets, as narrow rows, the arrivals of the stretch before and
+    the times at which these leave the window.
+    """
+    placed = _placed(logs).withColumn("_stretch", _div(F.col("_t"), SPAN))
+
+    def move(time: Column, value: int) -> Column:
+        return F.struct(time.alias("_t"), F.lit(value).alias("_v"))
+
+    carried = placed.select(
+        "_source", (F.col("_stretch") + 1).alias("_stretch"),
+        F.inline(F.array(move(F.col("_t"), 1), move(F.col("_t") + SPAN, -1))),
+    ).withColumn("_own", F.lit(False))
+    own = placed.drop("_block").withColumns({"_v": F.lit(1), "_own": F.lit(True)})
+    stretch = Window.partitionBy("_source", "_stretch")
+    earlier = F.sum("_v").over(stretch.orderBy("_t").rangeBetween(Window.unboundedPreceding, -1))
+    peers = F.row_number().over(Window.partitionBy("_source", "_stretch", "_t", "_own").orderBy("id"))
+    return (
+        own.unionByName(carried, allowMissingColumns=True)
+        .withColumn(name, F.coalesce(earlier, F.lit(0)) + peers)
+        .filter("_own")
+        .select(*logs.columns, name)
+    )
+
+
 def blocks(logs: DataFrame) -> DataFrame:
     """``(_source, _t, _block, _n, _base)``: a block's logs and the count before its first one."""
     counted = _placed(logs).groupBy(*_PLACE).agg(F.count(F.lit(1)).alias("_n"))
 
     # Logs in the full cells of the span before each cell, as a running sum per
     # source and span-long stretch: cells of this stretch and the last one add
-    # to it, and those of the last one leave it a span later. A running sum
-    # costs one addition per row, a sliding frame would add up 30,000 cells.
+    # to it, and those of the last one leave it a span later.
     cells = counted.groupBy("_source", _div(F.col("_t"), CELL).alias("_cell")).agg(F.sum("_n").alias("_n"))
     stretch = _div(F.col("_cell"), _STEPS)
 
@@ -94,17 +143,31 @@ def blocks(logs: DataFrame) -> DataFrame:
     )
 
 
-def with_trailing_count(logs: DataFrame, name: str = "n_5m", counted: DataFrame | None = None) -> DataFrame:
-    """Logs with the trailing count; they move once, to their block."""
-    base = (counted if counted is not None else blocks(logs)).select(*_PLACE, "_base")
+def from_blocks(logs: DataFrame, counted: DataFrame, name: str = "n_5m") -> DataFrame:
+    """Logs with the trailing count from their blocks; they move once, to their block."""
     order = Window.partitionBy(*_PLACE).orderBy("id")
     return (
-        _placed(logs).join(base, _PLACE)
+        _placed(logs).join(counted.select(*_PLACE, "_base"), _PLACE)
         .withColumn(name, F.col("_base") + F.row_number().over(order))
         .select(*logs.columns, name)
     )
 
 
+def with_trailing_count(logs: DataFrame, counts: Counts | None = None, name: str = "n_5m") -> DataFrame:
+    """Logs with the trailing count, by the way that suits their busiest stretch."""
+    counts = counts or take_counts(logs)
+    return by_stretch(logs, name) if counts.blocks is None else from_blocks(logs, counts.blocks, name)
+
+
+def histogram(logs: DataFrame, counts: Counts | None = None) -> DataFrame:
+    """``(v, n)``: how many logs have each trailing count."""
+    counts = counts or take_counts(logs)
+    if counts.blocks is not None:
+        return count_histogram(counts.blocks)
+    narrow = logs.select("id", "timestamp", "source")
+    return by_stretch(narrow, "v").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+
+
 def count_histogram(counted: DataFrame) -> DataFrame:
     """How many logs have each trailing count, from the blocks alone.
 
@@ -150,9 +213,9 @@ def quantile(histogram: DataFrame, q: float, width: int = 1 << 16) -> DataFrame:
     )
 
 
-def burst_threshold(counted: DataFrame) -> DataFrame:
-    """One row ``threshold``: the 95th percentile of the counts, at least 5; 5 below ten logs."""
-    found = quantile(count_histogram(counted), 0.95)
+def burst_threshold(values: DataFrame) -> DataFrame:
+    """One row ``threshold`` of a histogram of counts: the 95th percentile, at least 5; 5 below ten logs."""
+    found = quantile(values, 0.95)
     return found.select(
         F.when(F.col("n") >= 10, F.greatest("value", F.lit(schema.MIN_BURST))).otherwise(schema.MIN_BURST).alias("threshold")
     )

@@ -12,31 +12,24 @@ from logloom.operators import forest
 from logloom.operators.profile import Profile, counts_of, notable_ips, take_profile, with_location
 from logloom.operators.signals import with_score, with_signals
 from logloom.operators.skew import lookup
-from logloom.operators.trailing import blocks, burst_threshold, with_trailing_count
+from logloom.operators.trailing import Counts, burst_threshold, histogram, take_counts, with_trailing_count
 from logloom.session import prepare, staged
 
 RESULT = ("anomaly", "anomaly_score", "anomaly_reason")
 
 
-def rule_features(logs: DataFrame, profile: Profile) -> DataFrame:
-    """Logs with everything the rules read, ``is_outlier`` false.
-
-    The block counts serve both the threshold and the rows, so they are staged.
-    """
-    counted = staged(blocks(logs))
-    threshold = burst_threshold(counted).first()["threshold"]
-    placed = with_trailing_count(with_location(logs), counted=counted)
+def rule_features(logs: DataFrame, profile: Profile, counts: Counts) -> DataFrame:
+    """Logs with location, trailing count and ip counts."""
+    placed = with_trailing_count(with_location(logs), counts)
     ips = notable_ips(profile.table)
-    known = lookup(placed, ips, "ip_address", "id", profile.sizes.get("ip", 0), profile.total)
-    return known.withColumns({"burst_threshold": F.lit(float(threshold)), "is_outlier": F.lit(False)})
+    return lookup(placed, ips, "ip_address", "id", profile.sizes.get("ip", 0), profile.total)
 
 
-def forest_features(featured: DataFrame, profile: Profile) -> DataFrame:
-    """``featured`` plus source and event counts and the seven forest features."""
-    rows = featured
+def forest_features(rows: DataFrame, profile: Profile) -> DataFrame:
+    """``rows`` plus source and event counts and the seven forest features."""
     for kind, key in (("source", "source"), ("event", "event_type")):
-        counts = counts_of(profile.table, kind, key).withColumn(f"n_{kind}", F.col("n"))
-        rows = lookup(rows, counts, key, "id", profile.sizes.get(kind, 0), profile.total)
+        found = counts_of(profile.table, kind, key).withColumn(f"n_{kind}", F.col("n"))
+        rows = lookup(rows, found, key, "id", profile.sizes.get(kind, 0), profile.total)
     return rows.withColumns(forest.feature_columns())
 
 
@@ -44,17 +37,22 @@ def features(
     logs: DataFrame, profile: Profile, use_forest: bool = True, contamination: float = schema.CONTAMINATION,
     settings: forest.Settings = forest.Settings(),
 ) -> DataFrame:
-    """All inputs of the signals, with the forest's flag when asked for.
+    """All inputs of the signals: ``rule_features``, ``burst_threshold`` and ``is_outlier``.
 
-    The forest reads its rows three times (sample, quantile, flag), so they are
-    staged once instead of repeating the joins.
+    With the forest the rows are read four times (counts, sample, quantile,
+    flag), so they are staged once instead of repeating the joins. Without it
+    the threshold comes from a pass over three columns.
     """
-    rows = rule_features(logs, profile)
-    if not use_forest or profile.total < forest.MIN_ROWS:
-        return rows
-    stored = staged(forest_features(rows, profile))
-    flagged = forest.with_outliers(stored.drop("is_outlier"), profile.total, contamination, settings)
-    return flagged.select(*rows.columns)
+    counts = take_counts(logs)
+    rows = rule_features(logs, profile, counts)
+    if use_forest and profile.total >= forest.MIN_ROWS:
+        stored = staged(forest_features(rows, profile))
+        values = stored.groupBy(F.col("n_5m").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        flagged = forest.with_outliers(stored, profile.total, contamination, settings).select(*rows.columns, "is_outlier")
+    else:
+        values, flagged = histogram(logs, counts), rows.withColumn("is_outlier", F.lit(False))
+    threshold = burst_threshold(values).first()["threshold"]
+    return flagged.withColumn("burst_threshold", F.lit(float(threshold)))
 
 
 def detect(
