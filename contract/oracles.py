@@ -398,7 +398,7 @@ ORACLES = {
       UNION ALL SELECT 'source', source, count(*) FROM located GROUP BY source
       UNION ALL SELECT 'location', location, count(*) FROM located WHERE location IS NOT NULL GROUP BY location"""),
     "d_trailing_count": q(WINDOWED, "SELECT id, n_5m FROM counted"),
-    "d_trailing_blocks": q(WINDOWED, "SELECT id, n_5m FROM counted"),
+    "d_trailing_busy": q(WINDOWED, "SELECT id, n_5m FROM counted"),
     "d_burst_threshold": q(WINDOWED, "SELECT threshold FROM burst"),
     "d_signals": q(_signals(), """SELECT id, (row_number() OVER (PARTITION BY id ORDER BY ord) - 1)::INTEGER AS place, code, points::INTEGER AS points, text FROM signals"""),
     "d_score": q(SCORED, "SELECT id, anomaly, anomaly_score FROM scored"),

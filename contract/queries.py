@@ -296,14 +296,14 @@ def d_trailing_count(spark, folder):
     return trailing.with_trailing_count(views.logs(spark, folder)).select("id", "n_5m")
 
 
-def d_trailing_blocks(spark, folder):
+def d_trailing_busy(spark, folder):
     """The same counts by the way that hot sources and stretches need."""
     logs = views.logs(spark, folder)
-    return trailing.from_blocks(logs, trailing.blocks(logs)).select("id", "n_5m")
+    return trailing.with_trailing_count(logs, trailing.blocks(logs, busy=True)).select("id", "n_5m")
 
 
 def d_burst_threshold(spark, folder):
-    return trailing.burst_threshold(trailing.histogram(views.logs(spark, folder)))
+    return trailing.burst_threshold(trailing.histogram(trailing.blocks(views.logs(spark, folder))))
 
 
 def d_signals(spark, folder):

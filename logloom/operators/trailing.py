@@ -3,17 +3,17 @@
 Counted are logs of the same source with a time in ``[t - 300 s, t]`` that do
 not come after the log in ``(time, id)`` order.
 
-The busiest source and five-minute stretch is measured first. While its logs fit
-in one task, one window over source and stretch does (:func:`by_stretch`). When
-not, because a source is hot, a stretch is hot, or many logs share one time, the
-count is put together from pieces that are bounded whatever the data
-(:func:`blocks`):
-
-* *cells* of 10 ms per source, counted with partial aggregation; the 30,000
-  cells before a log's cell come from a running sum over those counts;
-* inside a cell, the counts per distinct time, less what leaves the window;
-* among logs with one time, the counts per block of 2**20 ids, and a row number
-  inside the block. Ids are unique, so no block has more rows than that.
+Logs are first counted per source, time and block of 2**20 ids, with partial
+aggregation. Ids are unique, so no block has more rows than that, and a row
+number inside the block completes the count. What lies before a block comes from
+the counts alone, in one of two ways:
+
+* :func:`_over_stretches`: one window over source and five-minute stretch, while
+  the busiest stretch, which is measured, fits in one task;
+* :func:`_over_cells` otherwise, because a source or a stretch is hot: *cells* of
+  10 ms per source; the 30,000 cells before a block's cell come from a running
+  sum over their counts, and inside a cell the counts per distinct time are
+  added, less what leaves the window. Each piece is bounded whatever the data.
 
 Everywhere a log adds to a running sum when it arrives and is taken off again a
 span later: one addition per row, where a sliding frame would add up its rows.
@@ -21,8 +21,6 @@ span later: one addition per row, where a sliding frame would add up its rows.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,51 +47,51 @@ def _placed(logs: DataFrame) -> DataFrame:
     return logs.withColumns({"_source": source, "_t": time, "_block": F.shiftright(F.col("id").cast("long"), BLOCK_BITS)})
 
 
-@dataclass(frozen=True)
-class Counts:
-    """How a table is counted: by stretch, or from its staged blocks."""
+def is_busy(logs: DataFrame) -> bool:
+    """Whether some source has too many logs in a five-minute stretch for one task."""
+    stretches = _placed(logs).groupBy("_source", _div(F.col("_t"), SPAN)).agg(F.count(F.lit(1)).alias("_n"))
+    return (stretches.agg(F.max("_n")).first()[0] or 0) > STRETCH_ROWS
 
-    blocks: DataFrame | None = None
 
+def blocks(logs: DataFrame, busy: bool | None = None) -> DataFrame:
+    """``(_source, _t, _block, _n, _base)``: a block's logs and the count before its first one."""
+    busy = is_busy(logs) if busy is None else busy
+    counted = _placed(logs).groupBy(*_PLACE).agg(F.count(F.lit(1)).alias("_n"))
+    return _over_cells(counted) if busy else _over_stretches(counted)
 
-def take_counts(logs: DataFrame) -> Counts:
-    """Measure the busiest stretch (one row) and stage the blocks when it is too busy."""
-    stretches = _placed(logs).groupBy("_source", _div(F.col("_t"), SPAN)).agg(F.count(F.lit(1)).alias("_n"))
-    busiest = stretches.agg(F.max("_n")).first()[0] or 0
-    return Counts() if busiest <= STRETCH_ROWS else Counts(staged(blocks(logs)))
 
+def _with_base(moves: DataFrame, group: str) -> DataFrame:
+    """The count before each block of ``moves``, whose other rows only add to the running sum ``_v``."""
+    within = Window.partitionBy("_source", group)
+    earlier = F.sum("_v").over(within.orderBy("_t").rangeBetween(Window.unboundedPreceding, -1))
+    same_time = Window.partitionBy("_source", group, "_t").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    peers = F.coalesce(F.sum("_n").over(same_time), F.lit(0))
+    return (
+        moves.withColumn("_base", F.coalesce(earlier, F.lit(0)) + peers)
+        .filter(F.col("_block").isNotNull())
+        .select(*_PLACE, "_n", "_base")
+    )
 
-def by_stretch(logs: DataFrame, name: str = "n_5m") -> DataFrame:
-    """Logs with the trailing count from one window over source and stretch.
 
-    A stretch also gets, as narrow rows, the arrivals of the stretch before and
-    the times at which these leave the window.
-    """
-    placed = _placed(logs).withColumn("_stretch", _div(F.col("_t"), SPAN))
-
-    def move(time: Column, value: int) -> Column:
-        return F.struct(time.alias("_t"), F.lit(value).alias("_v"))
-
-    carried = placed.select(
-        "_source", (F.col("_stretch") + 1).alias("_stretch"),
-        F.inline(F.array(move(F.col("_t"), 1), move(F.col("_t") + SPAN, -1))),
-    ).withColumn("_own", F.lit(False))
-    own = placed.drop("_block").withColumns({"_v": F.lit(1), "_own": F.lit(True)})
-    stretch = Window.partitionBy("_source", "_stretch")
-    earlier = F.sum("_v").over(stretch.orderBy("_t").rangeBetween(Window.unboundedPreceding, -1))
-    peers = F.row_number().over(Window.partitionBy("_source", "_stretch", "_t", "_own").orderBy("id"))
-    return (
-        own.unionByName(carried, allowMissingColumns=True)
-        .withColumn(name, F.coalesce(earlier, F.lit(0)) + peers)
-        .filter("_own")
-        .select(*logs.columns, name)
+def _move(group: str, at: Column, time: Column, value: Column, own: bool) -> Column:
+    nothing = F.lit(None).cast("long")
+    return F.struct(
+        at.alias(group), time.alias("_t"), (F.col("_block") if own else nothing).alias("_block"),
+        (F.col("_n") if own else nothing).alias("_n"), value.alias("_v"),
     )
 
 
-def blocks(logs: DataFrame) -> DataFrame:
-    """``(_source, _t, _block, _n, _base)``: a block's logs and the count before its first one."""
-    counted = _placed(logs).groupBy(*_PLACE).agg(F.count(F.lit(1)).alias("_n"))
+def _over_stretches(counted: DataFrame) -> DataFrame:
+    """A stretch also sees the arrivals of the stretch before it, and when these leave."""
+    stretch, time, number = _div(F.col("_t"), SPAN), F.col("_t"), F.col("_n")
+    return _with_base(counted.select("_source", F.inline(F.array(
+        _move("_stretch", stretch, time, number, True),
+        _move("_stretch", stretch + 1, time, number, False),
+        _move("_stretch", stretch + 1, time + SPAN, -number, False),
+    ))), "_stretch")
 
+
+def _over_cells(counted: DataFrame) -> DataFrame:
     # Logs in the full cells of the span before each cell, as a running sum per
     # source and span-long stretch: cells of this stretch and the last one add
     # to it, and those of the last one leave it a span later.
@@ -118,58 +116,29 @@ def blocks(logs: DataFrame) -> DataFrame:
             "_source", "_cell", (F.col("_cell") * CELL - 1).alias("_t"), nothing.alias("_block"), nothing.alias("_n"), "_v"
         )
     )
-    # Arrivals add to the running count of their cell; one span later they leave
-    # it again. The cells' own opening value stands just before their first time.
-    own = _div(F.col("_t"), CELL)
-
-    def move(at: Column, time: Column, block: Column, number: Column, value: Column) -> Column:
-        return F.struct(
-            at.alias("_cell"), time.alias("_t"), block.alias("_block"), number.alias("_n"), value.alias("_v")
-        )
-
+    # Inside a cell arrivals add to the sum and one span later leave it again.
+    # The cell's opening value stands just before its first time.
+    own, time, number = _div(F.col("_t"), CELL), F.col("_t"), F.col("_n")
     moves = counted.select("_source", F.inline(F.array(
-        move(own, F.col("_t"), F.col("_block"), F.col("_n"), F.col("_n")),
-        move(own + _STEPS, F.col("_t") + SPAN, nothing, nothing, -F.col("_n")),
+        _move("_cell", own, time, number, True),
+        _move("_cell", own + _STEPS, time + SPAN, -number, False),
     )))
-    cell = Window.partitionBy("_source", "_cell")
-    earlier = F.sum("_v").over(cell.orderBy("_t").rangeBetween(Window.unboundedPreceding, -1))
-    same_time = Window.partitionBy("_source", "_cell", "_t").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    peers = F.coalesce(F.sum("_n").over(same_time), F.lit(0))
-    return (
-        moves.unionByName(before)
-        .withColumn("_base", F.coalesce(earlier, F.lit(0)) + peers)
-        .filter(F.col("_block").isNotNull())
-        .select(*_PLACE, "_n", "_base")
-    )
+    return _with_base(moves.unionByName(before), "_cell")
 
 
-def from_blocks(logs: DataFrame, counted: DataFrame, name: str = "n_5m") -> DataFrame:
-    """Logs with the trailing count from their blocks; they move once, to their block."""
+def with_trailing_count(logs: DataFrame, counted: DataFrame | None = None, name: str = "n_5m") -> DataFrame:
+    """Logs with the trailing count; they move once, to their block."""
+    base = (blocks(logs) if counted is None else counted).select(*_PLACE, "_base")
     order = Window.partitionBy(*_PLACE).orderBy("id")
     return (
-        _placed(logs).join(counted.select(*_PLACE, "_base"), _PLACE)
+        _placed(logs).join(base, _PLACE)
         .withColumn(name, F.col("_base") + F.row_number().over(order))
         .select(*logs.columns, name)
     )
 
 
-def with_trailing_count(logs: DataFrame, counts: Counts | None = None, name: str = "n_5m") -> DataFrame:
-    """Logs with the trailing count, by the way that suits their busiest stretch."""
-    counts = counts or take_counts(logs)
-    return by_stretch(logs, name) if counts.blocks is None else from_blocks(logs, counts.blocks, name)
-
-
-def histogram(logs: DataFrame, counts: Counts | None = None) -> DataFrame:
-    """``(v, n)``: how many logs have each trailing count."""
-    counts = counts or take_counts(logs)
-    if counts.blocks is not None:
-        return count_histogram(counts.blocks)
-    narrow = logs.select("id", "timestamp", "source")
-    return by_stretch(narrow, "v").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-
-
-def count_histogram(counted: DataFrame) -> DataFrame:
-    """How many logs have each trailing count, from the blocks alone.
+def histogram(counted: DataFrame) -> DataFrame:
+    """``(v, n)``: how many logs have each trailing count, from the blocks alone.
 
     The logs of a block have the consecutive counts that follow its base.
     """
@@ -181,8 +150,10 @@ def quantile(histogram: DataFrame, q: float, width: int = 1 << 16) -> DataFrame:
     """One row ``(n, value)``: the exact quantile of a histogram of whole numbers, interpolated.
 
     A coarse histogram tells the two buckets that hold the neighbouring ranks;
-    only their values are then ranked.
+    only their values are then ranked. The histogram is read twice, so it is
+    staged and what it was made from is not computed again.
     """
+    histogram = staged(histogram)
     bucket = _div(F.col("v"), width)
     coarse = histogram.groupBy(bucket.alias("_b")).agg(F.sum("n").alias("_c"))
     running = F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))

@@ -12,15 +12,15 @@ from logloom.operators import forest
 from logloom.operators.profile import Profile, counts_of, notable_ips, take_profile, with_location
 from logloom.operators.signals import with_score, with_signals
 from logloom.operators.skew import lookup
-from logloom.operators.trailing import Counts, burst_threshold, histogram, take_counts, with_trailing_count
+from logloom.operators.trailing import blocks, burst_threshold, histogram, with_trailing_count
 from logloom.session import prepare, staged
 
 RESULT = ("anomaly", "anomaly_score", "anomaly_reason")
 
 
-def rule_features(logs: DataFrame, profile: Profile, counts: Counts) -> DataFrame:
+def rule_features(logs: DataFrame, profile: Profile, counted: DataFrame) -> DataFrame:
     """Logs with location, trailing count and ip counts."""
-    placed = with_trailing_count(with_location(logs), counts)
+    placed = with_trailing_count(with_location(logs), counted)
     ips = notable_ips(profile.table)
     return lookup(placed, ips, "ip_address", "id", profile.sizes.get("ip", 0), profile.total)
 
@@ -39,20 +39,17 @@ def features(
 ) -> DataFrame:
     """All inputs of the signals: ``rule_features``, ``burst_threshold`` and ``is_outlier``.
 
-    With the forest the rows are read four times (counts, sample, quantile,
-    flag), so they are staged once instead of repeating the joins. Without it
-    the threshold comes from a pass over three columns.
+    The block counts serve both the threshold and the rows, so they are staged.
+    So are the rows when there is a forest, which reads them three times
+    (sample, quantile, flag), instead of repeating the joins.
     """
-    counts = take_counts(logs)
-    rows = rule_features(logs, profile, counts)
-    if use_forest and profile.total >= forest.MIN_ROWS:
-        stored = staged(forest_features(rows, profile))
-        values = stored.groupBy(F.col("n_5m").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        flagged = forest.with_outliers(stored, profile.total, contamination, settings).select(*rows.columns, "is_outlier")
-    else:
-        values, flagged = histogram(logs, counts), rows.withColumn("is_outlier", F.lit(False))
-    threshold = burst_threshold(values).first()["threshold"]
-    return flagged.withColumn("burst_threshold", F.lit(float(threshold)))
+    counted = staged(blocks(logs))
+    threshold = burst_threshold(histogram(counted)).first()["threshold"]
+    rows = rule_features(logs, profile, counted).withColumn("burst_threshold", F.lit(float(threshold)))
+    if not use_forest or profile.total < forest.MIN_ROWS:
+        return rows.withColumn("is_outlier", F.lit(False))
+    stored = staged(forest_features(rows, profile))
+    return forest.with_outliers(stored, profile.total, contamination, settings).select(*rows.columns, "is_outlier")
 
 
 def detect(

@@ -15,7 +15,7 @@ from logloom.operators.profile import Profile, load_profile, notable_ips, profil
 from logloom.operators.signals import with_score
 from logloom.operators.skew import lookup
 from logloom.operators.tables import DAY, table_exists, upsert_table, with_day
-from logloom.operators.trailing import burst_threshold, histogram, with_trailing_count
+from logloom.operators.trailing import blocks, burst_threshold, histogram, with_trailing_count
 from logloom.plans.detect import detect
 from logloom.plans.sync import sync_all, write
 from logloom.session import prepare, staged
@@ -75,13 +75,13 @@ class Statistics:
 
 
 def take_statistics(logs: DataFrame) -> Statistics:
-    return Statistics(take_profile(logs), float(burst_threshold(histogram(logs)).first()["threshold"]))
+    return Statistics(take_profile(logs), float(burst_threshold(histogram(blocks(logs))).first()["threshold"]))
 
 
 def save_statistics(logs: DataFrame, path: str) -> None:
     """Store the statistics of a table for later batches."""
     profile(logs).write.mode("overwrite").parquet(f"{path}/profile")
-    burst_threshold(histogram(logs)).write.mode("overwrite").parquet(f"{path}/burst")
+    burst_threshold(histogram(blocks(logs))).write.mode("overwrite").parquet(f"{path}/burst")
 
 
 def load_statistics(spark: SparkSession, path: str) -> Statistics:

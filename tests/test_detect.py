@@ -67,7 +67,7 @@ def test_burst_signal(spark):
 def test_burst_is_flagged_for_most_seeds(spark):
     logs = frame(spark, burst_rows())
     profiled = profile.take_profile(logs)
-    rows = d.forest_features(d.rule_features(logs, profiled, trailing.take_counts(logs)), profiled).cache()
+    rows = d.forest_features(d.rule_features(logs, profiled, trailing.blocks(logs)).withColumn("burst_threshold", F.lit(5.0)), profiled).cache()
     hits = 0
     for seed in range(6):
         flagged = forest.with_outliers(rows, profiled.total, settings=forest.Settings(seed=seed))
@@ -114,21 +114,19 @@ def test_trailing_counts_equal_brute_force(spark, monkeypatch, bits):
         rows.append((i, datetime(2024, 1, 1) + timedelta(microseconds=offset), pick.choice("ab")) if i % 3 else (i, BASE, "hot"))
     df = spark.createDataFrame(rows, "id long, timestamp timestamp_ntz, source string")
     expected = brute_counts(rows)
-    assert {r.id: r.n_5m for r in trailing.from_blocks(df, trailing.blocks(df)).collect()} == expected
-    assert {r.id: r.n_5m for r in trailing.by_stretch(df).collect()} == expected
+    for busy in (False, True):
+        found = trailing.with_trailing_count(df, trailing.blocks(df, busy))
+        assert {r.id: r.n_5m for r in found.collect()} == expected
 
 
-def test_busy_stretches_are_counted_from_blocks(spark, small, monkeypatch):
+def test_busy_stretches_are_measured(spark, small, monkeypatch):
     from logloom.sources.tables import logs as read
 
     logs = read(spark, small)
-    assert trailing.take_counts(logs).blocks is None
-    plain = sorted(tuple(r) for r in trailing.histogram(logs).collect())
+    assert not trailing.is_busy(logs)
     reasons = {r.id: r.anomaly_reason for r in d.detect(logs, use_forest=False).collect()}
     monkeypatch.setattr(trailing, "STRETCH_ROWS", 3)
-    counts = trailing.take_counts(logs)
-    assert counts.blocks is not None
-    assert sorted(tuple(r) for r in trailing.histogram(logs, counts).collect()) == plain
+    assert trailing.is_busy(logs)
     assert {r.id: r.anomaly_reason for r in d.detect(logs, use_forest=False).collect()} == reasons
 
 
@@ -139,7 +137,7 @@ def test_burst_threshold_equals_interpolated_percentile(spark):
         assert found.n == len(values)
         assert found.value == pytest.approx(float(np.percentile(values, 95)))
     few = frame(spark, [log(i) for i in range(9)])
-    assert trailing.burst_threshold(trailing.histogram(few)).first().threshold == 5.0
+    assert trailing.burst_threshold(trailing.histogram(trailing.blocks(few))).first().threshold == 5.0
 
 
 def test_lookup_beyond_the_broadcast_limit(spark, monkeypatch):
