@@ -3,6 +3,9 @@ import pytest
 import __spark_entry__ as contract
 from contract.check import compare, database
 
+#: Queries of the text operators, which are tested beside them.
+TEXT = {n for n in contract.queries() if n == "pipeline" or n.startswith("op")}
+
 CHECKED = [
     "q_search", "q_page", "k_by_source", "k_timeline_sampled", "v_valid", "v_errors", "s_csv_scan", "c_clean_logs", "c_json",
     "d_trailing_count", "d_signals", "d_custom", "j_neighbours", "j_cascade", "y_upsert", "a_parse_reply", "l_window_counts_stream",
@@ -15,7 +18,8 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql_but_the_forest():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == {"d_iforest", "d_detect_all"}
+    own = {n for n in contract.queries() if n not in TEXT}
+    assert own - set(contract.oracle_sql()) == {"d_iforest", "d_detect_all"}
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
