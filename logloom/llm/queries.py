@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import decontaminate, licenses, mixing, secrets
+from logloom.llm import decontaminate, licenses, mixing, secrets, simhash
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,8 +23,12 @@ def op7_decontaminate(spark, folder):
     return decontaminate.decontaminate(_table(spark, folder, "documents"), _table(spark, folder, "benchmark")).drop("_text")
 
 
+def op9_simhash(spark, folder):
+    return simhash.near_duplicates(_table(spark, folder, "documents"))
+
+
 def op10_mixing(spark, folder):
     return mixing.mix(_table(spark, folder, "documents")).drop("copies", "source")
 
 
-QUERIES = {f.__name__: f for f in (op3_licenses, op6_secrets, op7_decontaminate, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op3_licenses, op6_secrets, op7_decontaminate, op9_simhash, op10_mixing)}
