@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import decontaminate, licenses, mixing, secrets, simhash
+from logloom.llm import decontaminate, licenses, mixing, quality, secrets, simhash
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_quality(spark, folder):
+    docs = _table(spark, folder, "documents")
+    return quality.score(docs, quality.fit(docs, _table(spark, folder, "labels")))
+
+
 def op3_licenses(spark, folder):
     return licenses.scan(_table(spark, folder, "documents"))
 
@@ -31,4 +36,4 @@ def op10_mixing(spark, folder):
     return mixing.mix(_table(spark, folder, "documents")).drop("copies", "source")
 
 
-QUERIES = {f.__name__: f for f in (op3_licenses, op6_secrets, op7_decontaminate, op9_simhash, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op2_quality, op3_licenses, op6_secrets, op7_decontaminate, op9_simhash, op10_mixing)}
