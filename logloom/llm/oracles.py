@@ -33,6 +33,30 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_base, f AS first_word, l
 FROM w LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)
 """
 
+OP4 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+# Base32 of the 40 hex digits of SHA-1: each digit gives four bits, taken again five at a time.
+OP5 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+x AS (SELECT page_id, strlen(h)::BIGINT AS n, sha1(h) AS s FROM p),
+y AS (SELECT *, list_aggregate(list_transform(range(1, 41), lambda i: substr('0000000100100011010001010110011110001001101010111100110111101111',
+        4 * (instr('0123456789abcdef', s[i]) - 1) + 1, 4)), 'string_agg', '') AS bits FROM x),
+z AS (SELECT *, list_aggregate(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+        1 + 16 * bits[5*i+1]::INT + 8 * bits[5*i+2]::INT + 4 * bits[5*i+3]::INT + 2 * bits[5*i+4]::INT + bits[5*i+5]::INT]), 'string_agg', '') AS d FROM y)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+    CASE WHEN page_id = min(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id = min(page_id) OVER w THEN NULL ELSE min(page_id) OVER w END AS refers_to
+FROM z WINDOW w AS (PARTITION BY s)
+"""
+
 OP7 = f"""
 WITH d AS (SELECT doc_id, {_words('text')} AS ws FROM documents),
 b AS (SELECT item_id, {_words('text')} AS ws FROM benchmark),
@@ -73,4 +97,4 @@ SELECT doc_id, size, total AS source_size, target,
 FROM o
 """
 
-ORACLES = {"op3_licenses": OP3, "op7_decontaminate": OP7, "op10_mixing": OP10}
+ORACLES = {"op3_licenses": OP3, "op4_topk": OP4, "op5_warc": OP5, "op7_decontaminate": OP7, "op10_mixing": OP10}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import decontaminate, licenses, mixing, quality, secrets, simhash
+from logloom.llm import decontaminate, licenses, mixing, quality, secrets, simhash, topk, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,6 +20,14 @@ def op3_licenses(spark, folder):
     return licenses.scan(_table(spark, folder, "documents"))
 
 
+def op4_topk(spark, folder):
+    return topk.top_k(_table(spark, folder, "embeddings"))
+
+
+def op5_warc(spark, folder):
+    return warc.archive(_table(spark, folder, "pages")).drop("url")
+
+
 def op6_secrets(spark, folder):
     return secrets.scan(_table(spark, folder, "documents"))
 
@@ -36,4 +44,4 @@ def op10_mixing(spark, folder):
     return mixing.mix(_table(spark, folder, "documents")).drop("copies", "source")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_licenses, op6_secrets, op7_decontaminate, op9_simhash, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op2_quality, op3_licenses, op4_topk, op5_warc, op6_secrets, op7_decontaminate, op9_simhash, op10_mixing)}
