@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import decontaminate, licenses, mixing, quality, secrets, simhash, topk, warc
+from logloom.llm import decontaminate, licenses, mixing, quality, secrets, simhash, tokens, topk, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -36,6 +37,10 @@ def op7_decontaminate(spark, folder):
     return decontaminate.decontaminate(_table(spark, folder, "documents"), _table(spark, folder, "benchmark")).drop("_text")
 
 
+def op8_tokens(spark, folder):
+    return tokens.tokenized(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_simhash(spark, folder):
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
@@ -44,4 +49,4 @@ def op10_mixing(spark, folder):
     return mixing.mix(_table(spark, folder, "documents")).drop("copies", "source")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_licenses, op4_topk, op5_warc, op6_secrets, op7_decontaminate, op9_simhash, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op2_quality, op3_licenses, op4_topk, op5_warc, op6_secrets, op7_decontaminate, op8_tokens, op9_simhash, op10_mixing)}
