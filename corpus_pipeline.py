@@ -1,14 +1,88 @@
-"""Documents to token files in five stages, each on all that the one before kept."""
+"""Documents to token files in five stages, each on all that the one before kept.
+
+Every stage but the last returns the columns of its input, whatever they are;
+only ``doc_id``, ``text`` and ``source`` are read. Empty input stays empty.
+"""
 
 from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from logloom.llm import decontaminate, mixing, quality, simhash, tokens
+from logloom.llm.common import text_key
+from logloom.session import shared_folder, staged
+
+#: What a user may exchange: the vocabulary file.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents that the quality classifier accepts; labels come from ``labels``."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.keep_good(docs, model)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each group of near duplicates; of rows with that id, one.
+
+    Rows without an id are kept only if no other document is near; of several such rows one.
+    """
+    found = staged(simhash.near_duplicates(docs).select("doc_id", "component_id"))
+    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    again = found.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1").select("doc_id")
+    again = staged(decontaminate.same(again, gone, ["doc_id"], "left_anti"))
+    once = decontaminate.same(docs, staged(gone.unionByName(again).distinct()), ["doc_id"], "left_anti")
+    several = decontaminate.same(docs, again, ["doc_id"], "left_semi")
+    ordered = _sortable(several)
+    pick = F.min_by(F.struct("*"), F.struct(*[F.col(f"`{c}`") for c in ordered]))
+    one = several.groupBy("doc_id").agg(pick.alias("_one"))
+    return once.unionByName(one.select(*[F.col("_one").getField(c).alias(c) for c in docs.columns]))
+
+
+def _sortable(docs: DataFrame) -> list[str]:
+    """Columns whose values have an order."""
+    return [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a passage of a benchmark item."""
+    hit = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated")
+    hit = staged(hit.select("doc_id", F.col("_text").alias("_row_text")).distinct())
+    marked = docs.withColumn("_row_text", text_key(F.col("text")))
+    return decontaminate.same(marked, hit, ["doc_id", "_row_text"], "left_anti").drop("_row_text")
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat and leave out whole documents, so that sources come near their targets.
+
+    A row is written as often as the mix takes it; a part counts from half a text on. Rows equal in
+    id, source and size share their copies evenly, rounded up.
+    """
+    plan = mixing.mix(docs).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("_mix_copies"), F.count("*").alias("_rows"))
+    plan = staged(plan.withColumn("_mix_copies", F.ceil(F.col("_mix_copies") / F.col("_rows")).cast("int")).select(
+        "doc_id", F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"), "_mix_copies"))
+    count = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    marked = docs.withColumns({"_mix_source": F.col("source"), "_mix_size": count})
+    joined = decontaminate.same(marked, plan, ["doc_id", "_mix_source", "_mix_size"], "inner").filter(F.col("_mix_copies") > 0)
+    return joined.withColumn("_mix_turn", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Write all texts as token files and return what they hold of each document."""
+    return tokens.tokenized(docs, public_tokenizers.path(TOKENIZER))
 
-from logloom.session import shared_folder
 
-STAGES = []
+STAGES = [
+    ("quality_classifier", good),
+    ("simhash_near_dedup", distinct),
+    ("benchmark_decontamination", uncontaminated),
+    ("mixing_sources", mixed),
+    ("token_id_output", tokenized),
+]
 #: Models, fingerprints and token files cannot be expressed in SQL.
 ORACLE_SQL = None
 
