@@ -14,68 +14,74 @@ import zlib
 
 import numpy as np
 
-BLOCK = 2048
-LANES = 1024
-_SLOTS = 1 << 10
-_GAIN = 32  # of a count, for each occurrence
+BLOCK = 1024
+LANES = 2048
+_SLOTS = 512
+#: Contexts of the last four bits of an id, shared by a hash of the bits before.
+_TAILS = 1024
+_GAIN = 28  # of a count, for each occurrence; sums stay below 2^16
 _SCALE = np.uint64(44)
+_UNIT = 1 << 44
 _TOP, _BOTTOM = np.uint64(1 << 56), np.uint64(1 << 48)
 _U8, _U56 = np.uint64(8), np.uint64(56)
 #: Room for the coded bytes of a block: no id takes more than six, and eight end it.
 _ROOM = 6 * BLOCK + 16
 LARGEST_ID = (1 << 16) - 1
+#: What an occurrence of a symbol adds to the 16 running sums of its context.
+_ADD = np.triu(np.full((16, 16), _GAIN, dtype=np.uint16))
+_FRESH = np.arange(1, 17, dtype=np.uint16)
 
 
 class _Model:
-    """The state of ``lanes`` blocks. An id is coded as 5, 5 and 6 bits, each given those before."""
+    """The state of ``lanes`` blocks. An id is coded as four symbols of 4 bits, each given those before."""
 
     def __init__(self, lanes: int):
         self.lane = np.arange(lanes)
-        self.two, self.one = np.zeros(lanes * _SLOTS, dtype=np.uint32), np.zeros(lanes * _SLOTS, dtype=np.uint32)
-        self.shares = np.ones((lanes * 32, 4), dtype=np.uint32)
-        self.high, self.mid = np.ones((lanes, 32), dtype=np.uint32), np.ones((lanes * 32, 32), dtype=np.uint16)
-        self.low = np.ones((lanes * 1024, 64), dtype=np.uint16)
+        self.two, self.one = np.zeros(lanes * _SLOTS, dtype=np.int64), np.zeros(lanes * _SLOTS, dtype=np.int64)
+        self.shares = np.ones((lanes * 32, 4), dtype=np.int64)
+        self.rows = (1, 16, 256, _TAILS)
+        self.sums = [np.tile(_FRESH, (lanes * k, 1)) for k in self.rows]
         self.last, self.before = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
 
+    def context(self, n: int, depth: int, prefix: np.ndarray) -> np.ndarray:
+        """Where the counts of the next four bits stand, given the bits before."""
+        place = prefix if depth < 3 else (prefix * 40503 >> 6) & _TAILS - 1
+        return self.lane[:n] * self.rows[depth] + place
+
     def predict(self, n: int) -> None:
         """For the first ``n`` lanes: both predicted ids, and the parts of the unit they get."""
-        slot = self.lane[:n] * _SLOTS
-        self.at1 = slot + (self.last[:n] * 40503 >> 4 & _SLOTS - 1)
-        self.at2 = slot + ((self.last[:n] * 40503 + self.before[:n] * 30011) >> 5 & _SLOTS - 1)
-        one, two = self.one[self.at1].astype(np.int64), self.two[self.at2].astype(np.int64)
+        slot, last = self.lane[:n] * _SLOTS, self.last[:n] * 40503
+        self.at1 = slot + (last >> 4 & _SLOTS - 1)
+        self.at2 = slot + ((last + self.before[:n] * 30011) >> 5 & _SLOTS - 1)
+        one, two = self.one[self.at1], self.two[self.at2]
         self.sure1, self.sure2, self.id1, self.id2 = one & 255, two & 255, one >> 8, two >> 8
-        differ = self.id1 != self.id2
-        self.state = self.lane[:n] * 32 + np.minimum(self.sure2, 3) * 8 + np.minimum(self.sure1, 3) * 2 + differ
-        share = self.shares[self.state].astype(np.uint64)
         self.has2 = self.sure2 > 0
-        self.has1 = (self.sure1 > 0) & (differ | ~self.has2)
+        self.has1 = (self.sure1 > 0) & (self.id1 != self.id2)
+        self.state = self.lane[:n] * 32 + np.minimum(self.sure2, 3) * 8 + np.minimum(self.sure1, 3) * 2 + self.has1
+        share = self.shares[self.state]
         n2, n1 = share[:, 0] * self.has2, share[:, 1] * self.has1
-        unit = (np.uint64(1) << _SCALE) // (n2 + n1 + share[:, 2])
+        unit = _UNIT // (n2 + n1 + share[:, 2])
         self.part2, self.part1 = unit * n2, unit * n1
-        self.rest = (np.uint64(1) << _SCALE) - self.part2 - self.part1
+        self.base = self.part2 + self.part1
 
-    def sums(self, table: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        return np.cumsum(table[rows], axis=1, dtype=np.uint64)
+    def count(self, n: int, ids: np.ndarray) -> None:
+        """Add ids to the order-0 counts."""
+        for depth, table in enumerate(self.sums):
+            table[self.context(n, depth, ids >> (16 - 4 * depth))] += _ADD[ids >> (12 - 4 * depth) & 15]
 
     def learn(self, n: int, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        lane, a, b = self.lane[:n], ids >> 11, ids >> 6 & 31
-        self.high[lane, a] += _GAIN
-        row = lane * 32 + a
-        self.mid[row, b] += 24
-        self.low[row * 32 + b, ids & 63] += 24
-        outcome = np.where(hit2, 0, np.where(hit1, 1, 2))
-        self.shares[self.state, outcome] += 2
-        for table, at, guess, sure in ((self.two, self.at2, self.id2, self.sure2), (self.one, self.at1, self.id1, self.sure1)):
-            right = (guess == ids) & (sure > 0)
-            table[at] = np.where(right, (ids << 8) + np.minimum(sure + 1, 255), (ids << 8) + 1)
+        self.shares[self.state, 2 - 2 * hit2 - hit1] += 2
+        shifted = ids << 8
+        self.two[self.at2] = shifted + np.where(self.id2 == ids, np.minimum(self.sure2 + 1, 255), 1)
+        self.one[self.at1] = shifted + np.where(self.id1 == ids, np.minimum(self.sure1 + 1, 255), 1)
         self.before[:n], self.last[:n] = self.last[:n], ids
 
 
-def _pick(sums: np.ndarray, at: np.ndarray, start: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _part(sums: np.ndarray, flat: np.ndarray, at: np.ndarray, start: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The part of an interval that symbol ``at`` has, by the running sums of the counts."""
-    row = np.arange(len(at))
-    total, end = sums[:, -1], sums[row, at]
-    begin = np.where(at > 0, sums[row, at - 1], 0).astype(np.uint64)
+    sums = sums.ravel()
+    total, end = sums[flat + 15].astype(np.int64), sums[flat + at].astype(np.int64)
+    begin = sums[flat + at - (at > 0)].astype(np.int64) * (at > 0)
     lower = width * begin // total
     return start + lower, width * end // total - lower
 
@@ -96,11 +102,12 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         model.predict(n)
         hit2 = model.has2 & (model.id2 == now)
         hit1 = model.has1 & (model.id1 == now) & ~hit2
-        a, b = now >> 11, now >> 6 & 31
-        row = model.lane[:n] * 32 + a
-        start, width = _pick(model.sums(model.high, model.lane[:n]), a, model.part2 + model.part1, model.rest)
-        start, width = _pick(model.sums(model.mid, row), b, start, width)
-        start, width = _pick(model.sums(model.low, row * 32 + b), now & 63, start, width)
+        start, width, flat = model.base, _UNIT - model.base, model.lane[:n] * 16
+        for depth, table in enumerate(model.sums):
+            row, at4 = model.context(n, depth, now >> (16 - 4 * depth)), now >> (12 - 4 * depth) & 15
+            sums = table[row]
+            start, width = _part(sums, flat, at4, start, width)
+            table[row] = sums + _ADD[at4]
         start = np.where(hit2, 0, np.where(hit1, model.part2, start)).astype(np.uint64)
         width = np.where(hit2, model.part2, np.where(hit1, model.part1, width))
         unit = span[:n] >> _SCALE
@@ -156,32 +163,25 @@ def decode(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
         code[idx] = (code[idx] << _U8) | data[at[idx]].astype(np.uint64)
         at[idx] = np.minimum(at[idx] + 1, len(data) - 1)
 
-    def find(sums: np.ndarray, value: np.ndarray, start: np.ndarray, width: np.ndarray) -> np.ndarray:
-        """The symbol whose part of the interval holds ``value``."""
-        inside = np.minimum(value - start, width - np.uint64(1))
-        level = ((inside + np.uint64(1)) * sums[:, -1] - np.uint64(1)) // width
-        return np.minimum((sums <= level[:, None]).sum(axis=1), sums.shape[1] - 1)
-
     for t in range(longest):
         n = lanes if lengths[-1] > t else int(np.count_nonzero(lengths > t))
         model.predict(n)
         unit = span[:n] >> _SCALE
-        value = (code[:n] - low[:n]) // unit
-        base = model.part2 + model.part1
+        value = ((code[:n] - low[:n]) // unit).astype(np.int64)
         hit2 = value < model.part2
-        hit1 = ~hit2 & (value < base)
-        value = np.where(hit2 | hit1, base, value)
-        sums = model.sums(model.high, model.lane[:n])
-        a = find(sums, value, base, model.rest)
-        start, width = _pick(sums, a, base, model.rest)
-        row = model.lane[:n] * 32 + a
-        sums = model.sums(model.mid, row)
-        b = find(sums, value, start, width)
-        start, width = _pick(sums, b, start, width)
-        sums = model.sums(model.low, row * 32 + b)
-        c = find(sums, value, start, width)
-        start, width = _pick(sums, c, start, width)
-        now = np.where(hit2, model.id2, np.where(hit1, model.id1, (a << 11) + (b << 6) + c))
+        hit1 = ~hit2 & (value < model.base)
+        start, width, flat = model.base, _UNIT - model.base, model.lane[:n] * 16
+        value = np.clip(value, model.base, _UNIT - 1)
+        found = np.zeros(n, dtype=np.int64)
+        for depth, table in enumerate(model.sums):
+            sums = table[model.context(n, depth, found)]
+            level = ((value - start + 1) * sums[:, 15] - 1) // width
+            ones = np.bitwise_count((sums <= level[:, None].astype(np.uint16)).view(np.uint64))
+            at4 = np.minimum(ones[:, 0] + ones[:, 1], 15).astype(np.int64)
+            start, width = _part(sums, flat, at4, start, width)
+            found = found * 16 + at4
+        now = np.where(hit2, model.id2, np.where(hit1, model.id1, found))
+        model.count(n, now)
         start = np.where(hit2, 0, np.where(hit1, model.part2, start)).astype(np.uint64)
         width = np.where(hit2, model.part2, np.where(hit1, model.part1, width))
         low[:n] += unit * start
