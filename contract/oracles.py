@@ -416,6 +416,11 @@ ORACLES = {
       strftime(CASE WHEN id % 10 < 2 THEN timestamp + INTERVAL 1 DAY ELSE timestamp END, '%Y-%m-%d') AS dt
       FROM logs WHERE id % 5 <> 0 OR id % 10 < 2"""),
     "y_delete_many": q(LOGS, "SELECT id, source FROM logs WHERE source <> 'svc-1'"),
+    "y_upsert_null_day": q(LOGS, """SELECT id, ts AS timestamp, CASE WHEN id % 5 = 0 THEN 'new' ELSE message END AS message, strftime(ts, '%Y-%m-%d') AS dt
+      FROM (SELECT *, CASE WHEN id % 10 = 0 THEN TIMESTAMP '2024-03-01 00:00:00' WHEN id % 5 <> 0 AND id % 7 <> 0 THEN timestamp END AS ts FROM logs)"""),
+    "y_delete_null_day": q(LOGS, "SELECT id, CASE WHEN id % 7 <> 0 THEN strftime(timestamp, '%Y-%m-%d') END AS dt FROM logs WHERE id % 3 <> 0"),
+    "y_sync_narrow": q(EXPLAINED, """SELECT uuid AS id, uuid AS log_id, true AS is_anomaly, 'true' AS is_anamoly,
+      CASE WHEN id % 7 <> 0 THEN strftime(timestamp, '%Y-%m-%d') END AS dt FROM explained WHERE anomaly AND (id % 2 = 0 OR id % 3 <> 1)"""),
     "y_delete_one": q(LOGS, "SELECT count(*) AS n, sum(id)::BIGINT AS ids FROM logs WHERE id <> 77"),
     "y_clear_all": q(LOGS, "SELECT 0::BIGINT AS left_count, count(*) AS deleted_count FROM logs"),
     "y_sync": q(SCORED, "SELECT count(*) AS logs_synced, count(*) FILTER (anomaly) AS anomalies_synced, count(*) FILTER (anomaly) AS ai_synced FROM scored"),

@@ -379,6 +379,38 @@ def y_delete_many(spark, folder):
     return spark.read.parquet(path).select("id", "source")
 
 
+def _undated(spark, folder):
+    """Logs of which every seventh has no time."""
+    return views.logs(spark, folder).withColumn("timestamp", F.when(F.col("id") % 7 != 0, F.col("timestamp")))
+
+
+def y_upsert_null_day(spark, folder):
+    """Rows with and without a day, upserted twice: some lose their time, others get one."""
+    path, logs = _folder(spark), _undated(spark, folder)
+    tables.append_logs(logs, path)
+    change = logs.filter(F.col("id") % 5 == 0).withColumns({
+        "message": F.lit("new"), "timestamp": F.when(F.col("id") % 2 == 0, F.lit("2024-03-01 00:00:00").cast("timestamp_ntz"))})
+    for _ in range(2):
+        tables.upsert_table(spark, path, tables.with_day(change))
+    return spark.read.parquet(path).select("id", "timestamp", "message", F.col("dt").cast("string").alias("dt"))
+
+
+def y_delete_null_day(spark, folder):
+    path, logs = _folder(spark), _undated(spark, folder)
+    tables.append_logs(logs, path)
+    tables.delete_from_table(spark, path, logs.filter(F.col("id") % 3 == 0).select("id"))
+    return spark.read.parquet(path).select("id", F.col("dt").cast("string").alias("dt"))
+
+
+def y_sync_narrow(spark, folder):
+    """Anomalies in the four-column form, sent in two parts of which the second repeats some."""
+    path, rows = _folder(spark), staged(explained(spark, folder))
+    dated = rows.withColumn("timestamp", F.when(F.col("id") % 7 != 0, F.col("timestamp")))
+    for part in (F.col("id") % 2 == 0, F.col("id") % 3 != 1):
+        sync.write(spark, sync.sync_all(dated.filter(part), _now(), narrow=True), path)
+    return spark.read.parquet(f"{path}/anomalies").withColumn("dt", F.col("dt").cast("string"))
+
+
 def y_delete_one(spark, folder):
     return tables.delete(views.logs(spark, folder), [77]).agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
 

@@ -132,19 +132,20 @@ def cloud_logs(logs: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def cloud_anomalies(logs: DataFrame, now: Column, narrow: bool = False) -> DataFrame:
-    """Anomaly records; ``narrow`` gives the four columns an older target has."""
+def cloud_anomalies(logs: DataFrame, now: Column, narrow: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Anomaly records, with the log columns in ``keep``; ``narrow`` gives the four columns an older target has."""
     rows = stored(logs.filter(F.col("anomaly"))).select(
         F.col("uuid").alias("id"), F.col("uuid").alias("log_id"), F.lit(True).alias("is_anomaly"),
         F.lit("true").alias("is_anamoly"), F.bround("anomaly_score", 2).alias("anomaly_score"),
         F.coalesce(F.nullif("anomaly_reason", F.lit("")), F.lit("Deterministic anomaly detection flagged this log.")).alias("reason"),
         F.lit(schema.DETECTED_BY).alias("detected_by"), iso(now.cast("timestamp_ntz")).alias("created_at"),
+        *keep,
     )
-    return rows.select("id", "log_id", "is_anomaly", "is_anamoly") if narrow else rows
+    return rows.select("id", "log_id", "is_anomaly", "is_anamoly", *keep) if narrow else rows
 
 
-def cloud_explanations(logs: DataFrame, now: Column) -> DataFrame:
-    """Explanation records of the given logs; what is missing is filled from a template."""
+def cloud_explanations(logs: DataFrame, now: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Explanation records of the given logs, with their columns in ``keep``; what is missing is filled from a template."""
     full = stored(logs)
 
     def known(name: str) -> Column:
@@ -161,6 +162,7 @@ def cloud_explanations(logs: DataFrame, now: Column) -> DataFrame:
         strip(F.coalesce(known("ai_next_step"), F.lit("Review IP network logs and verify user authentication authorization."))).alias("next_step"),
         strip(F.coalesce(known("ai_model"), F.lit(schema.DEFAULT_MODEL))).alias("model"),
         iso(F.coalesce("ai_analyzed_at", now.cast("timestamp_ntz"))).alias("created_at"),
+        *keep,
     )
 
 

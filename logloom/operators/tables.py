@@ -88,8 +88,17 @@ def explained_anomalies(anomalies: DataFrame, logs: DataFrame) -> DataFrame:
 # --- Stored tables laid out by day: only the days a change touches are rewritten
 
 
+NO_DAY = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _on(days: set) -> Column:
+    """Rows of the given days, of which one may be null."""
+    dated = F.col(DAY).isin([day for day in days if day is not None])
+    return dated | F.col(DAY).isNull() if None in days else F.coalesce(dated, F.lit(False))
+
+
 def _days(table: DataFrame, keys: DataFrame, key: str) -> set:
-    """The days that hold any of the keys; one value per day of the table at most."""
+    """The days that hold any of the keys, null included; one value per day of the table at most."""
     return {row[0] for row in table.join(keys.select(key), key, "left_semi").select(DAY).distinct().collect()}
 
 
@@ -108,20 +117,29 @@ def _rewrite(spark: SparkSession, path: str, rows: DataFrame, days: set) -> None
     left = {row[0] for row in fresh.select(DAY).distinct().collect()}
     fresh.hint("rebalance", DAY).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DAY).parquet(path)
     for day in days - left:
-        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{DAY}={day}")
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{DAY}={NO_DAY if day is None else day}")
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def upsert_table(spark: SparkSession, path: str, incoming: DataFrame, key: str = "id", order: Column | None = None) -> None:
-    """Upsert into a stored table, made when absent; running it twice gives the same table."""
+def upsert_table(
+    spark: SparkSession, path: str, incoming: DataFrame, key: str = "id", order: Column | None = None, moves: bool = True,
+) -> None:
+    """Upsert into a stored table, made when absent; running it twice gives the same table.
+
+    A row may come with another day than it is stored under, so all keys are
+    looked through. With ``moves`` False the caller says that days stay, and only
+    the incoming days are read and rewritten.
+    """
     if not table_exists(spark, path):
         fresh = newest(incoming, key, order) if order is not None else incoming
         fresh.hint("rebalance", DAY).write.partitionBy(DAY).parquet(path)
         return
     fresh = staged(newest(incoming, key, order) if order is not None else incoming)
     current = spark.read.parquet(path)
-    days = _days(current, fresh, key) | {row[0] for row in fresh.select(DAY).distinct().collect()}
-    touched = current.filter(F.col(DAY).isin(sorted(days)))
+    days = {row[0] for row in fresh.select(DAY).distinct().collect()}
+    if moves:
+        days |= _days(current, fresh, key)
+    touched = current.filter(_on(days))
     _rewrite(spark, path, upsert(touched, fresh, key), days)
 
 
@@ -129,7 +147,7 @@ def delete_from_table(spark: SparkSession, path: str, ids: DataFrame, key: str =
     """Delete by key from a stored table and return how many rows went."""
     current = spark.read.parquet(path)
     days = _days(current, ids, key)
-    touched = current.filter(F.col(DAY).isin(sorted(days)))
+    touched = current.filter(_on(days))
     count = delete_count(touched, ids, key).first()[0]
     if count:
         _rewrite(spark, path, delete(touched, ids, key), days)

@@ -11,7 +11,7 @@ from logloom.operators.explorer import first_anomalies
 from logloom.operators.layouts import (
     LOGS, clean_metrics, clean_records, cloud_anomalies, cloud_explanations, cloud_logs, explained, stored,
 )
-from logloom.operators.tables import DAY, upsert_table
+from logloom.operators.tables import DAY, upsert_table, with_day
 from logloom.plans.detect import detect
 from logloom.plans.ingest import as_logs, validate_file
 from logloom.session import staged
@@ -21,7 +21,10 @@ TARGETS = ("logs", "anomalies", "ai_analysis")
 
 @dataclass(frozen=True)
 class Payload:
-    """The records for the three targets; ``logs`` is None when not sent."""
+    """The records for the three targets; ``logs`` is None when not sent.
+
+    Anomalies and explanations carry the day of their log, by which they are stored.
+    """
 
     logs: DataFrame | None
     anomalies: DataFrame
@@ -30,11 +33,11 @@ class Payload:
 
 def sync_all(logs: DataFrame, now: Column, layout: str = LOGS, narrow: bool = False) -> Payload:
     """All logs cleaned, and an anomaly and an explanation record for every anomaly."""
-    full = stored(logs)
+    full = with_day(stored(logs))
     return Payload(
         clean_records(cloud_logs(full, now), now, layout),
-        cloud_anomalies(full, now, narrow),
-        cloud_explanations(full.filter(F.col("anomaly")), now),
+        cloud_anomalies(full, now, narrow, (DAY,)),
+        cloud_explanations(full.filter(F.col("anomaly")), now, (DAY,)),
     )
 
 
@@ -42,7 +45,7 @@ def sync_one(logs: DataFrame, log_id: int, now: Column, layout: str = LOGS) -> P
     """One log; its explanation only when it has one."""
     one = stored(logs.filter(F.col("id") == log_id))
     every = sync_all(one, now, layout)
-    return Payload(every.logs, every.anomalies, cloud_explanations(one.filter(F.col("anomaly") & explained()), now))
+    return Payload(every.logs, every.anomalies, cloud_explanations(with_day(one).filter(F.col("anomaly") & explained()), now, (DAY,)))
 
 
 def feed_explanations(logs: DataFrame, now: Column) -> Payload:
@@ -68,14 +71,18 @@ def counts(payload: Payload) -> DataFrame:
     )
 
 
-def write(spark: SparkSession, payload: Payload, root: str) -> None:
-    """Upsert the payload into the tables under ``root``, parents first."""
+def write(spark: SparkSession, payload: Payload, root: str, moves: bool = True) -> None:
+    """Upsert the payload into the tables under ``root``, parents first.
+
+    Every record is stored under its log's day, null where that is unknown, so
+    that sending it again finds it there. ``moves`` as in ``upsert_table``.
+    """
     for name, part in zip(TARGETS, (payload.logs, payload.anomalies, payload.explanations)):
         if part is None:
             continue
-        time = "timestamp" if name == "logs" else "created_at" if "created_at" in part.columns else None
-        day = F.substring(time, 1, 10).try_cast("date") if time else F.lit(None).cast("date")
-        upsert_table(spark, f"{root}/{name}", part.withColumn(DAY, day))
+        if DAY not in part.columns:
+            part = part.withColumn(DAY, F.substring("timestamp", 1, 10).try_cast("date"))
+        upsert_table(spark, f"{root}/{name}", part, moves=moves)
 
 
 def write_jdbc(rows: DataFrame, url: str, table: str, properties: dict[str, str] | None = None, batch: int = 500) -> None:
@@ -96,11 +103,9 @@ def seed(
     scored = stored(staged(detect(as_logs(report.valid), threshold)))
     if explain is not None:
         scored = stored(staged(explain(scored, first_anomalies(scored, sample))))
-    payload = Payload(
-        clean_records(cloud_logs(scored, now), now, LOGS),
-        cloud_anomalies(scored, now),
-        cloud_explanations(scored.filter(F.col("anomaly") & explained()), now),
-    )
+    every = sync_all(scored, now)
+    told = with_day(scored).filter(F.col("anomaly") & explained())
+    payload = Payload(every.logs, every.anomalies, cloud_explanations(told, now, (DAY,)))
     write(spark, payload, root)
     sent = counts(payload).first().asDict()
     return report.summary.select(

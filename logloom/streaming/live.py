@@ -155,7 +155,7 @@ def scoring_sink(
             own = ready.filter(F.col("batch") == batch_id)
             # the batch's last time, so that a retry writes the same records
             now = F.lit(own.agg(F.max("timestamp")).first()[0]).cast("timestamp_ntz")
-            write(spark, sync_all(own, now), targets)
+            write(spark, sync_all(own, now), targets, moves=False)  # a log's time, and so its day, is fixed
 
     return handle
 
