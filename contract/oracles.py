@@ -401,6 +401,11 @@ ORACLES = {
     "d_trailing_busy": q(WINDOWED, "SELECT id, n_5m FROM counted"),
     "d_burst_threshold": q(WINDOWED, "SELECT threshold FROM burst"),
     "d_signals": q(_signals(), """SELECT id, (row_number() OVER (PARTITION BY id ORDER BY ord) - 1)::INTEGER AS place, code, points::INTEGER AS points, text FROM signals"""),
+    "d_signals_null_event": q(LOGS, """SELECT id, 10::INTEGER AS points,
+      'is an unusual event type ''None'' (occurring in <=1% of logs)' AS text FROM logs WHERE id % 9 = 0"""),
+    "d_iforest_share": q(LOGS, "SELECT count(*) AS n, true AS within_share, true AS some, 0::BIGINT AS wrong FROM logs"),
+    "d_detect_forest": q(LOGS, "SELECT count(*) AS n, 0::BIGINT AS wrong, true AS some FROM logs"),
+    "l_live_forest": q(LOGS, "SELECT count(*) AS n, 0::BIGINT AS differing FROM logs"),
     "d_score": q(SCORED, "SELECT id, anomaly, anomaly_score FROM scored"),
     "d_reason": q(SCORED, "SELECT id, anomaly_reason FROM scored"),
     "d_custom": q(_scored(0, {"severity_error": 33, "rare_event": 1, "high_frequency": 0}), "SELECT id, anomaly, anomaly_score, anomaly_reason FROM scored"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions.clean import normalize_ip, normalize_status, sanitize
 from logloom.functions.times import normalize_time
-from logloom.operators import explain, explorer, layouts, neighbours, stats, tables, trailing, validate
+from logloom.operators import explain, explorer, forest, layouts, neighbours, stats, tables, trailing, validate
 from logloom.operators import profile as profiles
 from logloom.plans import detect as detection
 from logloom.plans import ingest, sync
@@ -310,6 +310,12 @@ def d_signals(spark, folder):
     return detection.signals(views.logs(spark, folder), use_forest=False)
 
 
+def d_signals_null_event(spark, folder):
+    """Logs of which some have no event type, beside a common one."""
+    logs = views.logs(spark, folder).withColumn("event_type", F.when(F.col("id") % 9 != 0, F.lit("GET")))
+    return detection.signals(logs, use_forest=False).filter("code = 'RARE_EVENT'").select("id", "points", "text")
+
+
 def d_score(spark, folder):
     return scored(spark, folder).select("id", "anomaly", "anomaly_score")
 
@@ -330,6 +336,32 @@ def d_iforest(spark, folder):
     return detection.features(logs, profile).select("id", "is_outlier")
 
 
+def d_iforest_share(spark, folder):
+    """Whether the forest keeps to its share, and flags exactly the scores above its limit."""
+    logs = views.logs(spark, folder)
+    profile = profiles.take_profile(logs)
+    counted = staged(trailing.blocks(logs))
+    rows = staged(detection.forest_features(detection.rule_features(logs, profile, counted), profile).select("id", *forest.FEATURES))
+    fitted, scored = forest.fit(rows, profile.total)
+    flags = forest.flagged(scored, fitted)
+    return flags.agg(
+        F.count(F.lit(1)).alias("n"), (F.count_if("is_outlier") <= 0.05 * F.count(F.lit(1))).alias("within_share"),
+        (F.count_if("is_outlier") > 0).alias("some"), F.count_if(F.col("is_outlier") != (F.col("_score") > fitted.limit)).alias("wrong"),
+    )
+
+
+def d_detect_forest(spark, folder):
+    """Scores with the forest, less its points where it flagged: those of the rules alone."""
+    whole = detection.detect(views.logs(spark, folder))
+    told = F.col("anomaly_reason").contains("Isolation Forest")
+    rules = scored(spark, folder).select("id", F.col("anomaly_score").alias("rule_score"))
+    both = staged(whole.join(rules, "id"))
+    expected = F.least(F.lit(100.0), F.col("rule_score") + F.when(told, 15).otherwise(0))
+    quiet = ~F.col("anomaly") & F.col("anomaly_score").isin(F.col("rule_score"), F.col("rule_score") + 15)
+    right = (F.col("anomaly_score") == expected) & (F.col("anomaly") == (F.col("anomaly_score") >= 50))
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(~(right | quiet)).alias("wrong"), (F.count_if(told) > 0).alias("some"))
+
+
 def d_detect_all(spark, folder):
     return detection.detect(views.logs(spark, folder)).select("id", "anomaly", "anomaly_score", "anomaly_reason")
 
@@ -523,14 +555,26 @@ def l_dedup(spark, folder):
 def l_live_score(spark, folder):
     """The stream scored by the statistics of the whole table, stored by day and batch."""
     table, saved, marks = _folder(spark), _folder(spark), _folder(spark)
-    live.save_statistics(views.logs(spark, folder), saved)
+    live.save_statistics(views.logs(spark, folder), saved, use_forest=False)
     live.start(_stream(spark, folder), live.scoring_sink(table, saved), marks).awaitTermination()
     return spark.read.parquet(table).select("id", "anomaly", "anomaly_score", "anomaly_reason")
 
 
+def l_live_forest(spark, folder):
+    """The stream scored by the statistics of the whole table, forest included, against the batch job."""
+    table, saved, marks = _folder(spark), _folder(spark), _folder(spark)
+    logs = views.logs(spark, folder)
+    live.save_statistics(logs, saved)
+    live.start(_stream(spark, folder), live.scoring_sink(table, saved), marks).awaitTermination()
+    result = ("anomaly", "anomaly_score", "anomaly_reason")
+    batch = detection.detect(logs).select("id", F.struct(*result).alias("batch"))
+    both = spark.read.parquet(table).select("id", F.struct(*result).alias("live")).join(batch, "id", "full")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("live").eqNullSafe(F.col("batch"))).alias("differing"))
+
+
 def l_counters(spark, folder):
     table, saved, marks = _folder(spark), _folder(spark), _folder(spark)
-    live.save_statistics(views.logs(spark, folder), saved)
+    live.save_statistics(views.logs(spark, folder), saved, use_forest=False)
     live.start(_stream(spark, folder), live.scoring_sink(table, saved), marks).awaitTermination()
     return live.running_counters(spark.read.parquet(table))
 
@@ -543,7 +587,7 @@ def l_newest(spark, folder):
 
 def l_live_sync(spark, folder):
     table, saved, root, marks = (_folder(spark) for _ in range(4))
-    live.save_statistics(views.logs(spark, folder), saved)
+    live.save_statistics(views.logs(spark, folder), saved, use_forest=False)
     live.start(_stream(spark, folder), live.scoring_sink(table, saved, targets=root), marks).awaitTermination()
     return sync.counts(sync.Payload(*[spark.read.parquet(f"{root}/{name}") for name in sync.TARGETS]))
 

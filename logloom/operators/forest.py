@@ -11,11 +11,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logloom import schema
 from logloom.operators.trailing import quantile
+from logloom.session import staged
 
 FEATURES = ("f_status", "f_severity", "f_window", "f_source", "f_event", "f_hour", "f_length")
 MIN_ROWS = 10
@@ -50,25 +51,18 @@ def feature_columns() -> dict[str, Column]:
 def draw(rows: DataFrame, total: int, settings: Settings = Settings()) -> DataFrame:
     """``(tree, id, features)``: per tree a random sample without replacement.
 
-    Rows are picked by a hash of their id, so the sample does not depend on the
-    partitioning. Small tables may serve several trees; in large ones a row
-    serves one tree at most, which costs one hash per row.
+    A row serves the trees for which a hash of its id, the tree and the seed is
+    small enough, so the sample does not depend on the partitioning. The trees
+    are filtered before the row is repeated: only hits are.
     """
     size = min(settings.sample, total)
     share = min(1.0, (size + 6 * math.sqrt(size) + 10) / total)
 
-    def fraction(*parts: Column) -> Column:
-        return F.shiftrightunsigned(F.xxhash64(*parts, F.lit(settings.seed)), 11) / F.lit(float(1 << 53))
-
-    if share * settings.trees >= 0.25:
-        spread = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(settings.trees - 1))))
-        picked = spread.withColumn("_u", fraction(F.col("id"), F.col("tree"))).filter(F.col("_u") < share)
-    else:
-        picked = (
-            rows.withColumn("_u", fraction(F.col("id")))
-            .filter(F.col("_u") < share * settings.trees)
-            .withColumn("tree", F.floor(F.col("_u") / share).cast("int"))
-        )
+    def fraction(tree: Column) -> Column:
+        return F.shiftrightunsigned(F.xxhash64("id", tree, F.lit(settings.seed)), 11) / F.lit(float(1 << 53))
+
+    trees = F.filter(F.sequence(F.lit(0), F.lit(settings.trees - 1)), lambda tree: fraction(tree) < share)
+    picked = rows.withColumn("tree", F.explode(trees)).withColumn("_u", fraction(F.col("tree")))
     place = F.row_number().over(Window.partitionBy("tree").orderBy("_u", "id"))
     return picked.withColumn("_place", place).filter(F.col("_place") <= size).select("tree", "id", *FEATURES)
 
@@ -147,24 +141,60 @@ def scorer(nodes: DataFrame, sample: int):
     return score
 
 
-def isolation_score(rows: DataFrame, total: int, settings: Settings = Settings()) -> Column:
-    """Fit on ``rows`` (``id`` and features) and return the scoring column, whole millionths."""
-    sample = min(settings.sample, total)
-    nodes = grow(draw(rows.select("id", *FEATURES), total, settings), settings)
+@dataclass(frozen=True)
+class Fitted:
+    """A grown forest: its nodes, rows per tree, and the score above which a row is an outlier."""
+
+    nodes: DataFrame
+    sample: int
+    limit: float
+
+
+def _score(nodes: DataFrame, sample: int) -> Column:
+    """The score of the feature columns, in whole millionths."""
     return F.round(scorer(nodes, sample)(*FEATURES) * SCALE).cast("long")
 
 
+def fit(
+    rows: DataFrame, total: int, contamination: float = schema.CONTAMINATION, settings: Settings = Settings()
+) -> tuple[Fitted, DataFrame]:
+    """The forest of ``rows`` (``id`` and features), and ``rows`` with ``_score``.
+
+    Every row is scored once and stored; the limit, the (1 - contamination)
+    quantile, is read from the stored scores.
+    """
+    sample = min(settings.sample, total)
+    nodes = staged(grow(draw(rows.select("id", *FEATURES), total, settings), settings))
+    scored = staged(rows.withColumn("_score", _score(nodes, sample)))
+    histogram = scored.groupBy(F.col("_score").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    return Fitted(nodes, sample, float(quantile(histogram, 1 - contamination).first()["value"])), scored
+
+
+def flagged(rows: DataFrame, fitted: Fitted) -> DataFrame:
+    """``rows`` plus ``is_outlier`` by an earlier forest."""
+    return rows.withColumn("is_outlier", _score(fitted.nodes, fitted.sample) > fitted.limit)
+
+
 def with_outliers(
     rows: DataFrame, total: int, contamination: float = schema.CONTAMINATION, settings: Settings = Settings()
 ) -> DataFrame:
     """``rows`` plus ``is_outlier``: score strictly above the (1 - contamination) quantile.
 
-    ``rows`` is read several times and should be a stored table. Fewer than ten
-    rows have no outliers.
+    ``rows`` is read twice and should be a stored table. Fewer than ten rows have
+    no outliers.
     """
     if total < MIN_ROWS:
         return rows.withColumn("is_outlier", F.lit(False))
-    score = isolation_score(rows, total, settings)
-    histogram = rows.select(score.alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    limit = quantile(histogram, 1 - contamination).first()["value"]
-    return rows.withColumn("is_outlier", score > limit)
+    fitted, scored = fit(rows, total, contamination, settings)
+    return scored.withColumn("is_outlier", F.col("_score") > fitted.limit).drop("_score")
+
+
+def save(fitted: Fitted, path: str) -> None:
+    fitted.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+    limits = fitted.nodes.sparkSession.createDataFrame([(fitted.sample, fitted.limit)], "sample int, score double")
+    limits.write.mode("overwrite").parquet(f"{path}/limit")
+
+
+def load(spark: SparkSession, path: str) -> Fitted:
+    limit = spark.read.parquet(f"{path}/limit").first()
+    return Fitted(spark.read.parquet(f"{path}/nodes"), limit["sample"], limit["score"])

@@ -22,7 +22,7 @@ def _signals(weights: Mapping[str, int] | None, profile: Profile) -> list[tuple[
     status, severity, message = F.col("status_code"), F.col("severity"), F.col("message")
     ip = F.nullif("ip_address", F.lit(""))
     rare_place = ~location.isin(*profile.common_locations) if profile.common_locations else F.lit(True)
-    rare_event = ~event.isin(*profile.common_events) if profile.common_events else F.lit(True)
+    rare_event = event.isNull() | ~event.isin(*profile.common_events) if profile.common_events else F.lit(True)
     bot = F.coalesce(F.lower(source).contains("bot"), F.lit(False)) | F.coalesce(
         F.lower(message).contains("agent: bot"), F.lit(False)
     )
@@ -83,7 +83,7 @@ def _signals(weights: Mapping[str, int] | None, profile: Profile) -> list[tuple[
             "RARE_EVENT",
             rare_event,
             points("rare_event"),
-            F.format_string("is an unusual event type '%s' (occurring in <=1%% of logs)", event),
+            F.format_string("is an unusual event type '%s' (occurring in <=1%% of logs)", F.coalesce(event, F.lit("None"))),
         ),
         (
             "ISOLATION_FOREST",

@@ -40,8 +40,8 @@ def features(
     """All inputs of the signals: ``rule_features``, ``burst_threshold`` and ``is_outlier``.
 
     The block counts serve both the threshold and the rows, so they are staged.
-    So are the rows when there is a forest, which reads them three times
-    (sample, quantile, flag), instead of repeating the joins.
+    So are the rows when there is a forest, which reads them twice (sample,
+    score), instead of repeating the joins.
     """
     counted = staged(blocks(logs))
     threshold = burst_threshold(histogram(counted)).first()["threshold"]

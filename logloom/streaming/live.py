@@ -11,12 +11,13 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from logloom import schema
-from logloom.operators.profile import Profile, load_profile, notable_ips, profile, take_profile, with_location
+from logloom.operators import forest
+from logloom.operators.profile import Profile, load_profile, notable_ips, take_profile, with_location
 from logloom.operators.signals import with_score
 from logloom.operators.skew import lookup
 from logloom.operators.tables import DAY, table_exists, upsert_table, with_day
 from logloom.operators.trailing import blocks, burst_threshold, histogram, with_trailing_count
-from logloom.plans.detect import detect
+from logloom.plans.detect import detect, forest_features, rule_features
 from logloom.plans.sync import sync_all, write
 from logloom.session import prepare, staged
 
@@ -72,25 +73,36 @@ class Statistics:
 
     profile: Profile
     burst_threshold: float
+    forest: forest.Fitted | None
 
 
-def take_statistics(logs: DataFrame) -> Statistics:
-    return Statistics(take_profile(logs), float(burst_threshold(histogram(blocks(logs))).first()["threshold"]))
+def take_statistics(logs: DataFrame, use_forest: bool = True) -> Statistics:
+    """The statistics of a table; the forest, too, unless there are too few logs for one."""
+    seen, counted = take_profile(logs), staged(blocks(logs))
+    threshold = float(burst_threshold(histogram(counted)).first()["threshold"])
+    if not use_forest or seen.total < forest.MIN_ROWS:
+        return Statistics(seen, threshold, None)
+    rows = staged(forest_features(rule_features(logs, seen, counted), seen).select("id", *forest.FEATURES))
+    return Statistics(seen, threshold, forest.fit(rows, seen.total)[0])
 
 
-def save_statistics(logs: DataFrame, path: str) -> None:
+def save_statistics(logs: DataFrame, path: str, use_forest: bool = True) -> None:
     """Store the statistics of a table for later batches."""
-    profile(logs).write.mode("overwrite").parquet(f"{path}/profile")
-    burst_threshold(histogram(blocks(logs))).write.mode("overwrite").parquet(f"{path}/burst")
+    taken = take_statistics(logs, use_forest)
+    taken.profile.table.write.mode("overwrite").parquet(f"{path}/profile")
+    about = logs.sparkSession.createDataFrame([(taken.burst_threshold, taken.forest is not None)], "threshold double, forest boolean")
+    if taken.forest is not None:
+        forest.save(taken.forest, f"{path}/forest")
+    about.write.mode("overwrite").parquet(f"{path}/burst")
 
 
 def load_statistics(spark: SparkSession, path: str) -> Statistics:
-    table = spark.read.parquet(f"{path}/profile")
-    return Statistics(load_profile(table), float(spark.read.parquet(f"{path}/burst").first()["threshold"]))
+    table, about = spark.read.parquet(f"{path}/profile"), spark.read.parquet(f"{path}/burst").first()
+    return Statistics(load_profile(table), about["threshold"], forest.load(spark, f"{path}/forest") if about["forest"] else None)
 
 
 def score_batch(batch: DataFrame, recent: DataFrame | None, saved: Statistics, threshold: int = schema.THRESHOLD) -> DataFrame:
-    """Score new logs by saved statistics; the trailing counts are exact.
+    """Score new logs by saved statistics, the forest's included; the trailing counts are exact.
 
     ``recent`` are stored logs of the five minutes before the batch. The counts
     follow event time, so it does not matter in which order rows came.
@@ -101,7 +113,11 @@ def score_batch(batch: DataFrame, recent: DataFrame | None, saved: Statistics, t
     counted = with_trailing_count(with_location(rows)).filter("_new").drop("_new")
     seen = saved.profile
     known = lookup(counted, notable_ips(seen.table), "ip_address", "id", seen.sizes.get("ip", 0), seen.total)
-    ready = known.withColumns({"burst_threshold": F.lit(saved.burst_threshold), "is_outlier": F.lit(False)})
+    ready = known.withColumn("burst_threshold", F.lit(saved.burst_threshold))
+    if saved.forest is None:
+        ready = ready.withColumn("is_outlier", F.lit(False))
+    else:
+        ready = forest.flagged(forest_features(ready, seen), saved.forest)
     return with_score(ready, seen, threshold).select(*columns, "anomaly", "anomaly_score", "anomaly_reason")
 
 
