@@ -103,6 +103,22 @@ def _context(groups: DataFrame, at: str, reach: int, widths: tuple[int, ...]) ->
     )
 
 
+def _reachable(keyed: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
+    """The logs of ``keyed`` in hours that may hold a neighbour of a wanted one.
+
+    An hour that has logs has at least one, so those of the ``reach`` hours with
+    logs before and after a wanted one are enough. Hours are counted with partial
+    aggregation; all other logs stay out of the sorting.
+    """
+    stretch = _SECOND * _HOUR
+    hour = F.call_function("div", F.col("_t") - F.pmod(F.col("_t"), F.lit(stretch)), F.lit(stretch)).alias("_hour")
+    marked = keyed.select(*_KEY, hour, F.lit(0).alias("_wanted")).unionByName(wanted.select(*_KEY, hour, F.lit(1).alias("_wanted")))
+    hours = marked.groupBy(*_KEY, "_hour").agg(F.max("_wanted").alias("_wanted"))
+    near = F.max("_wanted").over(Window.partitionBy(*_KEY).orderBy("_hour").rowsBetween(-reach, reach))
+    needed = hours.withColumn("_near", near).filter("_near = 1").select(*_KEY, "_hour")
+    return keyed.withColumn("_hour", hour).join(needed, [*_KEY, "_hour"], "left_semi").drop("_hour")
+
+
 def neighbours(logs: DataFrame, targets: DataFrame, reach: int = REACH) -> DataFrame:
     """One row per target: ``id`` and ``context``, the neighbours in time order around it.
 
@@ -110,7 +126,7 @@ def neighbours(logs: DataFrame, targets: DataFrame, reach: int = REACH) -> DataF
     """
     wanted = _keyed(targets)
     spots = wanted.groupBy(*_KEY, "_t").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
-    context = _context(_times(_keyed(logs), reach), "_t", reach, (_SECOND, _HOUR)).join(spots, [*_KEY, "_t"])
+    context = _context(_times(_reachable(_keyed(logs), wanted, reach), reach), "_t", reach, (_SECOND, _HOUR)).join(spots, [*_KEY, "_t"])
 
     # Payload is joined per key and time, where a log is named a few times at
     # most, and not per target, where one log may be named by very many.
