@@ -28,7 +28,7 @@ def put(folder: str, name: str, data: bytes) -> tuple[str, str, int]:
     system, top = place(folder)
     temporary = f"_temporary/{uuid.uuid4().hex}-{name}"
     system.create_dir(f"{top}/_temporary", recursive=True)
-    with system.open_output_stream(f"{top}/{temporary}") as out:
+    with system.open_output_stream(f"{top}/{temporary}", compression=None) as out:
         out.write(data)
     return temporary, hashlib.sha256(data).hexdigest(), len(data)
 
@@ -70,7 +70,7 @@ def each(manifest: DataFrame, parts: int) -> DataFrame:
 def get(folder: str, row: dict) -> bytes:
     """The whole content of a file, held against the manifest."""
     system, top = place(folder)
-    with system.open_input_stream(f"{top}/{row['name']}") as stream:
+    with system.open_input_stream(f"{top}/{row['name']}", compression=None) as stream:
         data = stream.read()
     if len(data) != row["bytes"] or hashlib.sha256(data).hexdigest() != row["sha256"]:
         raise ValueError(f"{row['name']} differs from the manifest")

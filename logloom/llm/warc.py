@@ -85,7 +85,7 @@ def _boundaries(narrow: DataFrame, shard_bytes: int, shards: int) -> list[int]:
     total = known.agg(F.sum("size")).first()[0] or 0
     each = max(shard_bytes, -(-total // shards))
     placed = running_total(known, ["page_id"], "size", "_before").withColumn("_shard", F.expr(f"_before div {each}"))
-    return sorted({r[0] for r in placed.groupBy("_shard").agg(F.min("page_id")).collect()})[1:]  # at most ``shards``
+    return sorted(r[1] for r in placed.groupBy("_shard").agg(F.min("page_id")).collect())[1:]  # at most ``shards``
 
 
 def write(
