@@ -351,6 +351,12 @@ ORACLES = {
     "s_csv_scan": q(CHECKED, """SELECT timestamp, source, event_type, severity, ip_address, status_code, endpoint,
       replace(CASE WHEN message_text = '' THEN '' ELSE message END, ' | ', chr(10) || '"quoted", ') || CASE WHEN message_text = '' THEN message ELSE '' END AS message,
       is_duplicate FROM valid JOIN (SELECT row_no, message_text FROM filled) USING (row_no)"""),
+    "s_csv_wide": q(CHECKED, "SELECT timestamp, source, event_type, severity, ip_address, status_code, endpoint, message FROM valid"),
+    "s_csv_mixed": q(CHECKED, "SELECT timestamp, source, event_type, severity, ip_address, status_code, message FROM valid"),
+    "s_csv_tab": q(CHECKED, "SELECT timestamp, source, event_type, severity, status_code FROM valid"),
+    "s_csv_pipe": q(CHECKED, "SELECT timestamp, source, event_type, severity, status_code FROM valid"),
+    "s_empty_checks": """SELECT name, field, message, (SELECT count(*) FROM events) AS n FROM (VALUES
+      ('nothing', 'file', 'Uploaded file is completely empty.'), ('header', 'file', 'Dataset is empty. No log records found.')) t(name, field, message)""",
     "s_append": q(LOGS, "SELECT strftime(timestamp, '%Y-%m-%d') AS dt, count(*) AS n, max(id) AS last_id FROM logs GROUP BY dt"),
     "s_export": q(EXPLAINED, """SELECT id::VARCHAR AS "ID", strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS "Timestamp", source AS "Source",
       event_type AS "Event Type", severity AS "Severity", coalesce(ip_address, '') AS "IP Address", coalesce(status_code::VARCHAR, '') AS "Status Code",

@@ -167,6 +167,50 @@ def s_csv_scan(spark, folder):
     return ingest.validate_file(spark, path).valid.select(*VALID[1:])
 
 
+def s_csv_wide(spark, folder):
+    """A header of 300 columns and more than 4,096 characters."""
+    path, wide = _folder(spark), [f"extra_column_number_{i:04d}" for i in range(292)]
+    rows = views.logs_raw(spark, folder).drop("row_no")
+    rows.select(*[F.lit("x").alias(c) for c in wide], *rows.columns).write.option("header", True).option("escape", '"').csv(path)
+    return ingest.validate_file(spark, path).valid.select(*VALID[1:-1])
+
+
+def s_csv_mixed(spark, folder):
+    """Two files with their columns in another order, one of them without an endpoint, and another delimiter each."""
+    path, rows = _folder(spark), views.logs_raw(spark, folder)
+    names = [c for c in rows.columns if c != "row_no"]
+    one, two = rows.filter(F.col("row_no") % 2 == 0).select(*names), rows.filter(F.col("row_no") % 2 == 1)
+    for part, kept in ((one, names), (two, [c for c in reversed(names) if c != "endpoint"])):
+        part.select(*kept).coalesce(1).write.mode("append").option("header", True).option("escape", '"').option("sep", ";").csv(path)
+    return ingest.validate_file(spark, path).valid.select(*[c for c in VALID[1:-1] if c != "endpoint"])
+
+
+def _csv_by(spark, folder, sep):
+    path = _folder(spark)
+    views.logs_raw(spark, folder).drop("row_no").withColumn("message", F.replace("message", F.lit("|"), F.lit("/"))).write.option("header", True).option("escape", '"').option("sep", sep).csv(path)
+    return ingest.validate_file(spark, path).valid.select("timestamp", "source", "event_type", "severity", "status_code")
+
+
+def s_csv_tab(spark, folder):
+    return _csv_by(spark, folder, "\t")
+
+
+def s_csv_pipe(spark, folder):
+    return _csv_by(spark, folder, "|")
+
+
+def s_empty_checks(spark, folder):
+    """What files without rows or header report, beside how many events there are."""
+    total = views.logs(spark, folder).agg(F.count(F.lit(1)).alias("n"))
+    found = None
+    for name, line in (("nothing", ""), ("header", "timestamp,source,event_type,severity,message")):
+        path = _folder(spark)
+        total.select(F.lit(line).alias("value")).write.text(path)
+        errors = ingest.validate_file(spark, path).errors.crossJoin(F.broadcast(total)).select(F.lit(name).alias("name"), "field", "message", "n")
+        found = errors if found is None else found.unionByName(errors)
+    return found
+
+
 def s_append(spark, folder):
     path = _folder(spark)
     tables.append_logs(views.logs(spark, folder).filter(F.col("id") % 2 == 0), path)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from logloom import schema
 from logloom.functions.text import filled, first_filled
 from logloom.functions.times import parse_time
+from logloom.operators.skew import lookup
 from logloom.session import staged
 
 _NULL_WORDS = ("nan", "none", "null")
@@ -164,16 +165,18 @@ def check_rows(raw: DataFrame) -> DataFrame:
 def mark_duplicates(valid: DataFrame) -> DataFrame:
     """Flag every valid row that is not the first of its key.
 
-    The firsts come from a partially aggregated minimum, and are matched back on
-    the unique ``row_no``: a key that holds a third of all rows is never
-    gathered in one task, as a window over the key would do.
+    Keys are counted with partial aggregation, and only those that occur more
+    than once are looked up; rows are not moved for the others, and no key is
+    gathered in one task. Null and empty parts of a key differ.
     """
-    firsts = (
-        valid.groupBy(*DUPLICATE_KEY)
-        .agg(F.min("row_no").alias("row_no"))
-        .select("row_no", F.lit(False).alias("is_duplicate"))
-    )
-    return valid.join(firsts, "row_no", "left").withColumn("is_duplicate", F.coalesce("is_duplicate", F.lit(True)))
+    parts = [part for c in DUPLICATE_KEY for part in (F.col(c), F.col(c).isNull())]
+    key = F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(2), *parts).alias("b"))
+    keyed = valid.withColumn("_key", key)
+    repeated = staged(keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("n"), F.min("row_no").alias("_first")).filter("n > 1"))
+    size, total = repeated.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    found = lookup(keyed, repeated, "_key", "row_no", size, total)
+    flag = F.coalesce(F.col("row_no") != F.col("_first"), F.lit(False))
+    return found.withColumn("is_duplicate", flag).drop("_key", "_first")
 
 
 def valid_rows(checked: DataFrame) -> DataFrame:

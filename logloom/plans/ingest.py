@@ -15,7 +15,7 @@ from logloom.sources.delimited import read_delimited
 FAILED = "Upload failed. All rows were rejected due to schema or parsing errors."
 
 
-def validate_file(spark: SparkSession, path: str, sep: str | None = None, multi_line: bool = True) -> Report:
+def validate_file(spark: SparkSession, path: str, sep: str | None = None, multi_line: bool | None = None) -> Report:
     """Read and validate; a file that has no rows gives a single file-level error."""
     prepare(spark)
     text = F.trim(F.replace("value", F.lit("\ufeff"), F.lit("")))
@@ -50,7 +50,7 @@ def import_report(report: Report, anomalies: DataFrame | None = None) -> DataFra
 
 
 def import_file(
-    spark: SparkSession, path: str, table: str, sep: str | None = None, multi_line: bool = True, run_detection: bool = False,
+    spark: SparkSession, path: str, table: str, sep: str | None = None, multi_line: bool | None = None, run_detection: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Validate a file, append its valid rows, and return report and first errors.
 

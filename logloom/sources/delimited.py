@@ -22,39 +22,71 @@ def sniff_delimiter(sample: str) -> str:
         return ","
 
 
-def head(spark: SparkSession, path: str) -> str:
-    """The first lines of one file, cut to the sample size: all the driver ever reads."""
+def head(spark: SparkSession, path: str | list[str]) -> str:
+    """The first lines of one file, cut to the sample size, from which the delimiter is told."""
     lines = spark.read.text(path).select(F.substring("value", 1, SAMPLE_CHARACTERS).alias("value")).take(200)
     return "\n".join(row.value or "" for row in lines).lstrip("\ufeff")[:SAMPLE_CHARACTERS]
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str | None = None, multi_line: bool = True) -> DataFrame | None:
+def _first_record(spark: SparkSession, file: str, line: str) -> str:
+    """A file's first record, whole: more lines are read while a quote is open."""
+    count = 64
+    while line.count('"') % 2:
+        lines = [row.value or "" for row in spark.read.text(file).take(count)]
+        for end in range(1, len(lines) + 1):
+            line = "\n".join(lines[:end])
+            if line.count('"') % 2 == 0:
+                return line
+        if len(lines) < count:
+            break
+        count *= 4
+    return line
+
+
+def _files(spark: SparkSession, path: str) -> list[tuple[str, str, bool]]:
+    """Each file, its first record, and whether line breaks stand inside quotes; from one scan of the lines."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq")).alias("place"),
+        "value",
+    )
+    open_quote = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
+    rows = lines.groupBy("file").agg(F.min_by("value", "place").alias("line"), F.max(open_quote).alias("breaks")).collect()
+    return [(r.file, _first_record(spark, r.file, (r.line or "").lstrip("\ufeff")), bool(r.breaks)) for r in sorted(rows)]
+
+
+def read_delimited(spark: SparkSession, path: str, sep: str | None = None, multi_line: bool | None = None) -> DataFrame | None:
     """All rows of the files at ``path`` as text, with normalised names and ``row_no``.
 
-    ``multi_line`` allows line breaks inside quotes, at the price of one task per
-    file; pass False for large files without such breaks, which Spark then splits.
-    The files share one header. Returns None when there is no header.
+    Every file is read by its own header, which may be of any length and order;
+    columns are matched by name, and one that a file lacks is null there. Files
+    with line breaks inside quotes, which Spark cannot split, are found by their
+    quotes; ``multi_line`` sets it for all. Returns None when there is no header.
     """
-    sample = head(spark, path)
-    sep = sep or sniff_delimiter(sample)
-    first = next(csv.reader(sample.splitlines(), delimiter=sep), [])
-    if not any(cell.strip() for cell in first):
-        return None
-    # Of columns with the same normalised name the last one counts.
-    columns = {normalize_header(name): f"c{place}" for place, name in enumerate(first) if name.strip()}
-    rows = (
-        spark.read.schema(", ".join(f"c{place} string" for place in range(len(first))))
-        .option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
-        .option("multiLine", multi_line).csv(path)
-    )
-    return number_rows(
-        rows.select(
+    groups: dict[tuple, list[str]] = {}
+    for file, record, breaks in _files(spark, path):
+        mark = sep or sniff_delimiter(head(spark, file) if not groups else record)
+        if not sep and groups:
+            mark = next((known[1] for known in groups if known[1] in record), mark)
+        first = next(csv.reader(record.splitlines(keepends=True), delimiter=mark), [])
+        if any(cell.strip() for cell in first):
+            groups.setdefault((tuple(first), mark, breaks if multi_line is None else multi_line), []).append(file)
+    rows = None
+    for (first, mark, lines), files in groups.items():
+        # Of columns with the same normalised name the last one counts.
+        columns = {normalize_header(name): f"c{place}" for place, name in enumerate(first) if name.strip()}
+        read = (
+            spark.read.schema(", ".join(f"c{place} string" for place in range(len(first))))
+            .option("header", True).option("sep", mark).option("quote", '"').option("escape", '"')
+            .option("multiLine", lines).csv(files)
+        )
+        part = read.select(
             *[F.col(c).alias(name) for name, c in columns.items()],
             F.col("_metadata.file_path").alias("_file"),
             F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_seq"),
         )
-    )
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    return None if rows is None else number_rows(rows.withColumn("_seq", F.monotonically_increasing_id()))
 
 
 def number_rows(rows: DataFrame) -> DataFrame:
