@@ -331,6 +331,14 @@ ORACLES = {
     # Validation
     "v_valid": q(CHECKED, f"SELECT {_VALID} FROM valid"),
     "v_errors": q(CHECKED, "SELECT row_no, field, message FROM errors"),
+    "v_iso_forms": q(LOGS, """SELECT id, CASE id % 12
+        WHEN 0 THEN strftime(t, '%Y%m%dT%H%M%S') WHEN 1 THEN strftime(t, '%G-W%V-%uT%H:%M:%S') WHEN 2 THEN strftime(t, '%Y-%m-%d_%H:%M:%S')
+        WHEN 3 THEN strftime(t, '%Y-%m-%d %H:%M:%S,500') WHEN 4 THEN strftime(t, '%Y-%m-%dT%H:%M:%S+02:00') WHEN 5 THEN strftime(t, '%Y-%m-%dT%H:%M:%S.123456789Z')
+        WHEN 6 THEN strftime(t, '%Y-%m-%dT%H:%M') WHEN 7 THEN strftime(t, '%Y-%m-%dT%H') WHEN 8 THEN strftime(t, '%Y%m%dT%H%M%S.25-0530')
+        WHEN 9 THEN strftime(t, '%GW%V%u') WHEN 10 THEN strftime(t, '%Y-%m-%d %H:%M:%S Europe/Paris') ELSE strftime(t, '%Y-W54-1') END AS written,
+      CASE WHEN id % 12 IN (0, 1, 2, 4) THEN t WHEN id % 12 = 3 THEN t + INTERVAL 500 MILLISECONDS WHEN id % 12 = 5 THEN t + INTERVAL 123456 MICROSECONDS
+        WHEN id % 12 = 6 THEN date_trunc('minute', t) WHEN id % 12 = 7 THEN date_trunc('hour', t) WHEN id % 12 = 8 THEN t + INTERVAL 250 MILLISECONDS
+        WHEN id % 12 = 9 THEN date_trunc('day', t) END AS parsed FROM (SELECT id, timestamp AS t FROM logs)"""),
     "v_error_head": q(CHECKED, "SELECT row_no::VARCHAR AS row, field, message FROM errors ORDER BY row_no, field DESC LIMIT 20"),
     "v_summary": q(SUMMARY, "SELECT * FROM summed"),
     "v_duplicates": q(CHECKED, "SELECT row_no FROM valid WHERE is_duplicate"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions.clean import normalize_ip, normalize_status, sanitize
-from logloom.functions.times import normalize_time
+from logloom.functions.times import normalize_time, parse_time
 from logloom.operators import explain, explorer, forest, layouts, neighbours, stats, tables, trailing, validate
 from logloom.operators import profile as profiles
 from logloom.plans import detect as detection
@@ -140,6 +140,24 @@ def v_errors(spark, folder):
     return validate.validate(views.logs_raw(spark, folder)).errors
 
 
+def v_iso_forms(spark, folder):
+    """Times of the logs written in twelve ways; the last two are not times."""
+    time, form = F.col("timestamp"), F.col("id") % 12
+    written = F.lit(None).cast("string")
+    week = F.format_string("%04d-W%02d-%d", F.extract(F.lit("YEAROFWEEK"), time), F.weekofyear(time), F.weekday(time) + 1)
+    forms = (
+        F.date_format(time, "yyyyMMdd'T'HHmmss"), F.concat(week, F.date_format(time, "'T'HH:mm:ss")),
+        F.date_format(time, "yyyy-MM-dd'_'HH:mm:ss"), F.date_format(time, "yyyy-MM-dd HH:mm:ss',500'"), F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss'+02:00'"),
+        F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss'.123456789Z'"), F.date_format(time, "yyyy-MM-dd'T'HH:mm"), F.date_format(time, "yyyy-MM-dd'T'HH"),
+        F.date_format(time, "yyyyMMdd'T'HHmmss'.25-0530'"), F.replace(week, F.lit("-"), F.lit("")), F.date_format(time, "yyyy-MM-dd HH:mm:ss' Europe/Paris'"),
+        F.date_format(time, "yyyy'-W54-1'"),
+    )
+    for place, text in enumerate(forms):
+        written = F.when(form == place, text).otherwise(written)
+    logs = views.logs(spark, folder).withColumn("written", written)
+    return logs.select("id", "written", parse_time(F.col("written")).alias("parsed"))
+
+
 def v_error_head(spark, folder):
     return validate.error_head(validate.validate(views.logs_raw(spark, folder)).errors)
 
@@ -341,9 +359,9 @@ def d_trailing_count(spark, folder):
 
 
 def d_trailing_busy(spark, folder):
-    """The same counts by the way that hot sources and stretches need."""
+    """The same counts from stored blocks and rows in another order."""
     logs = views.logs(spark, folder)
-    return trailing.with_trailing_count(logs, trailing.blocks(logs, busy=True)).select("id", "n_5m")
+    return trailing.with_trailing_count(logs.orderBy(F.xxhash64("id")), staged(trailing.blocks(logs))).select("id", "n_5m")
 
 
 def d_burst_threshold(spark, folder):

@@ -6,14 +6,10 @@ not come after the log in ``(time, id)`` order.
 Logs are first counted per source, time and block of 2**20 ids, with partial
 aggregation. Ids are unique, so no block has more rows than that, and a row
 number inside the block completes the count. What lies before a block comes from
-the counts alone, in one of two ways:
-
-* :func:`_over_stretches`: one window over source and five-minute stretch, while
-  the busiest stretch, which is measured, fits in one task;
-* :func:`_over_cells` otherwise, because a source or a stretch is hot: *cells* of
-  10 ms per source; the 30,000 cells before a block's cell come from a running
-  sum over their counts, and inside a cell the counts per distinct time are
-  added, less what leaves the window. Each piece is bounded whatever the data.
+the counts alone, by *cells* of 10 ms per source: the 30,000 cells before a
+block's cell come from a running sum over their counts, and inside a cell the
+counts per distinct time are added, less what leaves the window. Each piece is
+bounded whatever the data.
 
 Everywhere a log adds to a running sum when it arrives and is taken off again a
 span later: one addition per row, where a sliding frame would add up its rows.
@@ -30,7 +26,6 @@ from logloom.session import staged
 
 SPAN = schema.WINDOW_SECONDS * 1_000_000
 CELL = 10_000
-STRETCH_ROWS = 1_000_000
 BLOCK_BITS = 20
 _STEPS = SPAN // CELL
 _PLACE = ["_source", "_t", "_block"]
@@ -47,17 +42,9 @@ def _placed(logs: DataFrame) -> DataFrame:
     return logs.withColumns({"_source": source, "_t": time, "_block": F.shiftright(F.col("id").cast("long"), BLOCK_BITS)})
 
 
-def is_busy(logs: DataFrame) -> bool:
-    """Whether some source has too many logs in a five-minute stretch for one task."""
-    stretches = _placed(logs).groupBy("_source", _div(F.col("_t"), SPAN)).agg(F.count(F.lit(1)).alias("_n"))
-    return (stretches.agg(F.max("_n")).first()[0] or 0) > STRETCH_ROWS
-
-
-def blocks(logs: DataFrame, busy: bool | None = None) -> DataFrame:
+def blocks(logs: DataFrame) -> DataFrame:
     """``(_source, _t, _block, _n, _base)``: a block's logs and the count before its first one."""
-    busy = is_busy(logs) if busy is None else busy
-    counted = _placed(logs).groupBy(*_PLACE).agg(F.count(F.lit(1)).alias("_n"))
-    return _over_cells(counted) if busy else _over_stretches(counted)
+    return _over_cells(_placed(logs).groupBy(*_PLACE).agg(F.count(F.lit(1)).alias("_n")))
 
 
 def _with_base(moves: DataFrame, group: str) -> DataFrame:
@@ -81,16 +68,6 @@ def _move(group: str, at: Column, time: Column, value: Column, own: bool) -> Col
     )
 
 
-def _over_stretches(counted: DataFrame) -> DataFrame:
-    """A stretch also sees the arrivals of the stretch before it, and when these leave."""
-    stretch, time, number = _div(F.col("_t"), SPAN), F.col("_t"), F.col("_n")
-    return _with_base(counted.select("_source", F.inline(F.array(
-        _move("_stretch", stretch, time, number, True),
-        _move("_stretch", stretch + 1, time, number, False),
-        _move("_stretch", stretch + 1, time + SPAN, -number, False),
-    ))), "_stretch")
-
-
 def _over_cells(counted: DataFrame) -> DataFrame:
     # Logs in the full cells of the span before each cell, as a running sum per
     # source and span-long stretch: cells of this stretch and the last one add

@@ -114,20 +114,8 @@ def test_trailing_counts_equal_brute_force(spark, monkeypatch, bits):
         rows.append((i, datetime(2024, 1, 1) + timedelta(microseconds=offset), pick.choice("ab")) if i % 3 else (i, BASE, "hot"))
     df = spark.createDataFrame(rows, "id long, timestamp timestamp_ntz, source string")
     expected = brute_counts(rows)
-    for busy in (False, True):
-        found = trailing.with_trailing_count(df, trailing.blocks(df, busy))
-        assert {r.id: r.n_5m for r in found.collect()} == expected
-
-
-def test_busy_stretches_are_measured(spark, small, monkeypatch):
-    from logloom.sources.tables import logs as read
-
-    logs = read(spark, small)
-    assert not trailing.is_busy(logs)
-    reasons = {r.id: r.anomaly_reason for r in d.detect(logs, use_forest=False).collect()}
-    monkeypatch.setattr(trailing, "STRETCH_ROWS", 3)
-    assert trailing.is_busy(logs)
-    assert {r.id: r.anomaly_reason for r in d.detect(logs, use_forest=False).collect()} == reasons
+    found = trailing.with_trailing_count(df, trailing.blocks(df))
+    assert {r.id: r.n_5m for r in found.collect()} == expected
 
 
 def test_burst_threshold_equals_interpolated_percentile(spark):
