@@ -15,11 +15,11 @@ def now():
 
 
 def test_json_values(spark):
-    row = (float("nan"), float("inf"), 42.567891234, 100, datetime(2026, 8, 27, 10, 30), "Hello\x00World\x1f!\n ", [1.0, float("nan")], {"inner": -math.inf}, None)
+    row = (float("nan"), float("inf"), 17.123456789, 100, datetime(2026, 8, 27, 10, 30), "left\x00right\x1f?\n ", [1.0, float("nan")], {"inner": -math.inf}, None)
     kind = "a double, b double, c double, d int, e timestamp_ntz, f string, g array<double>, h map<string,double>, i struct<x:string>"
     found = json.loads(to_json(spark.createDataFrame([row], kind)).first().json)
     assert found == {
-        "a": None, "b": None, "c": 42.567891, "d": 100, "e": "2026-08-27T10:30:00", "f": "HelloWorld!", "g": [1.0, None], "h": {"inner": None}, "i": None,
+        "a": None, "b": None, "c": 17.123457, "d": 100, "e": "2026-08-27T10:30:00", "f": "leftright?", "g": [1.0, None], "h": {"inner": None}, "i": None,
     }
 
 
@@ -32,13 +32,13 @@ def test_status_codes(spark):
 
 
 def test_access_layout(spark):
-    record = [("2026-08-27 12:00:00", "192.168.1.100", "login", "200", "web-admin", "/session/9999", "India")]
+    record = [("2025-03-02 12:00:00", "172.16.0.3", "lent", "204", "web-reader", "/session/41", "Norway")]
     df = spark.createDataFrame(record, "timestamp string, ip_address string, event_type string, status_code string, source string, endpoint string, location string")
     row = y.clean_records(df, now()).first().asDict()
     assert len(row.pop("id")) == 36
     assert row == {
-        "timestamp": "2026-08-27T12:00:00Z", "ip_address": "192.168.1.100", "event_type": "LOGIN", "status_code": 200,
-        "user_agent": "Web-admin", "session_id": "9999", "location": "India",
+        "timestamp": "2025-03-02T12:00:00Z", "ip_address": "172.16.0.3", "event_type": "LENT", "status_code": 204,
+        "user_agent": "Web-reader", "session_id": "41", "location": "Norway",
     }
 
 
@@ -61,23 +61,23 @@ def test_names_are_stable(spark):
 
 
 def scored(spark):
-    row = log(1, datetime(2026, 8, 26, 10), "payment-service", "PAYMENT", "ERROR", "192.168.1.10", 500, None, "Payment timeout")
-    extra = {"anomaly": F.lit(True), "anomaly_score": F.lit(85.0), "anomaly_reason": F.lit("HTTP 500 server error")}
+    row = log(1, datetime(2026, 8, 26, 10), "desk", "FINE_DUE", "ERROR", "172.16.0.4", 500, None, "the till is shut")
+    extra = {"anomaly": F.lit(True), "anomaly_score": F.lit(85.0), "anomaly_reason": F.lit("shut twice")}
     return frame(spark, [row]).withColumns(extra)
 
 
 def test_cloud_records(spark):
-    told = scored(spark).withColumns({"ai_explanation": F.lit(" Gateway timeout. "), "ai_root_cause": F.lit("Drop.")})
+    told = scored(spark).withColumns({"ai_explanation": F.lit(" No key. "), "ai_root_cause": F.lit("Lost.")})
     one = y.cloud_logs(told, now()).first()
     assert (one.timestamp, one.created_at, one.status_code) == ("2026-08-26T10:00:00", "2026-09-01T00:00:00", 500)
     anomaly = y.cloud_anomalies(told, now()).first()
     assert (anomaly.is_anomaly, anomaly.anomaly_score, anomaly.log_id) == (True, 85.0, one.id)
     assert y.cloud_anomalies(told, now(), narrow=True).columns == ["id", "log_id", "is_anomaly", "is_anamoly"]
     ai = y.cloud_explanations(told, now()).first()
-    assert (ai.anomaly_id, ai.explanation, ai.root_cause) == (anomaly.id, "Gateway timeout.", "Drop.")
+    assert (ai.anomaly_id, ai.explanation, ai.root_cause) == (anomaly.id, "No key.", "Lost.")
     bare = y.cloud_explanations(scored(spark), now()).first()
-    assert bare.explanation == "HTTP 500 server error"
-    assert bare.root_cause == "Abnormal behavioral signature detected on PAYMENT."
+    assert bare.explanation == "shut twice"
+    assert bare.root_cause == "Abnormal behavioral signature detected on FINE_DUE."
     nothing = y.cloud_explanations(frame(spark, [log(1)]), now()).first()
     assert nothing.explanation == "Suspicious HTTP_REQUEST event flagged with severity INFO."
 
@@ -105,14 +105,14 @@ def test_export(spark, tmp_path):
 DUMP = """
  Event[0]
   Log Name: Application
-  Source: Test-App-Service
+  Source: Reading Room
   Date: 2026-08-27T22:15:00.0000000Z
   Event ID: 04040
   Level: Error 
-  Computer: DESKTOP-TEST
+  Computer: ROOM-3
   Description: 
-Failed to connect   to backend\x07 database
-on port 5432.
+The lamp   of desk\x07 nine
+went out.
  
 
  Event[1]
@@ -130,8 +130,8 @@ def test_event_text(spark, tmp_path):
     rows = parse_event_text(read_event_text(spark, str(tmp_path / "dump.txt")), now()).collect()
     assert len(rows) == 3
     assert rows[0].asDict() == {
-        "timestamp": "2026-08-27T22:15:00Z", "source": "Test-App-Service", "event_type": "WIN_APPLICATION", "severity": "ERROR", "status_code": 500,
-        "ip_address": "127.0.0.1", "endpoint": "/system/application/4040", "message": "Failed to connect to backend database on port 5432.",
+        "timestamp": "2026-08-27T22:15:00Z", "source": "Reading Room", "event_type": "WIN_APPLICATION", "severity": "ERROR", "status_code": 500,
+        "ip_address": "127.0.0.1", "endpoint": "/system/application/4040", "message": "The lamp of desk nine went out.",
     }
     assert (rows[1].severity, rows[1].status_code, rows[1].source) == ("CRITICAL", 503, "Windows-Application")
     assert len(rows[1].message) == 303 and rows[1].timestamp == "2026-09-01T00:00:00Z"
