@@ -17,7 +17,8 @@ from logloom.session import staged
 SHINGLE = 3
 RADIUS = 3
 SEED = 42
-_BLOCK = 16
+#: Three blocks of bits, of which one at a time is blanked.
+_BLOCKS = (range(0, 22), range(22, 43), range(43, 64))
 
 
 def fingerprint(text: bytes | None, width: int = SHINGLE, seed: int = SEED) -> int:
@@ -51,11 +52,30 @@ def _signed(n: int) -> int:
     return n - (1 << 64) if n >> 63 else n
 
 
-def _variants(rows: DataFrame, kept_and_flip: list[tuple[int, int]]) -> DataFrame:
-    """Every row once for each (bits kept, bits flipped), with the fingerprint so changed as ``key``."""
-    changes = F.explode(F.array(*[F.struct(F.lit(_signed(k)).alias("kept"), F.lit(_signed(f)).alias("flip")) for k, f in kept_and_flip]))
+def _variants(rows: DataFrame, even: list[tuple[int, int]], odd: list[tuple[int, int]]) -> DataFrame:
+    """Every row once for each (bits kept, bits flipped) of its parity, with the fingerprint so changed as ``key``."""
+    def changes(pairs: list[tuple[int, int]]) -> Column:
+        return F.array(*[F.struct(F.lit(_signed(k)).alias("kept"), F.lit(_signed(f)).alias("flip")) for k, f in pairs])
+
+    listed = changes(even) if even is odd else F.when(F.bit_count("fp") % 2 == 0, changes(even)).otherwise(changes(odd))
     key = F.col("fp").bitwiseAND(F.col("_c.kept")).bitwiseXOR(F.col("_c.flip"))
-    return rows.withColumn("_c", changes).withColumn("key", key).drop("_c")
+    return rows.withColumn("_c", F.explode(listed)).withColumn("key", key).drop("_c")
+
+
+def _blanked() -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """What fingerprints with an even and an odd number of set bits emit to meet at three differing bits.
+
+    Three bits apart, one is even and the other odd. If some block holds two or
+    three of the bits, blanking it leaves at most one, which the odd side flips.
+    Otherwise each block holds one: with the first blanked, the even side flips
+    its bit of the second and the odd side its bit of the third.
+    """
+    whole, even, odd = (1 << 64) - 1, [], []
+    for block in _BLOCKS:
+        kept = whole ^ sum(1 << b for b in block)
+        even.append((kept, 0))
+        odd += [(kept, 0)] + [(kept, 1 << b) for b in range(64) if b not in block]
+    return even + [(even[0][0], 1 << b) for b in _BLOCKS[1]], odd
 
 
 def _within(a: Column, b: Column) -> Column:
@@ -67,22 +87,17 @@ def _linked(prints: DataFrame) -> DataFrame:
 
     Half the radius is one flip and a half. With one flip from each side two
     fingerprints meet if they differ in two bits at most, and whatever meets is
-    linked; at most 65 can share a variant. For the half flip one of four blocks
-    of 16 bits is blanked in turn: of three differing bits one lies in some
-    block, and the other two are met by one flip from each side. What meets
-    there is verified, and only where it isn't yet connected.
+    linked; at most 65 can share a variant. For the half flip a block of bits is
+    blanked, see ``_blanked``; what meets there is verified, and only where it
+    isn't yet connected.
     """
     whole = (1 << 64) - 1
     balls = [(whole, 0)] + [(whole, 1 << b) for b in range(64)]
-    near = _variants(prints, balls).groupBy("key").agg(F.collect_list("fp").alias("_all")).filter(F.size("_all") > 1)
+    near = _variants(prints, balls, balls).groupBy("key").agg(F.collect_list("fp").alias("_all")).filter(F.size("_all") > 1)
     first = components(near.select(F.array_min("_all").alias("b"), F.explode("_all").alias("a")).select("a", "b"))
 
     placed = prints.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("comp"))
-    blanked = []
-    for block in range(64 // _BLOCK):
-        kept = whole ^ (((1 << _BLOCK) - 1) << (block * _BLOCK))
-        blanked += [(kept, 0)] + [(kept, 1 << b) for b in range(64) if kept >> b & 1]
-    keyed = _variants(staged(placed), blanked).repartition("key")
+    keyed = _variants(staged(placed), *_blanked()).repartition("key")
     mixed = keyed.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo <> _hi").select("key")
     met = staged(keyed.join(mixed, "key", "left_semi").distinct())
     other = met.select("key", F.col("fp").alias("_fp"), F.col("comp").alias("_comp"))
