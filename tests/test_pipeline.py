@@ -166,7 +166,7 @@ def test_batches_score_as_the_whole_table(spark, small, arriving, tmp_path):
     stream = live.read_logs(spark, arriving, files_per_batch=1)
     sink = live.scoring_sink(table, str(tmp_path / "stats"))
     live.start(stream, sink, str(tmp_path / "marks")).awaitTermination()
-    expected = {r.id: r.anomaly_reason for r in detect(whole, use_forest=False).collect()}
+    expected = {r.id: r.anomaly_reason for r in detect(whole).collect()}
     found = spark.read.parquet(table)
     assert found.select("batch").distinct().count() == 4
     assert {r.id: r.anomaly_reason for r in found.collect()} == expected
