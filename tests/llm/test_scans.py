@@ -11,7 +11,7 @@ from tests.llm.helpers import LONG, clashing, docs, entropy, words
 KEY = "9f8a1c0de4b75f3a2266c9d0"
 TEXTS = [
     "Released UNDER the MIT-License. Later: under the MIT license", "apache license version 20", "cc by-nc", None, "", " \n ",
-    "This program is free software: you can redistribute it and/or modify it under terms of the GNU General Public License",
+    "This program is software: you can redistribute it and/or modify it under terms of the GNU General Public License",
     "É under the mit license", "under the mit", LONG + " licensed under the Apache License, Version 2.0",
     "Released UNDER the MIT-License. Later: under the MIT license",
 ]
