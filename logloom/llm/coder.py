@@ -3,7 +3,8 @@
 A block is coded from a fresh model. Three predictions are mixed: the id that
 last followed the same two ids (order 2), the one that last followed the same id
 (order 1), and adaptive id frequencies (order 0). How the unit is shared among
-them is learned for each joint state of confidence. Blocks don't depend on each
+them is learned for each joint state of confidence; frequencies count only ids that both
+predictions missed. Blocks don't depend on each
 other, so one pass advances all of them by one id at a time with array
 operations; all sums are integers, so that every machine decodes alike.
 """
@@ -30,6 +31,8 @@ LARGEST_ID = (1 << 16) - 1
 #: What an occurrence of a symbol adds to the 16 running sums of its context.
 _ADD = np.triu(np.full((16, 16), _GAIN, dtype=np.uint16))
 _FRESH = np.arange(1, 17, dtype=np.uint16)
+#: The sums of a context as one item, which numpy takes and puts at once.
+_ROW = np.dtype("V32")
 
 
 class _Model:
@@ -38,15 +41,15 @@ class _Model:
     def __init__(self, lanes: int):
         self.lane = np.arange(lanes)
         self.two, self.one = np.zeros(lanes * _SLOTS, dtype=np.int64), np.zeros(lanes * _SLOTS, dtype=np.int64)
-        self.shares = np.ones((lanes * 32, 4), dtype=np.int64)
+        self.shares = np.ones(lanes * 32 * 4, dtype=np.int64)
         self.rows = (1, 16, 256, _TAILS)
-        self.sums = [np.tile(_FRESH, (lanes * k, 1)) for k in self.rows]
+        self.sums = [np.tile(_FRESH, lanes * k).view(_ROW) for k in self.rows]
         self.last, self.before = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
 
-    def context(self, n: int, depth: int, prefix: np.ndarray) -> np.ndarray:
+    def context(self, lanes: np.ndarray, depth: int, prefix: np.ndarray) -> np.ndarray:
         """Where the counts of the next four bits stand, given the bits before."""
         place = prefix if depth < 3 else (prefix * 40503 >> 6) & _TAILS - 1
-        return self.lane[:n] * self.rows[depth] + place
+        return lanes * self.rows[depth] + place
 
     def predict(self, n: int) -> None:
         """For the first ``n`` lanes: both predicted ids, and the parts of the unit they get."""
@@ -57,31 +60,42 @@ class _Model:
         self.sure1, self.sure2, self.id1, self.id2 = one & 255, two & 255, one >> 8, two >> 8
         self.has2 = self.sure2 > 0
         self.has1 = (self.sure1 > 0) & (self.id1 != self.id2)
-        self.state = self.lane[:n] * 32 + np.minimum(self.sure2, 3) * 8 + np.minimum(self.sure1, 3) * 2 + self.has1
-        share = self.shares[self.state]
-        n2, n1 = share[:, 0] * self.has2, share[:, 1] * self.has1
-        unit = _UNIT // (n2 + n1 + share[:, 2])
+        self.state = 4 * (self.lane[:n] * 32 + np.minimum(self.sure2, 3) * 8 + np.minimum(self.sure1, 3) * 2 + self.has1)
+        n2, n1 = self.shares.take(self.state) * self.has2, self.shares.take(self.state + 1) * self.has1
+        unit = _UNIT // (n2 + n1 + self.shares.take(self.state + 2))
         self.part2, self.part1 = unit * n2, unit * n1
         self.base = self.part2 + self.part1
 
-    def count(self, n: int, ids: np.ndarray) -> None:
-        """Add ids to the order-0 counts."""
-        for depth, table in enumerate(self.sums):
-            table[self.context(n, depth, ids >> (16 - 4 * depth))] += _ADD[ids >> (12 - 4 * depth) & 15]
+    def interval(
+        self, hit2: np.ndarray, hit1: np.ndarray, miss: np.ndarray, start: np.ndarray, width: np.ndarray,
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of what is coded: a prediction's part, or where both missed the given ones."""
+        begin, size = self.part2 * hit1, np.where(hit2, self.part2, self.part1)
+        begin[miss], size[miss] = start, width
+        return begin.astype(np.uint64), size.astype(np.uint64)
 
     def learn(self, n: int, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        self.shares[self.state, 2 - 2 * hit2 - hit1] += 2
+        self.shares[self.state + (2 - 2 * hit2 - hit1)] += 2
         shifted = ids << 8
         self.two[self.at2] = shifted + np.where(self.id2 == ids, np.minimum(self.sure2 + 1, 255), 1)
         self.one[self.at1] = shifted + np.where(self.id1 == ids, np.minimum(self.sure1 + 1, 255), 1)
         self.before[:n], self.last[:n] = self.last[:n], ids
 
 
+def _read(table: np.ndarray, row: np.ndarray) -> np.ndarray:
+    return table.take(row).view(np.uint16).reshape(-1, 16)
+
+
+def _add(table: np.ndarray, row: np.ndarray, sums: np.ndarray, at: np.ndarray) -> None:
+    """Count symbol ``at`` in the contexts whose sums were read."""
+    table[row] = (sums + _ADD.take(at, axis=0)).view(_ROW).ravel()
+
+
 def _part(sums: np.ndarray, flat: np.ndarray, at: np.ndarray, start: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The part of an interval that symbol ``at`` has, by the running sums of the counts."""
-    sums = sums.ravel()
-    total, end = sums[flat + 15].astype(np.int64), sums[flat + at].astype(np.int64)
-    begin = sums[flat + at - (at > 0)].astype(np.int64) * (at > 0)
+    sums, place, later = sums.ravel(), flat + at, at > 0
+    total, end = sums.take(flat + 15).astype(np.int64), sums.take(place).astype(np.int64)
+    begin = sums.take(place - later).astype(np.int64) * later
     lower = width * begin // total
     return start + lower, width * end // total - lower
 
@@ -102,14 +116,15 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         model.predict(n)
         hit2 = model.has2 & (model.id2 == now)
         hit1 = model.has1 & (model.id1 == now) & ~hit2
-        start, width, flat = model.base, _UNIT - model.base, model.lane[:n] * 16
+        miss = np.flatnonzero(~(hit2 | hit1))
+        plain, own, start = now[miss], model.lane[miss], model.base[miss]
+        width, flat = _UNIT - start, model.lane[: len(miss)] * 16
         for depth, table in enumerate(model.sums):
-            row, at4 = model.context(n, depth, now >> (16 - 4 * depth)), now >> (12 - 4 * depth) & 15
-            sums = table[row]
+            row, at4 = model.context(own, depth, plain >> (16 - 4 * depth)), plain >> (12 - 4 * depth) & 15
+            sums = _read(table, row)
             start, width = _part(sums, flat, at4, start, width)
-            table[row] = sums + _ADD[at4]
-        start = np.where(hit2, 0, np.where(hit1, model.part2, start)).astype(np.uint64)
-        width = np.where(hit2, model.part2, np.where(hit1, model.part1, width))
+            _add(table, row, sums, at4)
+        start, width = model.interval(hit2, hit1, miss, start, width)
         unit = span[:n] >> _SCALE
         low[:n] += unit * start
         span[:n] = unit * width
@@ -123,15 +138,16 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
 
 
 def _emit(out: np.ndarray, at: np.ndarray, low: np.ndarray, idx: np.ndarray) -> None:
-    out[at[idx]] = (low[idx] >> _U56).astype(np.uint8)
-    at[idx] += 1
+    place = at.take(idx)
+    out[place] = (low.take(idx) >> _U56).astype(np.uint8)
+    at[idx] = place + 1
 
 
 def _shift(low: np.ndarray, span: np.ndarray, n: int, move) -> None:
     """Shift out the bytes that are settled; where the span gets too small, cut it so that they are."""
     idx = np.arange(n)
     while len(idx):
-        base, size = low[idx], span[idx]
+        base, size = low.take(idx), span.take(idx)
         settled = (base ^ (base + size)) < _TOP
         small = ~settled & (size < _BOTTOM)
         go = settled | small
@@ -141,8 +157,8 @@ def _shift(low: np.ndarray, span: np.ndarray, n: int, move) -> None:
             span[idx[small]] = (~base[small] + np.uint64(1)) & (_BOTTOM - np.uint64(1))
         idx = idx[go]
         move(idx)
-        low[idx] <<= _U8
-        span[idx] <<= _U8
+        low[idx] = low.take(idx) << _U8
+        span[idx] = span.take(idx) << _U8
 
 
 def decode(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
@@ -160,8 +176,9 @@ def decode(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
     low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, np.uint64(0xFFFFFFFFFFFFFFFF))
 
     def move(idx: np.ndarray) -> None:
-        code[idx] = (code[idx] << _U8) | data[at[idx]].astype(np.uint64)
-        at[idx] = np.minimum(at[idx] + 1, len(data) - 1)
+        place = at.take(idx)
+        code[idx] = (code.take(idx) << _U8) | data.take(place).astype(np.uint64)
+        at[idx] = np.minimum(place + 1, len(data) - 1)
 
     for t in range(longest):
         n = lanes if lengths[-1] > t else int(np.count_nonzero(lengths > t))
@@ -170,20 +187,22 @@ def decode(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
         value = ((code[:n] - low[:n]) // unit).astype(np.int64)
         hit2 = value < model.part2
         hit1 = ~hit2 & (value < model.base)
-        start, width, flat = model.base, _UNIT - model.base, model.lane[:n] * 16
-        value = np.clip(value, model.base, _UNIT - 1)
-        found = np.zeros(n, dtype=np.int64)
+        miss = np.flatnonzero(~(hit2 | hit1))
+        own, start = model.lane[miss], model.base[miss]
+        value, width, flat = np.minimum(value[miss], _UNIT - 1), _UNIT - start, model.lane[: len(miss)] * 16
+        found = np.zeros(len(miss), dtype=np.int64)
         for depth, table in enumerate(model.sums):
-            sums = table[model.context(n, depth, found)]
+            row = model.context(own, depth, found)
+            sums = _read(table, row)
             level = ((value - start + 1) * sums[:, 15] - 1) // width
-            ones = np.bitwise_count((sums <= level[:, None].astype(np.uint16)).view(np.uint64))
+            ones = np.bitwise_count((sums <= level.astype(np.uint16)[:, None]).view(np.uint64))
             at4 = np.minimum(ones[:, 0] + ones[:, 1], 15).astype(np.int64)
             start, width = _part(sums, flat, at4, start, width)
+            _add(table, row, sums, at4)
             found = found * 16 + at4
-        now = np.where(hit2, model.id2, np.where(hit1, model.id1, found))
-        model.count(n, now)
-        start = np.where(hit2, 0, np.where(hit1, model.part2, start)).astype(np.uint64)
-        width = np.where(hit2, model.part2, np.where(hit1, model.part1, width))
+        now = np.where(hit2, model.id2, model.id1)
+        now[miss] = found
+        start, width = model.interval(hit2, hit1, miss, start, width)
         low[:n] += unit * start
         span[:n] = unit * width
         _shift(low, span, n, move)

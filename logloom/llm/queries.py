@@ -5,13 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import decontaminate, licenses, mixing, quality, secrets, simhash, tokens, topk, warc
+from logloom.llm import decontaminate, licenses, mixing, quality, secrets, simhash, tokens, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_toxicity(spark, folder):
+    docs = _table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, folder, "labels")))
+
+
 def op2_quality(spark, folder):
     docs = _table(spark, folder, "documents")
     return quality.score(docs, quality.fit(docs, _table(spark, folder, "labels")))
@@ -49,4 +54,4 @@ def op10_mixing(spark, folder):
     return mixing.mix(_table(spark, folder, "documents")).drop("copies", "source")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_licenses, op4_topk, op5_warc, op6_secrets, op7_decontaminate, op8_tokens, op9_simhash, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_licenses, op4_topk, op5_warc, op6_secrets, op7_decontaminate, op8_tokens, op9_simhash, op10_mixing)}

@@ -25,15 +25,16 @@ MAGIC = b"TOKMIX1\n"
 #: Ids of a group of blocks coded in step, and of a file.
 GROUP, FILE = coder.LANES * coder.BLOCK, 1 << 24
 _GROUP_HEAD = struct.Struct("<III")
-_WORDS_KEPT = 300_000
+#: Stretches remembered, and those asked for at once.
+_WORDS_KEPT, _TOGETHER = 400_000, 256
 
-# Characters for which word splitting here and in the tokenizer's own rules agree: ASCII, Latin letters, some signs.
+# Characters for which splitting here and by the tokenizer's own rules agree: ASCII, Latin letters, some signs.
 _PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ÿĀ-įĲ-ňŊ-ž–—‘’“”…€]*")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
 class _Words(dict):
-    """Numbers words in the order of their first use."""
+    """Numbers stretches of text in the order of their first use."""
 
     def __missing__(self, word: str) -> int:
         number = self[word] = len(self)
@@ -44,14 +45,19 @@ class Encoder:
     """Encodes texts with the ``tokenizers`` library.
 
     For a lower-casing tokenizer of words, ``by_word`` asks it for each distinct
-    word once: its rules never join words, so a text is the sequence of its
-    words' ids. Texts with other characters than common ones, or with what may
-    be a special token, go through the library whole.
+    stretch between white space once: its rules never join those, so a text is
+    the sequence of its stretches' ids. Stretches are asked for many at a time,
+    and told apart by the ids that end a word. Texts with other characters than
+    common ones, or with what may be a special token, go through the library
+    whole.
     """
 
     def __init__(self, path: str, by_word: bool = True):
         self.tokenizer = Tokenizer.from_file(path)
-        self.by_word = by_word
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[number for token, number in vocabulary.items() if token.endswith("</w>")]] = True
+        self.by_word = by_word and bool(self.ends.any())
         self._clear()
 
     def _clear(self) -> None:
@@ -61,6 +67,17 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=np.uint32) for e in found]
 
+    def _learn(self, fresh: list[str]) -> None:
+        """Add the ids of new stretches."""
+        made = np.concatenate(self._whole([" ".join(fresh[k : k + _TOGETHER]) for k in range(0, len(fresh), _TOGETHER)]))
+        last, pieces = np.flatnonzero(self.ends[made]), np.cumsum([len(_PIECES.findall(word)) for word in fresh])
+        if len(last) == pieces[-1]:
+            length = np.diff(last[pieces - 1], prepend=-1)
+        else:
+            parts = self._whole(fresh)
+            made, length = np.concatenate(parts), np.array([len(p) for p in parts])
+        self.ids, self.length = np.concatenate([self.ids, made]), np.concatenate([self.length, length]).astype(np.int64)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         plain = [self.by_word and _PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
         if len(self.words) > _WORDS_KEPT:
@@ -69,13 +86,11 @@ class Encoder:
         places = []
         for text, simple in zip(texts, plain):
             if simple:
-                pieces = _PIECES.findall(text.lower())
-                places.append(np.fromiter(map(number, pieces), dtype=np.int64, count=len(pieces)))
+                parts = text.lower().split()
+                places.append(np.fromiter(map(number, parts), dtype=np.int64, count=len(parts)))
         fresh = list(self.words)[len(self.length) :]
         if fresh:
-            made = self._whole(fresh)
-            self.ids = np.concatenate([self.ids, *made])
-            self.length = np.concatenate([self.length, [len(m) for m in made]]).astype(np.int64)
+            self._learn(fresh)
         begin = np.cumsum(self.length) - self.length
         others = iter(self._whole([t for t, simple in zip(texts, plain) if not simple]))
         found, mine = [], iter(places)
@@ -84,8 +99,8 @@ class Encoder:
                 found.append(next(others))
                 continue
             at = next(mine)
-            sizes = self.length[at]
-            found.append(self.ids[np.repeat(begin[at] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())])
+            sizes = self.length.take(at)
+            found.append(self.ids.take(np.repeat(begin.take(at) - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())))
         return found
 
 
