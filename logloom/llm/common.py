@@ -10,8 +10,6 @@ from logloom.session import ship, staged
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Between words that consist of digits, ASCII letters and all characters beyond ASCII.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: White space of ASCII.
-SPACES = r"[\x20\x09-\x0D]+"
 #: Letters other than A-Z that full lower-casing could change.
 _OTHER_UPPER = r"[\p{IsUppercase}\p{Lt}&&[^A-Z]]"
 #: Most rows that a broadcast side may have (two or three numbers each: at most some tens of MB).
@@ -45,11 +43,6 @@ def workers(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-def spread(spark: SparkSession) -> int:
-    """Partitions of a shuffle that moves whole texts."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-
-
 def running_total(rows: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
     """``rows`` with ``name``: the exact sum of ``value`` over all rows before, by ``order``.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from logloom.llm import secrets
 from logloom.llm.licenses import PHRASES, STRIDE, TEMPLATES, THRESHOLD
 
 _BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -57,6 +58,44 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest,
 FROM z WINDOW w AS (PARTITION BY s)
 """
 
+_ANY_CASE = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word) for word in ("password", "passwd", "secret", "token", "api_?key"))
+_ASSIGN = f"""(?:{_ANY_CASE})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_FORMS = (_ASSIGN, "AKIA[A-Z0-9]{16,}", "[0-9a-f]{24,}", "[A-Za-z0-9+/_-]{20,}")
+
+
+def _found(kind: int, form: str) -> str:
+    """Matches with their code points, from the lengths of matches and of what lies between."""
+    least = f"length(regexp_extract(hits[i], '{form}', 1)) >= {secrets.LEAST}" if kind == 0 else "true"
+    return f"""SELECT doc_id, {kind} AS kind, hits[i] AS hit, pos AS start, pos + length(hits[i]) AS stop
+      FROM (SELECT doc_id, hits, i, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS pos
+        FROM (SELECT doc_id, gaps, hits, unnest(range(1, len(hits) + 1)) AS i
+          FROM (SELECT doc_id, string_split_regex(t, '{form}') AS gaps, regexp_extract_all(t, '{form}') AS hits FROM d))) WHERE {least}"""
+
+
+_HAS = {"hex": ("[0-9a-fA-F]+", "[0-9]", "[a-fA-F]"), "alnum": ("[0-9A-Za-z]+", "[0-9]", "[A-Za-z]"), "base64": ("[0-9A-Za-z+/_-]+", "[0-9]", "[a-z]", "[A-Z]")}
+_LEVEL = "CASE " + " ".join(
+    "WHEN " + " AND ".join([f"regexp_full_match(hit, '{_HAS[name][0]}')", *[f"regexp_matches(hit, '{h}')" for h in _HAS[name][1:]]]) + f" THEN {least}"
+    for name, _, _, least in secrets.CLASSES) + " END"
+_LINE = "coalesce(string_agg(['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind), '')"
+OP6 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+base AS ({" UNION ALL ".join(_found(k, f) for k, f in enumerate(_FORMS[:3]))}),
+loose AS (SELECT c.*, {_LEVEL} AS least FROM ({_found(3, _FORMS[3])}) c
+    WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.start < c.stop AND c.start < b.stop)),
+open AS (SELECT * FROM loose WHERE least IS NOT NULL AND NOT regexp_full_match(hit, '[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}')
+    AND NOT regexp_matches(lower(hit), 'example|sample|placeholder|dummy|x{{8}}|0123456789|abcdefgh') AND NOT regexp_full_match(hit, '/?([A-Za-z]{{1,19}}/)+[A-Za-z0-9_-]{{0,19}}')
+    AND len(list_filter(range(1, length(hit) - 6), lambda i: hit[i : i + 7] = repeat(hit[i], 8))) = 0),
+win AS (SELECT doc_id, start, w, substr(hit, w, 20) AS part FROM (SELECT *, unnest(range(1, length(hit) - 18)) AS w FROM open)),
+chars AS (SELECT doc_id, start, w, c, count(*) AS n FROM (SELECT doc_id, start, w, unnest(string_split(part, '')) AS c FROM win) GROUP BY ALL),
+high AS (SELECT doc_id, start, max(h) AS h FROM (SELECT doc_id, start, w, log2(20) - sum(n * log2(n)) / 20 AS h FROM chars GROUP BY doc_id, start, w) GROUP BY ALL),
+more AS (SELECT o.doc_id, o.kind, o.hit, o.start, o.stop FROM open o JOIN high USING (doc_id, start) WHERE h >= least),
+a AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2, {_LINE} AS line FROM base GROUP BY doc_id),
+b AS (SELECT doc_id, {_LINE} AS line FROM (FROM base UNION ALL FROM more) GROUP BY doc_id)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex,
+    sha256(coalesce(a.line, '')) AS base_sha256, coalesce(b.line, '') AS spans
+FROM d LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id)
+"""
+
 OP7 = f"""
 WITH d AS (SELECT doc_id, {_words('text')} AS ws FROM documents),
 b AS (SELECT item_id, {_words('text')} AS ws FROM benchmark),
@@ -97,4 +136,4 @@ SELECT doc_id, size, total AS source_size, target,
 FROM o
 """
 
-ORACLES = {"op3_licenses": OP3, "op4_topk": OP4, "op5_warc": OP5, "op7_decontaminate": OP7, "op10_mixing": OP10}
+ORACLES = {"op3_licenses": OP3, "op4_topk": OP4, "op5_warc": OP5, "op6_secrets": OP6, "op7_decontaminate": OP7, "op10_mixing": OP10}
