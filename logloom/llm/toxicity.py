@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ from logloom.session import staged
 
 THRESHOLD = 0.3
 #: Bounds of the labelled sample that is learned from: documents, and words that stand in them.
-SAMPLE_DOCS, SAMPLE_WORDS = 6000, 3_000_000
+SAMPLE_DOCS, SAMPLE_WORDS = 6000, 1_500_000
 FOLDS = 5
 _ROUNDS, _RATE, _PENALTY = 400, 0.05, 2e-5
 _LEAST_DOCS = 3  # a word must stand in as many of the sample
@@ -166,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, samp
     rows = staged(joined.select("_mark", F.col("toxic").cast("int"), F.col("text").cast("string").alias("text")).mapInArrow(run, "mark string, toxic int, words string"))
     texts, folds, marks, left = [], [], [], sample_words
     for row in rows.orderBy("mark", "words").toLocalIterator():
-        made = set(row.words.split())
+        made = {sys.intern(word) for word in row.words.split()}
         if len(made) > left:
             continue
         left -= len(made)
