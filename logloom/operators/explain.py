@@ -79,6 +79,7 @@ def prompts(scored: DataFrame, context: DataFrame | None = None) -> DataFrame:
 
 
 # Names, fallback texts and layouts of a reply's three parts.
+# Unrolled, for Java's matcher recurses on alternatives and would overflow on long text.
 _STRING = r'"\s*:\s*"([^"\\]*(?:\\.[^"\\]*)*)"'
 _LINE = r"\s*:\s*([^\n\r]+)"
 _PARTS = {
@@ -139,11 +140,12 @@ def _found(text: Column, patterns: tuple[str, ...]) -> Column:
     return F.coalesce(*values)
 
 
-def parse_reply(replies: DataFrame, text: str = "reply") -> DataFrame:
+def parse_reply(replies: DataFrame, text: str = "reply", fallback_chars: int | None = 300) -> DataFrame:
     """``replies`` plus the three parts, never null.
 
     A reply is read as JSON, as JSON inside other text, as JSON with trailing
-    commas, and failing that part by part.
+    commas, and failing that part by part. A reply without any part is itself the
+    explanation, cut to ``fallback_chars`` (None: whole).
     """
     bare = F.regexp_replace(F.regexp_replace(filled(F.col(text)), r"(?i)^```(?:json)?\s*", ""), r"\s*```$", "")
     staged_rows = replies.withColumn("_clean", strip(bare)).withColumn("_inner", F.regexp_extract("_clean", r"(?s)\{.*\}", 0))
@@ -152,7 +154,7 @@ def parse_reply(replies: DataFrame, text: str = "reply") -> DataFrame:
         _object(F.col("_inner")),
         _object(F.regexp_replace("_inner", r",\s*([}\]])", "$1")),
     ))
-    whole = F.when(F.length("_clean") > 20, F.substring("_clean", 1, 300))
+    whole = F.when(F.length("_clean") > 20, F.substring("_clean", 1, fallback_chars) if fallback_chars else F.col("_clean"))
     columns = {}
     for part, fixed in _PARTS.items():
         members = F.coalesce(*[_member(F.col("_json"), name) for name in fixed["names"]], F.lit(fixed["absent"]))

@@ -171,6 +171,7 @@ def explained() -> Column:
     return (F.coalesce(F.col("ai_explanation"), F.lit("")) != "") | (F.coalesce(F.col("ai_root_cause"), F.lit("")) != "")
 
 
+# The columns of the export file.
 EXPORT = {
     "ID": "id", "Timestamp": "timestamp", "Source": "source", "Event Type": "event_type", "Severity": "severity",
     "IP Address": "ip_address", "Status Code": "status_code", "Endpoint": "endpoint", "Message": "message",

@@ -46,17 +46,22 @@ def anomalies_by_source(logs: DataFrame) -> DataFrame:
 
 
 def timeline(logs: DataFrame, dated: bool = False) -> DataFrame:
-    """Logs and anomalies per minute. The label leaves the year out; ``dated`` keeps it."""
+    """Logs and anomalies per minute. The label leaves the year out; ``dated`` keeps it.
+
+    Rows are counted per minute, and only the minutes are written as labels.
+    """
     label = "yyyy-MM-dd HH:mm" if dated else "MM-dd HH:mm"
-    return (
+    minutes = (
         logs.filter(F.col("timestamp").isNotNull())
-        .groupBy(F.date_format("timestamp", label).alias("bucket"))
+        .groupBy(F.date_trunc("MINUTE", "timestamp").alias("minute"))
         .agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("anomaly")).alias("anomalies"))
     )
+    named = minutes.groupBy(F.date_format("minute", label).alias("bucket"))
+    return named.agg(F.sum("total").alias("total"), F.sum("anomalies").alias("anomalies"))
 
 
-def timeline_sampled(logs: DataFrame) -> DataFrame:
-    """Every n-th bucket when there are more than 25; the others are left out.
+def timeline_sampled(logs: DataFrame, buckets: int = MAX_BUCKETS) -> DataFrame:
+    """Every n-th bucket when there are more than ``buckets``; the others are left out.
 
     The window sees at most one row per minute of a year.
     """
@@ -65,7 +70,7 @@ def timeline_sampled(logs: DataFrame) -> DataFrame:
         F.row_number().over(Window.orderBy("bucket")).alias("place"),
         F.count(F.lit(1)).over(Window.partitionBy()).alias("buckets"),
     )
-    step = F.when(F.col("buckets") > MAX_BUCKETS, F.call_function("div", F.col("buckets"), F.lit(MAX_BUCKETS)) + 1).otherwise(1)
+    step = F.when(F.col("buckets") > buckets, F.call_function("div", F.col("buckets"), F.lit(buckets)) + 1).otherwise(1)
     return ranked.filter((F.col("place") - 1) % step == 0).select("bucket", "total", "anomalies").orderBy("bucket")
 
 
@@ -76,12 +81,13 @@ def score_bands(logs: DataFrame) -> DataFrame:
 
 
 def dashboard(logs: DataFrame) -> dict[str, DataFrame]:
-    """All parts of the dashboard, one small frame each."""
+    """All parts of the dashboard, one small frame each. Give it a stored scored table, which every part reads."""
     return {
         "totals": totals(logs),
         "severity_distribution": severity_distribution(logs),
         "anomalies_by_source": anomalies_by_source(logs),
         "timeline": timeline_sampled(logs),
+        "timeline_full": timeline(logs),
         "recent_anomalies": recent_anomalies(logs),
         "sources": sources(logs),
     }

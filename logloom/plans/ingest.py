@@ -12,6 +12,7 @@ from logloom.plans.detect import detect
 from logloom.session import prepare
 from logloom.sources.delimited import read_delimited
 
+# Fixed value.
 FAILED = "Upload failed. All rows were rejected due to schema or parsing errors."
 
 

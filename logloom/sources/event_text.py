@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logloom.functions.text import filled, strip, without_controls
 from logloom.functions.times import iso_utc, normalize_time, parse_time
 
+# The block mark, and below the field names and levels of the dump.
 _BLOCK = r"(?m)^\s*Event\[\d+\]"
 
 
@@ -20,10 +21,14 @@ def _field(block: Column, pattern: str) -> Column:
     return filled(F.regexp_extract(block, pattern, 1))
 
 
-def parse_event_text(df: DataFrame, captured_at: Column, channel: str = "Application", ip: str = "127.0.0.1") -> DataFrame:
+def parse_event_text(
+    df: DataFrame, captured_at: Column, channel: str = "Application", ip: str = "127.0.0.1",
+    source_chars: int | None = 50, message_chars: int | None = 300,
+) -> DataFrame:
     """One record per block of the ``text`` column, other columns kept.
 
     ``captured_at`` stands in for a missing date; ``ip`` is the capturing host's.
+    Sources and messages are cut to the given lengths, None leaves them whole.
     """
     blocks = df.withColumn("block", F.explode(F.split("text", _BLOCK))).filter(strip(F.col("block")) != "").drop("text")
     parts = blocks.withColumns({
@@ -37,9 +42,11 @@ def parse_event_text(df: DataFrame, captured_at: Column, channel: str = "Applica
     clean = F.when(F.col("told"), strip(F.regexp_replace(without_controls(strip(F.col("detail"))), r"(?U)\s+", " ")))
     text = F.coalesce(clean, F.lit("Windows Event Log Entry"))
     level = F.col("level")
+    if message_chars is not None:
+        text = F.when(F.length(text) > message_chars, F.concat(F.substring(text, 1, message_chars), F.lit("..."))).otherwise(text)
     return parts.withColumns({
         "timestamp": F.coalesce(normalize_time(F.col("date")), iso_utc(captured_at)),
-        "source": F.substring("name", 1, 50),
+        "source": F.col("name") if source_chars is None else F.substring("name", 1, source_chars),
         "event_type": F.lit(f"WIN_{channel.upper()}"),
         "severity": F.when(level.contains("crit"), "CRITICAL").when(level.contains("err"), "ERROR")
         .when(level.contains("warn"), "WARNING").otherwise("INFO"),
@@ -48,7 +55,7 @@ def parse_event_text(df: DataFrame, captured_at: Column, channel: str = "Applica
         "ip_address": F.lit(ip),
         "endpoint": F.concat(F.lit(f"/system/{channel.lower()}/"), "code"),
         "message": F.coalesce(
-            F.nullif(F.when(F.length(text) > 300, F.concat(F.substring(text, 1, 300), F.lit("..."))).otherwise(text), F.lit("")),
+            F.nullif(text, F.lit("")),
             F.concat(F.lit(f"Windows {channel} Event "), "code", F.lit(" from "), "name"),
         ),
     }).drop("block", "date", "name", "level", "code", "told", "detail")

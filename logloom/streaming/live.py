@@ -15,7 +15,7 @@ from logloom.operators import forest
 from logloom.operators.profile import Profile, load_profile, notable_ips, take_profile, with_location
 from logloom.operators.signals import with_score
 from logloom.operators.skew import lookup
-from logloom.operators.tables import DAY, table_exists, upsert_table, with_day
+from logloom.operators.tables import DAY, table_exists, with_day
 from logloom.operators.trailing import blocks, burst_threshold, histogram, with_trailing_count
 from logloom.plans.detect import detect, forest_features, rule_features
 from logloom.plans.sync import sync_all, write
