@@ -26,7 +26,7 @@ MAGIC = b"TOKMIX1\n"
 GROUP, FILE = coder.LANES * coder.BLOCK, 1 << 24
 _GROUP_HEAD = struct.Struct("<III")
 #: Stretches remembered, and those asked for at once.
-_WORDS_KEPT, _TOGETHER = 400_000, 256
+_WORDS_KEPT, _TOGETHER = 700_000, 256
 
 # Characters for which splitting here and by the tokenizer's own rules agree: ASCII, Latin letters, some signs.
 _PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ÿĀ-įĲ-ňŊ-ž–—‘’“”…€]*")
