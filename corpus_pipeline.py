@@ -59,16 +59,9 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat and leave out whole documents, so that sources come near their targets.
 
-    A row is written as often as the mix takes it; a part counts from half a text on. Rows equal in
-    id, source and size share their copies evenly, rounded up.
+    A row is written as often as the mix takes it; a part counts from half a text on.
     """
-    plan = mixing.mix(docs).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("_mix_copies"), F.count("*").alias("_rows"))
-    plan = staged(plan.withColumn("_mix_copies", F.ceil(F.col("_mix_copies") / F.col("_rows")).cast("int")).select(
-        "doc_id", F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"), "_mix_copies"))
-    count = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    marked = docs.withColumns({"_mix_source": F.col("source"), "_mix_size": count})
-    joined = decontaminate.same(marked, plan, ["doc_id", "_mix_source", "_mix_size"], "inner").filter(F.col("_mix_copies") > 0)
-    return joined.withColumn("_mix_turn", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return mixing.repeated(docs)
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

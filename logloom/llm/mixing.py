@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import running_total
+from logloom.llm.common import running_total, small
 from logloom.llm.decontaminate import same
 from logloom.session import staged
 
@@ -14,10 +14,14 @@ WEIGHTS = (1, 2, 3)
 SEED = "mix-1"
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``source`` and ``size``: the stretches without ASCII white space; 0 for null."""
-    count = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
-    return docs.select("doc_id", "source", count.cast("long").alias("size"))
+def _size() -> Column:
+    """Stretches of a text without ASCII white space; 0 for null."""
+    return F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+def _mark(seed: str) -> Column:
+    """Where a document stands in its source."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
@@ -52,17 +56,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
     part, so that a source takes its target rounded to a whole word.
 
     Returns one row per row of ``docs``: ``doc_id``, ``size``, ``source_size``,
-    ``target``, ``taken``, ``copies`` (whole texts to write: the part counts as
-    one from half a text on) and ``source``. Null or empty texts have size and taken 0. Null sources
+    ``target``, ``taken``, ``whole`` (repetitions of the source), ``copies`` (texts
+    to write: the part counts as one from half a text on) and ``source``. Null or empty texts have size and taken 0. Null sources
     are a source of their own, the last. Repeated rows are mixed like others.
     The order of a source is global: its running sum is built over ranges, so
     that no source is gathered in one task.
     """
-    counted = staged(sizes(docs))
+    counted = staged(docs.select("doc_id", "source", _size().alias("size")))
     sources = counted.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = staged(targets(sources, weights, epochs))
-    mark = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    keyed = counted.withColumns({"_null": F.col("source").isNull().cast("int"), "_mark": mark})
+    keyed = counted.withColumns({"_null": F.col("source").isNull().cast("int"), "_mark": _mark(seed)})
     order = ["_null", "source", "_mark", "doc_id", "size"]
     summed = running_total(keyed, order, "size", "_before")
     starts = running_total(plan.withColumn("_null", F.col("source").isNull().cast("int")), ["_null", "source"], "source_size", "_start")
@@ -74,5 +77,26 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
     extra = ((F.col("_part") > 0) & (2 * F.col("_part") >= F.col("size"))).cast("long")
     return joined.withColumn("_whole", whole).withColumn("_part", part).select(
         "doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"),
-        F.when(F.col("size") > 0, F.col("_whole") + extra).otherwise(1).alias("copies"), "source",
+        F.col("_whole").cast("long").alias("whole"), F.when(F.col("size") > 0, F.col("_whole") + extra).otherwise(1).alias("copies"), "source",
     )
+
+
+def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix writes it, with all their columns.
+
+    In a source's order the documents up to a last one are written once more
+    than the others. That place and the whole repetitions are two values per
+    source, so the texts are not shuffled. Rows equal in id and size stand at
+    one place and are treated alike.
+    """
+    plan = mix(docs, weights, epochs, seed)
+    place = F.struct(_mark(seed).alias("mark"), F.col("doc_id"), F.col("size"))
+    more = (F.col("size") > 0) & (F.col("copies") > F.col("whole"))
+    cuts = plan.groupBy("source").agg(F.max("whole").alias("_mix_whole"), F.max(F.when(more, place)).alias("_mix_last"))
+    cuts = small(staged(cuts.withColumnRenamed("source", "_mix_source")))
+    own = F.struct(_mark(seed).alias("mark"), F.col("doc_id"), _size().alias("size"))
+    joined = docs.join(cuts, docs["source"].eqNullSafe(cuts["_mix_source"]))
+    extra = F.coalesce((own <= F.col("_mix_last")).cast("int"), F.lit(0))
+    copies = F.when(_size() > 0, F.col("_mix_whole").cast("int") + extra).otherwise(1)
+    turns = F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))
+    return joined.withColumn("_mix_turn", F.explode(turns)).select(*[F.col(f"`{c}`") for c in docs.columns])

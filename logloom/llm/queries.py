@@ -51,7 +51,7 @@ def op9_simhash(spark, folder):
 
 
 def op10_mixing(spark, folder):
-    return mixing.mix(_table(spark, folder, "documents")).drop("copies", "source")
+    return mixing.mix(_table(spark, folder, "documents")).drop("whole", "copies", "source")
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_licenses, op4_topk, op5_warc, op6_secrets, op7_decontaminate, op8_tokens, op9_simhash, op10_mixing)}
