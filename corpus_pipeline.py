@@ -18,6 +18,8 @@ from logloom.session import shared_folder, staged
 
 #: What a user may exchange: the vocabulary file.
 TOKENIZER = "word_bpe_49k.json"
+#: What tells rows apart.
+ROW = ["doc_id", "_row_text"]
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,19 +29,24 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near duplicates; of rows with that id, one.
+    """Keep one row of each group of near duplicates: that with the smallest id, null last; ties go by the text's key.
 
-    Rows without an id are kept only if no other document is near; of several such rows one.
+    A row is known by its id and text, so other texts under the same id, or
+    without one, are judged by themselves.
     """
-    found = staged(simhash.near_duplicates(docs).select("doc_id", "component_id"))
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    again = found.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1").select("doc_id")
-    again = staged(decontaminate.same(again, gone, ["doc_id"], "left_anti"))
-    once = decontaminate.same(docs, staged(gone.unionByName(again).distinct()), ["doc_id"], "left_anti")
-    several = decontaminate.same(docs, again, ["doc_id"], "left_semi")
-    ordered = _sortable(several)
-    pick = F.min_by(F.struct("*"), F.struct(*[F.col(f"`{c}`") for c in ordered]))
-    one = several.groupBy("doc_id").agg(pick.alias("_one"))
+    keyed = docs.withColumn("_row_text", text_key(F.col("text")))
+    place = F.struct(F.col("doc_id").isNull().alias("_none"), F.col("doc_id").alias("_id"), F.col("_row_text"))
+    found = staged(simhash.near_duplicates(keyed.select(place.alias("doc_id"), "text")).select("doc_id", "component_id"))
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    counted = found.groupBy(F.col("doc_id._id").alias("doc_id"), F.col("doc_id._row_text").alias("_row_text"))
+    counted = staged(counted.agg(F.bool_or(first).alias("_first"), F.count("*").alias("_n")))
+    other = counted.filter("not _first or _n > 1").select(*ROW)
+    again = counted.filter("_first and _n > 1").select(*ROW)
+    once = decontaminate.same(keyed, other, ROW, "left_anti").drop("_row_text")
+    several = decontaminate.same(keyed, again, ROW, "left_semi")
+    ordered = _sortable(docs)
+    pick = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(*[F.col(f"`{c}`") for c in ordered]))
+    one = several.groupBy(*ROW).agg(pick.alias("_one"))
     return once.unionByName(one.select(*[F.col("_one").getField(c).alias(c) for c in docs.columns]))
 
 
@@ -53,7 +60,7 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     hit = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated")
     hit = staged(hit.select("doc_id", F.col("_text").alias("_row_text")).distinct())
     marked = docs.withColumn("_row_text", text_key(F.col("text")))
-    return decontaminate.same(marked, hit, ["doc_id", "_row_text"], "left_anti").drop("_row_text")
+    return decontaminate.same(marked, hit, ROW, "left_anti").drop("_row_text")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,3 +76,15 @@ def test_one_row_of_repeated_ids_stays(spark, small):
     kept = corpus_pipeline.distinct(spark, docs, small)
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2]
     assert kept.filter(F.col("doc_id") == 1).count() == 1
+
+
+def test_unlike_texts_of_one_id_stay(spark, small):
+    rows = [
+        (3, "one long enough text of some words", 1), (5, "one long enough text of some words", 2), (5, "unique text beside a copy", 3),
+        (7, "first of two unlike texts here", 4), (7, "second one shares nothing but id", 5), (7, "second one shares nothing but id", 6),
+        (None, "a text nobody has numbered yet", 7), (None, "another without any number at all", 8), (None, "one long enough text of some words", 9),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "a", n) for i, t, n in rows], spark.read.parquet(f"{small}/documents.parquet").schema)
+    kept = corpus_pipeline.distinct(spark, docs, small).collect()
+    assert sorted(r.n_chars for r in kept) == [1, 3, 4, 5, 7, 8]
+    assert {(r.doc_id, r.text) for r in kept} == {(i, t) for i, t, n in rows if n not in (2, 9)}
