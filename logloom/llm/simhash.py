@@ -21,19 +21,26 @@ SEED = 42
 _BLOCKS = (range(0, 22), range(22, 43), range(43, 64))
 
 
-def fingerprint(text: bytes | None, width: int = SHINGLE, seed: int = SEED) -> int:
-    """The signed 64-bit fingerprint of a UTF-8 text; 0 without words."""
+def hashes(text: bytes | None, width: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each word shingle of a UTF-8 text; fewer words than ``width`` are one."""
     parts = (text or b"").lower().split()  # A-Z and white space of ASCII
     if not parts:
-        return 0
+        return np.zeros(0, dtype="<u8")
     shingles = map(b" ".join, zip(*(parts[k:] for k in range(width)))) if len(parts) >= width else [b" ".join(parts)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, seed) for s in shingles], dtype="<u8")
+    return np.array([digest(s, seed) for s in shingles], dtype="<u8")
+
+
+def fingerprint(text: bytes | None, width: int = SHINGLE, seed: int = SEED) -> int:
+    """The signed 64-bit fingerprint of a UTF-8 text; 0 without words."""
+    found = hashes(text, width, seed)
+    if not len(found):
+        return 0
     ones = np.zeros(64, dtype=np.int64)
-    for begin in range(0, len(hashes), 1 << 15):
-        bits = np.unpackbits(hashes[begin : begin + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    for begin in range(0, len(found), 1 << 15):
+        bits = np.unpackbits(found[begin : begin + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+    return int(np.packbits(2 * ones > len(found), bitorder="little").view("<i8")[0])
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE, seed: int = SEED) -> DataFrame:
