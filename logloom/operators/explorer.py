@@ -91,16 +91,20 @@ def page(
     return sort(logs, sort_by, direction).offset(max(number - 1, 0) * per_page).limit(per_page)
 
 
-def page_after(logs: DataFrame, timestamp: datetime, log_id: int, per_page: int = 20, direction: str = "desc") -> DataFrame:
-    """The page that follows the given row in timestamp order, at the same cost at any depth."""
-    place = F.struct(F.col("timestamp"), F.col("id"))
-    last = F.struct(F.lit(timestamp).cast("timestamp_ntz"), F.lit(log_id).cast("long"))
-    bound = F.lit(timestamp).cast("timestamp_ntz")
+def page_after(logs: DataFrame, timestamp: datetime | None, log_id: int, per_page: int = 20, direction: str = "desc") -> DataFrame:
+    """The page that follows the given row in timestamp order, at the same cost at any depth.
+
+    Rows without a timestamp stand where :func:`ordering` puts them; such a row's place is None and its id.
+    """
+    time, number = F.col("timestamp"), F.col("id")
+    bound, log_id = F.lit(timestamp).cast("timestamp_ntz"), F.lit(log_id).cast("long")
     if direction == "asc":
-        ahead = logs.filter((F.col("timestamp") >= bound) & (place > last))
+        beyond = number > log_id
+        ahead = time.isNotNull() | beyond if timestamp is None else (time >= bound) & ((time > bound) | beyond)
     else:
-        ahead = logs.filter((F.col("timestamp") <= bound) & (place < last))
-    return sort(ahead, "timestamp", direction).limit(per_page)
+        beyond = number < log_id
+        ahead = time.isNull() & beyond if timestamp is None else ((time <= bound) & ((time < bound) | beyond)) | time.isNull()
+    return sort(logs.filter(ahead), "timestamp", direction).limit(per_page)
 
 
 def page_info(logs: DataFrame, number: int = 1, per_page: int = 20) -> DataFrame:

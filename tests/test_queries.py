@@ -37,6 +37,17 @@ def test_pages(twelve):
     assert ids(x.page_after(twelve, after(minutes=7), 8, 3, "asc")) == [9, 10, 11]
 
 
+def test_pages_reach_rows_without_a_time(twelve):
+    untimed = F.when(F.col("id") % 4 == 0, F.lit(None).cast("timestamp_ntz")).otherwise(F.col("timestamp"))
+    logs = twelve.withColumn("timestamp", F.when(F.col("id") == 7, F.lit(after(minutes=5)).cast("timestamp_ntz")).otherwise(untimed))
+    for direction in ("asc", "desc"):
+        rows = x.page(logs, 1, 2, direction=direction).collect()
+        for _ in range(5):
+            rows += x.page_after(logs, rows[-1].timestamp, rows[-1].id, 2, direction).collect()
+        assert [r.id for r in rows] == ids(x.sort(logs, "timestamp", direction))
+        assert ids(x.page_after(logs, rows[-1].timestamp, rows[-1].id, 2, direction)) == []
+
+
 def test_filters(twelve):
     assert ids(x.find(twelve, "number 5")) == [6]
     assert len(ids(x.find(twelve, "NUMBER _"))) == 12
