@@ -15,6 +15,9 @@ _OTHER_UPPER = r"[\p{IsUppercase}\p{Lt}&&[^A-Z]]"
 #: Most rows that a broadcast side may have (two or three numbers each: at most some tens of MB).
 BROADCAST_ROWS = 1_000_000
 
+#: Keys that may be heavy: their entries are broadcast, all of one vector, text key or count.
+HEAVY = 1000
+
 
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Full lower-casing is faster and serves where it does the same."""
@@ -36,6 +39,23 @@ def small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table.hint("shuffle_hash")
 
 
+def meet(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame | None = None) -> DataFrame:
+    """Inner join of ``rows`` with a table that has each ``key`` once.
+
+    ``counts`` (``key``, ``_n``) may tell what is known of the rows per key.
+    A key of more than 1/HEAVY of the rows is heavy; there are at most HEAVY such
+    keys, and their entries are broadcast, so that no task gets all their rows.
+    The others are shuffled.
+    """
+    if counts is None:
+        counts = staged(rows.groupBy(key).agg(F.count("*").alias("_n")))
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    often = F.broadcast(counts.filter(F.col("_n") * HEAVY > total).select(key))
+    some = rows.join(F.broadcast(table.join(often, key, "left_semi")), key)
+    rest = rows.join(often, key, "left_anti").join(table.join(often, key, "left_anti"), key)
+    return some.unionByName(rest)
+
+
 def workers(spark: SparkSession) -> None:
     """Ship this package to the executors and keep Arrow batches small, for texts may be long."""
     ship(spark)

@@ -136,4 +136,41 @@ SELECT doc_id, size, total AS source_size, target,
 FROM o
 """
 
-ORACLES = {"op3_licenses": OP3, "op4_topk": OP4, "op5_warc": OP5, "op6_secrets": OP6, "op7_decontaminate": OP7, "op10_mixing": OP10}
+OP11 = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings WHERE embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.95),
+reach(node, root) AS (SELECT vec_id, vec_id FROM v UNION SELECT link.b, reach.root FROM reach JOIN link ON reach.node = link.a AND reach.root < link.b),
+least AS (SELECT node, min(root) AS root FROM reach GROUP BY node),
+many AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT e.vec_id, coalesce(many.n, 0)::BIGINT AS n_links, coalesce(least.root, e.vec_id) AS component_id, e.vec_id = coalesce(least.root, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN many ON e.vec_id = many.a LEFT JOIN least ON e.vec_id = least.node
+"""
+
+OP12 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS nth FROM s WHERE same),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+      FROM p JOIN s USING (anchor_id) WHERE p.nth <= 5 AND NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+OP13 = f"""
+WITH d AS (SELECT doc_id, {_words('text')} AS ws FROM documents),
+b AS (SELECT item_id, {_words('text')} AS ws FROM benchmark),
+whole AS (SELECT count(*)::BIGINT AS docs, sum(len(ws))::BIGINT AS total FROM d WHERE len(ws) > 0),
+q AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest(ws) AS t FROM b) GROUP BY ALL),
+f AS (SELECT doc_id, t, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(ws) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, whole GROUP BY t, docs),
+m AS (SELECT doc_id, 100 - 75 + ((75 * len(ws)::BIGINT * docs) // total) AS m FROM d, whole WHERE len(ws) > 0),
+s AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+      FROM q JOIN f USING (t) JOIN w USING (t) JOIN m USING (doc_id) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+ORACLES = {"op3_licenses": OP3, "op4_topk": OP4, "op5_warc": OP5, "op6_secrets": OP6, "op7_decontaminate": OP7, "op10_mixing": OP10,
+           "op11_pivots": OP11, "op12_negatives": OP12, "op13_ranked": OP13}

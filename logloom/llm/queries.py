@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from logloom.llm import decontaminate, licenses, mixing, quality, secrets, simhash, tokens, topk, toxicity, warc
+from logloom.llm import decontaminate, licenses, mixing, negatives, pivots, quality, ranked, secrets, simhash, tokens, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -54,4 +55,18 @@ def op10_mixing(spark, folder):
     return mixing.mix(_table(spark, folder, "documents")).drop("whole", "copies", "source")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_licenses, op4_topk, op5_warc, op6_secrets, op7_decontaminate, op8_tokens, op9_simhash, op10_mixing)}
+def op11_pivots(spark, folder):
+    return pivots.near_duplicates(_table(spark, folder, "embeddings"))
+
+
+def op12_negatives(spark, folder):
+    rows = _table(spark, folder, "embeddings")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", shifted))
+
+
+def op13_ranked(spark, folder):
+    return ranked.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_licenses, op4_topk, op5_warc, op6_secrets, op7_decontaminate, op8_tokens, op9_simhash, op10_mixing, op11_pivots, op12_negatives, op13_ranked)}

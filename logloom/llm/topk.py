@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.llm.common import workers
-from logloom.session import staged
+from logloom.llm.blocks import EXACT, lengths, longs, matrix, numbered, past, products, sound, whole
 
 K, EVERY, SCALE = 5, 50, 256
-#: Rows of one index block and of one block of queries.
-ROWS, QUERIES = 16_384, 512
-#: Components past this size would not fit the exact sums.
-_LARGEST = 1 << 27
 _STEP = 8
 _ROUNDS = 8
 
@@ -74,65 +71,65 @@ class Index:
                 break
         return left
 
-    def best(self, query: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and exact scores of the ``k`` best rows but those marked ``own``."""
-        rows = self.possible(query, k + int(own.sum()))
-        rows = rows[~own[rows]]
-        scores = self.vectors[rows] @ query
-        top = np.lexsort((ids[rows], -scores))[:k]
-        return ids[rows][top], scores[top]
-
-
-def _search(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    found = []
-    if len(queries) and len(rows):
-        sizes, wanted = rows["q"].map(len), queries["q"].map(len)
-        for width in sorted(set(sizes) & set(wanted)):
-            part, asked = rows[sizes == width], queries[wanted == width]
-            ids = part["vec_id"].to_numpy()
-            shape = lambda column: np.array(column.tolist(), dtype=np.int64).reshape(len(column), width)
-            index = Index(shape(part["q"])) if width else None
-            for vec_id, vector in zip(asked["vec_id"], shape(asked["q"])):
-                own = ids == vec_id
-                if index is None:  # vectors without components all score 0
-                    near = np.sort(ids[~own])[:k]
-                    found.append((vec_id, near, np.zeros(len(near), dtype=np.int64)))
-                else:
-                    found.append((vec_id, *index.best(vector, own, ids, k)))
-    flat = lambda parts, kind: np.concatenate([np.asarray(p, dtype=kind) for p in parts] or [np.empty(0, dtype=kind)])
-    return pd.DataFrame({
-        "query_id": flat([np.full(len(ids), q) for q, ids, _ in found], np.int64),
-        "vec_id": flat([ids for _, ids, _ in found], np.int64), "score": flat([s for _, _, s in found], np.int64),
-    })
-
-
-def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, rows: int = ROWS, queries: int = QUERIES) -> DataFrame:
+
+def _build(scale: float):
+    def build(table: pa.Table) -> dict[int, tuple]:
+        """By number of components: ids, row numbers, vectors, longest length and index."""
+        width = np.array([len(x) for x in table["x"]])
+        made = {}
+        for w in np.unique(width):
+            part = table.filter(pa.array(width == w)).combine_chunks()
+            vectors = whole(matrix(part["x"].combine_chunks(), int(w)), scale)
+            most = float(lengths(vectors).max())
+            index = Index(vectors) if w and most < EXACT else None
+            made[int(w)] = part["vec_id"].to_numpy(), part["row"].to_numpy(), vectors, most, index
+        return made
+
+    return build
+
+
+def _answer(scale: float, k: int):
+    def answer(blocks: dict, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for row, x in zip(batch.column("row").to_pylist(), batch.column("x").to_pylist()):
+            if len(x) in blocks:
+                ids, rows, vectors, most, index = blocks[len(x)]
+                query = whole(np.array(x, dtype=np.float64).reshape(1, -1), scale)
+                bound = float(lengths(query)[0]) * most
+                own = rows == row
+                if index is not None and bound < EXACT / 2:
+                    at = index.possible(query[0], k + int(own.sum()))
+                else:  # sums of doubles would prove nothing
+                    at = np.arange(len(ids))
+                at = at[~own[at]]
+                scores = products(vectors[at], query[0], bound)
+                top = sorted(range(len(at)), key=lambda i: (-scores[i], ids[at[i]])) if scores.dtype == object else np.lexsort((ids[at], -scores))
+                out += [(row, ids[at[i]], scores[i]) for i in top[:k]]
+        yield pa.RecordBatch.from_arrays([pa.array([int(o[n]) for o in out], pa.int64()) for n in (0, 1)] + [longs(o[2] for o in out)], ["row", "vec_id", "score"])
+
+    return answer
+
+
+def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, **blocks) -> DataFrame:
     """The ``k`` largest integer inner products of every query with all other rows.
 
     Components become ``floor(scale * x)``. Queries are the rows whose ``vec_id``
-    divides by ``every``. Rows and queries are hashed into blocks; each block of
-    rows becomes an impact-ordered index, asked by each block of queries, and only
-    its ``k`` best per query leave the task.
+    divides by ``every``. Rows are hashed into blocks; each becomes an impact-ordered
+    index once, past which all queries are read, and only its ``k`` best per query
+    leave the task.
 
     Returns ``query_id``, ``rank``, ``vec_id``, ``score``; ties go to the smaller
-    ``vec_id``. Rows with a null id, a null vector, or a null, non-finite or huge component (over 2^27
-    after scaling) take no part. Vectors meet only those of equal length; empty
-    ones score 0. Of rows with the same id the one with the smallest vector
-    counts, so repeated rows count once. Other columns are not read.
+    ``vec_id``. Rows with a null id, a null vector, or a null or non-finite component
+    take no part. Vectors meet only those of equal length; empty ones score 0.
+    Repeated rows, and rows of one id with other vectors, all count, as queries, too.
+    Products beyond 2^52 are computed in integers of any size; scores beyond a long
+    become the nearest one. Other columns are not read. Empty tables give an empty result.
     """
-    workers(vectors.sparkSession)
-    column = F.col("embedding")
-    sound = F.forall(column, lambda x: F.coalesce(F.abs(x.cast("double") * scale) < _LARGEST, F.lit(False)))
-    whole = F.transform(column, lambda x: F.floor(x.cast("double") * scale).cast("int"))
-    clean = vectors.select("vec_id", "embedding").filter(F.col("vec_id").isNotNull() & column.isNotNull()).filter(sound)
-    clean = staged(clean.select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("q")).groupBy("vec_id").agg(F.min("q").alias("q")))
+    clean = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"))
+    clean = numbered(clean.filter(F.col("vec_id").isNotNull() & sound(F.col("x"))))
     asked = clean.filter(F.col("vec_id") % every == 0)
-    row_blocks, query_blocks = max(1, -(-clean.count() // rows)), max(1, -(-asked.count() // queries))
-    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    place = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    left = asked.select("vec_id", "q", place(query_blocks).alias("_a"), numbers(row_blocks).alias("_b"))
-    right = clean.select("vec_id", "q", place(row_blocks).alias("_b"), numbers(query_blocks).alias("_a"))
-    near = left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b")).applyInPandas(
-        lambda a, b: _search(a, b, k), "query_id long, vec_id long, score long")
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    near = past(clean.select("row", "vec_id", "x"), [F.xxhash64("row")], asked.select("row", "x"), _build(scale), _answer(scale, k), "row long, vec_id long, score long", **blocks)
+    by = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+    best = near.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
+    named = asked.select("row", F.col("vec_id").alias("query_id"))
+    return best.join(named, "row").select("query_id", "rank", "vec_id", "score")

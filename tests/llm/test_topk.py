@@ -1,4 +1,3 @@
-import math
 import random
 
 import numpy as np
@@ -6,31 +5,18 @@ import pytest
 
 from logloom.llm import topk
 from tests.llm.helpers import clashing
+from tests.llm.test_vectors import brute
 
 
-def brute(rows, k, every):
-    clean = {}
-    for vec_id, v in rows:
-        if vec_id is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            q = [math.floor(256 * x) for x in v]
-            clean[vec_id] = min(clean.get(vec_id, q), q)
-    found = []
-    for a in clean:
-        if a % every == 0:
-            near = sorted((-sum(x * y for x, y in zip(clean[a], v)), b) for b, v in clean.items() if b != a and len(v) == len(clean[a]))
-            found += [(a, r, b, -s) for r, (s, b) in enumerate(near[:k], 1)]
-    return sorted(found)
-
-
-@pytest.mark.parametrize("rows, queries", [(16_384, 512), (40, 3)])
-def test_equals_all_comparisons(spark, rows, queries):
+@pytest.mark.parametrize("block_bytes", [32 << 20, 64 * 8 * 12])
+def test_equals_all_comparisons(spark, block_bytes):
     rng = random.Random(5)
     data = [(i, [rng.gauss(0, 0.3) for _ in range(12)]) for i in range(-20, 180)]
     data += [(i, list(data[7][1])) for i in range(300, 340)]  # ties
     data += [(400, None), (None, data[0][1]), (401, [None] * 12), (402, [float("nan")] * 12), (403, [float("inf")] * 12), (404, []), (405, []), (410, [1.0]), (411, [2.0])]
     data += [data[3], data[3], (420, [0.0] * 12), (420, [0.1] * 12)]
     table = spark.createDataFrame(data, "vec_id long, embedding array<double>")
-    got = topk.top_k(clashing(table), every=10, rows=rows, queries=queries).collect()
+    got = topk.top_k(clashing(table), every=10, block_bytes=block_bytes).collect()
     assert sorted(tuple(r) for r in got) == brute(data, 5, 10)
 
 
@@ -43,7 +29,7 @@ def test_few_rows(spark):
 
 def test_stops_early_on_proof():
     rng = np.random.default_rng(1)
-    vectors = rng.integers(-20, 20, (4000, 16))
+    vectors = rng.integers(-20, 20, (4000, 16)).astype(float)
     query = rng.integers(-20, 20, 16)
     vectors[:9] = np.where(query > 0, 200, -200)
     index = topk.Index(vectors)
