@@ -34,6 +34,11 @@ def text_key(text: Column) -> Column:
     return F.coalesce(F.xxhash64(text, F.length(text)), F.lit(0))
 
 
+def text_id(text: Column) -> Column:
+    """128 bits that tell texts apart; null has none of them and differs from empty."""
+    return F.coalesce(F.unhex(F.md5(text)), F.lit(b""))
+
+
 def small(table: DataFrame) -> DataFrame:
     """Broadcast ``table`` if its counted rows are few, else shuffle it."""
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table.hint("shuffle_hash")

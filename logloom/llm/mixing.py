@@ -95,8 +95,9 @@ def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
     cuts = plan.groupBy("source").agg(F.max("whole").alias("_mix_whole"), F.max(F.when(more, place)).alias("_mix_last"))
     cuts = small(staged(cuts.withColumnRenamed("source", "_mix_source")))
     own = F.struct(_mark(seed).alias("mark"), F.col("doc_id"), _size().alias("size"))
-    joined = docs.join(cuts, docs["source"].eqNullSafe(cuts["_mix_source"]))
-    extra = F.coalesce((own <= F.col("_mix_last")).cast("int"), F.lit(0))
-    copies = F.when(_size() > 0, F.col("_mix_whole").cast("int") + extra).otherwise(1)
+    rows = docs.select(F.struct("*").alias("row"), F.col("source").alias("_mix_own"), own.alias("_mix_place"))
+    joined = rows.join(cuts, F.col("_mix_own").eqNullSafe(F.col("_mix_source")))
+    extra = F.coalesce((F.col("_mix_place") <= F.col("_mix_last")).cast("int"), F.lit(0))
+    copies = F.when(F.col("_mix_place.size") > 0, F.col("_mix_whole").cast("int") + extra).otherwise(1)
     turns = F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))
-    return joined.withColumn("_mix_turn", F.explode(turns)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return joined.withColumn("_mix_turn", F.explode(turns)).select("row.*")

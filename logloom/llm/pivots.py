@@ -107,15 +107,15 @@ def _angles(pairs: DataFrame, one: str, two: str, names: list[str]) -> DataFrame
 def _balls(classes: DataFrame, least: float, index) -> DataFrame:
     """``classes`` with ``ball`` and ``radius``: a centre so near that any two vectors of a ball are linked for certain.
 
-    A list's leader is its vector with the smallest hash; a vector tries the leader
-    with which it shares the most lists. The angle between two vectors is at most
+    A list's leader is its first vector; a vector tries the leader with which it
+    shares the most lists. The angle between two vectors is at most
     the sum of their angles to the centre, so half the limit will do.
     """
-    posted = staged(index(classes.select("cls", "x"), "cls").join(classes.select("cls", "h"), "cls"))
-    lists = posted.groupBy("key").agg(F.min_by("cls", F.struct("h", "cls")).alias("centre"), F.min("h").alias("_h"), F.count("*").alias("_some"))
-    tried = meet(posted.select("cls", "key"), staged(lists.filter("_some > 1").drop("_some")), "key").filter("cls <> centre")
-    tried = tried.groupBy("cls", "centre").agg(F.count("*").alias("_lists"), F.min("_h").alias("_h"))
-    tried = staged(tried.groupBy("cls").agg(F.min_by("centre", F.struct(-F.col("_lists"), "_h", "centre")).alias("centre")))
+    posted = staged(index(classes.select("cls", "x"), "cls"))
+    lists = staged(posted.groupBy("key").agg(F.min("cls").alias("centre"), F.count("*").alias("_n")).filter("_n > 1"))
+    tried = meet(posted, lists.drop("_n"), "key", lists.select("key", "_n")).filter("cls <> centre")
+    tried = tried.groupBy("cls", "centre").agg(F.count("*").alias("_lists"))
+    tried = staged(tried.groupBy("cls").agg(F.min_by("centre", F.struct(-F.col("_lists"), "centre")).alias("centre")))
     both = meet(tried.join(classes.select("cls", "x"), "cls"), classes.select(F.col("cls").alias("centre"), F.col("x").alias("_x")), "centre")
     near = _angles(both, "x", "_x", ["cls", "centre"]).filter(F.col("angle") <= acos(least) / 2 - _MARGIN)
     near = near.select("cls", F.col("centre").alias("ball"), F.greatest("angle", F.lit(_MARGIN)).alias("radius"))
@@ -123,11 +123,12 @@ def _balls(classes: DataFrame, least: float, index) -> DataFrame:
     return joined.withColumn("radius", F.coalesce("radius", F.lit(0.0))).withColumn("ball", F.coalesce("ball", "cls"))
 
 
-def _candidates(placed: DataFrame) -> DataFrame:
+def _candidates(posted: DataFrame) -> DataFrame:
     """Pairs ``a`` < ``b`` of balls that share a list, each once. Long lists are paired in cells, by many tasks."""
-    cells = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("ball").alias("_lo"), F.max("ball").alias("_hi")).filter("_lo <> _hi")
-    cells = staged(cells.select("key", F.ceil(F.col("n") / CHUNK).alias("parts")))
-    rows = meet(placed, cells, "key")
+    mixed = staged(posted.groupBy("key").agg(F.min("ball").alias("_lo"), F.max("ball").alias("_hi"), F.count("*").alias("_n")).filter("_lo <> _hi"))
+    placed = staged(meet(posted, mixed.select("key"), "key", mixed.select("key", "_n")).distinct())
+    cells = staged(placed.groupBy("key").agg(F.count("*").alias("_n")).withColumn("parts", F.ceil(F.col("_n") / CHUNK)))
+    rows = meet(placed, cells.drop("_n"), "key", cells.select("key", "_n"))
     part = F.pmod(F.xxhash64("ball"), F.col("parts"))
     rows = rows.withColumn("part", part).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     rows = rows.select("key", F.least("part", "turn").alias("i"), F.greatest("part", "turn").alias("j"), "part", "ball")
@@ -220,8 +221,7 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, pivots: int = PIVO
     members = staged(_balls(classes, least, index))
     balls = members.groupBy("ball").agg(F.sum("size").alias("rows"), F.count("*").alias("classes"), F.max("radius").alias("radius"), F.min("least_id").alias("name"))
     balls = staged(balls.join(classes.select(F.col("cls").alias("ball"), "x"), "ball"))
-    placed = staged(index(members.select("ball", "x"), "ball").distinct())
-    pairs = staged(_candidates(placed))
+    pairs = staged(_candidates(staged(index(members.select("ball", "x"), "ball"))))
     about = lambda side: balls.select(F.col("ball").alias(side), F.col("radius").alias(f"r{side}"), F.col("x").alias(f"x{side}"))
     near = _angles(meet(meet(pairs, about("a"), "a"), about("b"), "b").withColumn("reach", F.col("ra") + F.col("rb")), "xa", "xb", ["a", "b", "reach"])
     limit = acos(least)

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from logloom.llm import overlap
 from tests.llm.helpers import docs
@@ -48,3 +50,28 @@ def test_links_join_components(spark):
     roots = overlap.linked(table, table.selectExpr("key", "key as comp")).collect()
     assert {r.node: r.root for r in roots} == {i: n for i, n in enumerate(name) if i != n}
     assert overlap.linked(table.limit(0), table.limit(0).selectExpr("key", "key as comp")).count() == 0
+
+
+def test_large_groups_are_looked_at_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "CELL", 9)
+    rng = random.Random(6)
+    base = [f"word{rng.randint(0, 20_000)}" for _ in range(150)]
+    texts = [edited(rng, base, rng.randint(1, 7)) for _ in range(70)] + [None, "", "   ", "one", "One"]
+    name = list(range(len(texts)))
+    for i in range(70):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                name = [min(name[i], name[j]) if n in (name[i], name[j]) else n for n in name]
+    name[74] = 73
+    table = spark.createDataFrame([(f"{i:03}", t, "x") for i, t in enumerate(texts)], "key string, text string, n string")
+    roots = overlap.linked(table, table.selectExpr("key", "key as comp")).collect()
+    assert {r.node: r.root for r in roots} == {f"{i:03}": f"{n:03}" for i, n in enumerate(name) if i != n}
+
+
+def test_kept_rows_with_large_groups_and_nulls(spark):
+    rng = random.Random(7)
+    base = [f"word{rng.randint(0, 20_000)}" for _ in range(120)]
+    texts = [" ".join(base)] * 60 + [edited(rng, base, 1) for _ in range(40)] + [None, "", " ", "stays alone for good"]
+    kept = overlap.distinct(docs(spark, texts).withColumn("row", F.lit(1)).withColumn("mark", F.lit(2)))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 100, 103] and kept.columns[-2:] == ["row", "mark"]
+    assert overlap.distinct(docs(spark, [])).count() == 0
