@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import decontaminate, mixing, overlap, quality, simhash, tokens
+from logloom.llm import decontaminate, mixing, overlap, quality, tokens
 from logloom.llm.common import text_key
 from logloom.session import shared_folder, staged
 
@@ -29,47 +29,16 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of each group of near duplicates: that with the smallest id, null last; ties go by the text's key.
-
-    Near are texts whose fingerprints differ in three bits at most, and those
-    whose sets of five words in a row have a Jaccard similarity of 0.8 or more. A
-    row is known by its id and text, so other texts under the same id, or
-    without one, are judged by themselves.
-    """
-    keyed = docs.withColumn("_row_text", text_key(F.col("text")))
-    place = F.struct(F.col("doc_id").isNull().alias("_none"), F.col("doc_id").alias("_id"), F.col("_row_text"))
-    found = staged(simhash.near_duplicates(keyed.select(place.alias("doc_id"), "text")).select("doc_id", "component_id"))
-    pair = found.select(F.col("doc_id._row_text").alias("key"), F.col("component_id._row_text").alias("comp")).distinct()
-    roots = overlap.linked(keyed.select(F.col("_row_text").alias("key"), "text"), staged(pair))
-    names = found.select("component_id", F.col("component_id._row_text").alias("node")).distinct().join(roots, "node", "left")
-    names = names.withColumn("root", F.coalesce("root", "node"))
-    least = names.groupBy("root").agg(F.min("component_id").alias("_least"), F.count("*").alias("_parts")).filter("_parts > 1")
-    later = staged(names.join(least, "root").filter("component_id <> _least").select("node", F.lit(True).alias("_later")))
-    found = found.withColumn("node", F.col("component_id._row_text")).join(later, "node", "left")
-    first = F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("_later").isNull()
-    counted = found.groupBy(F.col("doc_id._id").alias("doc_id"), F.col("doc_id._row_text").alias("_row_text"))
-    counted = staged(counted.agg(F.bool_or(first).alias("_first"), F.count("*").alias("_n")))
-    other = counted.filter("not _first or _n > 1").select(*ROW)
-    again = counted.filter("_first and _n > 1").select(*ROW)
-    once = decontaminate.same(keyed, other, ROW, "left_anti").drop("_row_text")
-    several = decontaminate.same(keyed, again, ROW, "left_semi")
-    ordered = _sortable(docs)
-    pick = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(*[F.col(f"`{c}`") for c in ordered]))
-    one = several.groupBy(*ROW).agg(pick.alias("_one"))
-    return once.unionByName(one.select(*[F.col("_one").getField(c).alias(c) for c in docs.columns]))
-
-
-def _sortable(docs: DataFrame) -> list[str]:
-    """Columns whose values have an order."""
-    return [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    """Keep one row of each group of near duplicates: that with the smallest id, null last; see ``overlap.distinct``."""
+    return overlap.distinct(docs)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a passage of a benchmark item."""
     hit = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated")
     hit = staged(hit.select("doc_id", F.col("_text").alias("_row_text")).distinct())
-    marked = docs.withColumn("_row_text", text_key(F.col("text")))
-    return decontaminate.same(marked, hit, ROW, "left_anti").drop("_row_text")
+    marked = docs.select(F.struct("*").alias("row"), "doc_id", text_key(F.col("text")).alias("_row_text"))
+    return decontaminate.same(marked, hit, ROW, "left_anti").select("row.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
