@@ -459,6 +459,12 @@ ORACLES = {
     "l_window_counts_stream": q(LOGS, """SELECT * FROM (SELECT date_trunc('minute', timestamp) - INTERVAL 1 MINUTE * b AS window_start, source, count(*) AS n,
       count(*) FILTER (severity IN ('ERROR', 'CRITICAL')) AS errors FROM logs CROSS JOIN (VALUES (0), (1), (2), (3), (4)) x(b)
       GROUP BY window_start, source) WHERE window_start + INTERVAL 5 MINUTE <= (SELECT max(timestamp) FROM logs) - INTERVAL 10 MINUTE"""),
+    "l_trailing_state": q(WINDOWED, """SELECT id, n_5m FROM counted WHERE (epoch_us(timestamp) // 300000000 + 1) * 300000000
+      < (SELECT epoch_us(max(timestamp)) FROM logs) - 600000000"""),
+    "l_event_text_live": q(LOGS, """SELECT timestamp, source, severity, '/system/application/' || (id + b) AS endpoint, true AS as_batch,
+      CASE severity WHEN 'CRITICAL' THEN 503 WHEN 'ERROR' THEN 500 WHEN 'WARNING' THEN 403 ELSE 200 END::INTEGER AS status_code,
+      CASE WHEN b = 0 THEN message ELSE left(repeat('word ', 60) || message, 300) || '...' END AS message
+      FROM logs CROSS JOIN (VALUES (0), (1)) x(b)"""),
     "l_dedup": q(LOGS, "SELECT id, source FROM logs"),
     "l_live_score": q(SCORED, "SELECT id, anomaly, anomaly_score, anomaly_reason FROM scored"),
     "l_counters": q(SCORED, "SELECT count(*) AS rows, count(*) FILTER (anomaly) AS anomalies FROM scored"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.clean import normalize_ip, normalize_status, sanitize
@@ -15,7 +15,8 @@ from logloom.plans import detect as detection
 from logloom.plans import ingest, sync
 from logloom.session import shared_folder, staged
 from logloom.sources import tables as views
-from logloom.sources.event_text import parse_event_text
+from logloom.sources.event_text import parse_event_text, read_event_text
+from logloom.sources.ranges import lines_of
 from logloom.streaming import live
 
 RECORD = ["id", "timestamp", "source", "event_type", "severity", "ip_address", "status_code", "endpoint", "message"]
@@ -179,10 +180,12 @@ def v_import_report(spark, folder):
 
 
 def s_csv_scan(spark, folder):
+    """Line breaks and stray quotes inside cells, read in splits that cut through both."""
     path = _folder(spark)
     rows = views.logs_raw(spark, folder).withColumn("message", F.replace("message", F.lit(" | "), F.lit('\n"quoted", ')))
     rows.drop("row_no").write.option("header", True).option("escape", '"').csv(path)
-    return ingest.validate_file(spark, path).valid.select(*VALID[1:])
+    with _small_splits(spark, 1 << 20):
+        return ingest.validate_file(spark, path).valid.select(*VALID[1:])
 
 
 def s_csv_wide(spark, folder):
@@ -194,12 +197,12 @@ def s_csv_wide(spark, folder):
 
 
 def s_csv_mixed(spark, folder):
-    """Two files with their columns in another order, one of them without an endpoint, and another delimiter each."""
+    """Files of two kinds: columns in another order, one kind without an endpoint, and another delimiter each."""
     path, rows = _folder(spark), views.logs_raw(spark, folder)
     names = [c for c in rows.columns if c != "row_no"]
     one, two = rows.filter(F.col("row_no") % 2 == 0).select(*names), rows.filter(F.col("row_no") % 2 == 1)
-    for part, kept in ((one, names), (two, [c for c in reversed(names) if c != "endpoint"])):
-        part.select(*kept).coalesce(1).write.mode("append").option("header", True).option("escape", '"').option("sep", ";").csv(path)
+    for part, kept, sep in ((one, names, ";"), (two, [c for c in reversed(names) if c != "endpoint"], "\t")):
+        part.select(*kept).write.mode("append").option("header", True).option("escape", '"').option("sep", sep).csv(path)
     return ingest.validate_file(spark, path).valid.select(*[c for c in VALID[1:-1] if c != "endpoint"])
 
 
@@ -242,8 +245,8 @@ def s_export(spark, folder):
     return layouts.export_rows(explained(spark, folder))
 
 
-def s_event_text(spark, folder):
-    """Every log as a two-block event text, read back."""
+def event_dumps(spark, folder, path):
+    """Every log as two blocks of event text, in dumps of many logs, written as files."""
     level = F.when(F.col("severity") == "INFO", "Information ").otherwise(F.initcap("severity"))
 
     def block(n: int, detail) -> list:
@@ -251,13 +254,40 @@ def s_event_text(spark, folder):
             F.lit(f" Event[{n}]\n  Log Name: Application\n  Source: "), F.col("source"),
             F.lit("\n  Date: "), F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".0000000Z\n  Event ID: "),
             (F.col("id") + n).cast("string"), F.lit("\n  Level: "), level, F.lit("\n  Computer: HOST\n  Description: \n"),
-            detail, F.lit("\n\n"),
+            detail, F.lit("\n"),
         ]
 
     long_text = F.concat(F.repeat(F.lit("word  "), 60), F.col("message"))
     text = F.concat(*block(0, F.col("message")), *block(1, long_text))
-    dumps = views.logs(spark, folder).select(text.alias("text"))
-    return parse_event_text(dumps, _now(), "Application", "10.1.1.1")
+    views.logs(spark, folder).select(text.alias("value")).write.text(path)
+
+
+def _small_splits(spark, size: int):
+    """Settings with splits of ``size`` bytes, so that blocks and quoted cells lie across many borders."""
+    return _Setting(spark, "spark.sql.files.maxPartitionBytes", str(size))
+
+
+class _Setting:
+    """A session setting for the length of a block."""
+
+    def __init__(self, spark, name: str, value: str):
+        self.spark, self.name, self.value = spark, name, value
+
+    def __enter__(self):
+        self.old = self.spark.conf.get(self.name, None)
+        self.spark.conf.set(self.name, self.value)
+
+    def __exit__(self, *_):
+        self.spark.conf.unset(self.name) if self.old is None else self.spark.conf.set(self.name, self.old)
+
+
+def s_event_text(spark, folder):
+    """The logs' event dumps, read back in splits that cut through blocks."""
+    path = _folder(spark)
+    event_dumps(spark, folder, path)
+    with _small_splits(spark, 1 << 20):
+        records = read_event_text(spark, path).drop("row_no")
+    return parse_event_text(records, _now(), "Application", "10.1.1.1")
 
 
 # --- Cleaning and layouts
@@ -634,6 +664,29 @@ def l_live_forest(spark, folder):
     return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("live").eqNullSafe(F.col("batch"))).alias("differing"))
 
 
+def l_event_text_live(spark, folder):
+    """Captured dumps as a stream, to stored and scored logs, each held against the batch job on the same records."""
+    path, table, saved, marks = (_folder(spark) for _ in range(4))
+    event_dumps(spark, folder, path)
+    read = {"channel": "Application", "ip": "10.1.1.1"}
+    whole = staged(live.captured_logs(lines_of(spark.read.text(path)), 0, _now(), **read))
+    live.save_statistics(whole, saved, use_forest=False)
+    live.start(live.read_capture(spark, path), live.capture_sink(table, saved, _now(), **read), marks).awaitTermination()
+    result = F.struct("source", "message", "anomaly", "anomaly_score", "anomaly_reason")
+    batch = detection.detect(whole, use_forest=False).select("id", result.alias("_batch"))
+    both = spark.read.parquet(table).join(batch, "id", "left")
+    return both.select("timestamp", "source", "endpoint", "severity", "status_code", "message", result.eqNullSafe(F.col("_batch")).alias("as_batch"))
+
+
+def l_trailing_state(spark, folder):
+    """Trailing counts by a stream with state; only cells that the watermark has passed are written."""
+    path, marks = _folder(spark), _folder(spark)
+    counts = live.trailing_state(_stream(spark, folder))
+    query = counts.writeStream.format("parquet").option("path", path).option("checkpointLocation", marks).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(path)
+
+
 def l_counters(spark, folder):
     table, saved, marks = _folder(spark), _folder(spark), _folder(spark)
     live.save_statistics(views.logs(spark, folder), saved, use_forest=False)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from logloom.operators.validate import normalize_header
 from logloom.session import staged
+from logloom.sources import ranges
 
 DELIMITERS = ",\t;|"
 SAMPLE_CHARACTERS = 4096
@@ -22,12 +23,6 @@ def sniff_delimiter(sample: str) -> str:
         return ","
 
 
-def head(spark: SparkSession, path: str | list[str]) -> str:
-    """The first lines of one file, cut to the sample size, from which the delimiter is told."""
-    lines = spark.read.text(path).select(F.substring("value", 1, SAMPLE_CHARACTERS).alias("value")).take(200)
-    return "\n".join(row.value or "" for row in lines).lstrip("\ufeff")[:SAMPLE_CHARACTERS]
-
-
 def _first_record(spark: SparkSession, file: str, line: str) -> str:
     """A file's first record, whole: more lines are read while a quote is open."""
     count = 64
@@ -60,14 +55,13 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, multi
 
     Every file is read by its own header, which may be of any length and order;
     columns are matched by name, and one that a file lacks is null there. Files
-    with line breaks inside quotes, which Spark cannot split, are found by their
-    quotes; ``multi_line`` sets it for all. Returns None when there is no header.
+    are split by range. Where a line holds an odd number of quotes, records are put
+    together from lines first, see ``ranges``; ``multi_line`` sets it for all.
+    Returns None when there is no header.
     """
     groups: dict[tuple, list[str]] = {}
     for file, record, breaks in _files(spark, path):
-        mark = sep or sniff_delimiter(head(spark, file) if not groups else record)
-        if not sep and groups:
-            mark = next((known[1] for known in groups if known[1] in record), mark)
+        mark = sep or sniff_delimiter(record)
         first = next(csv.reader(record.splitlines(keepends=True), delimiter=mark), [])
         if any(cell.strip() for cell in first):
             groups.setdefault((tuple(first), mark, breaks if multi_line is None else multi_line), []).append(file)
@@ -75,18 +69,26 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, multi
     for (first, mark, lines), files in groups.items():
         # Of columns with the same normalised name the last one counts.
         columns = {normalize_header(name): f"c{place}" for place, name in enumerate(first) if name.strip()}
-        read = (
-            spark.read.schema(", ".join(f"c{place} string" for place in range(len(first))))
-            .option("header", True).option("sep", mark).option("quote", '"').option("escape", '"')
-            .option("multiLine", lines).csv(files)
-        )
-        part = read.select(
-            *[F.col(c).alias(name) for name, c in columns.items()],
-            F.col("_metadata.file_path").alias("_file"),
-            F.col("_metadata.file_block_start").alias("_block"),
-        )
+        read = _in_quotes if lines else _by_lines
+        part = read(spark, files, ", ".join(f"c{place} string" for place in range(len(first))), mark)
+        part = part.select(*[F.col(c).alias(name) for name, c in columns.items()], "_file", "_block", "_seq")
         rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
-    return None if rows is None else number_rows(rows.withColumn("_seq", F.monotonically_increasing_id()))
+    return None if rows is None else number_rows(rows)
+
+
+def _by_lines(spark: SparkSession, files: list[str], kind: str, sep: str) -> DataFrame:
+    """Files whose records are lines."""
+    read = spark.read.schema(kind).option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').csv(files)
+    return read.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")).withColumn("_seq", F.monotonically_increasing_id())
+
+
+def _in_quotes(spark: SparkSession, files: list[str], kind: str, sep: str) -> DataFrame:
+    """Files with line breaks inside quotes; the first record is the header."""
+    found = staged(ranges.delimited_records(ranges.lines_of(spark.read.text(files)), sep))
+    header = found.groupBy("_file").agg(F.min(F.struct("_block", "_seq")).alias("_head"))
+    rows = found.join(F.broadcast(header), "_file").filter(F.struct("_block", "_seq") > F.col("_head"))
+    cells = F.from_csv("text", kind, {"sep": sep, "quote": '"', "escape": '"'})
+    return rows.select(cells.alias("_cells"), "_file", "_block", "_seq").select("_cells.*", "_file", "_block", "_seq")
 
 
 def number_rows(rows: DataFrame) -> DataFrame:

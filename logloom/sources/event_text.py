@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions.text import filled, strip, without_controls
 from logloom.functions.times import iso_utc, normalize_time, parse_time
+from logloom.sources import ranges
+from logloom.sources.delimited import number_rows
 
 # The block mark, and below the field names and levels of the dump.
 _BLOCK = r"(?m)^\s*Event\[\d+\]"
 
 
+def event_records(lines: DataFrame) -> DataFrame:
+    """``text`` and ``row_no`` (ascending over files and places) of every block of event dumps.
+
+    ``lines`` come from ``ranges.lines_of``. A dump may have any size: its splits are
+    read by many tasks, and a block that lies across a border is put together.
+    """
+    mark = re.compile(r"\s*Event\[\d+\]", re.ASCII)
+    found = ranges.whole_records(ranges.pieces(lines, lambda _: lambda line: mark.match(line) is not None))
+    return number_rows(found).filter(strip(F.regexp_replace("text", _BLOCK, "")) != "")
+
+
 def read_event_text(spark: SparkSession, path: str) -> DataFrame:
-    """One row per capture file under ``text``."""
-    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "text")
+    """The blocks of all dumps at ``path``, in order: ``text`` and ``row_no``."""
+    return event_records(ranges.lines_of(spark.read.text(path)))
 
 
 def _field(block: Column, pattern: str) -> Column:

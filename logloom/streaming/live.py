@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from logloom import schema
 from logloom.operators import forest
@@ -19,7 +22,9 @@ from logloom.operators.tables import DAY, table_exists, with_day
 from logloom.operators.trailing import blocks, burst_threshold, histogram, with_trailing_count
 from logloom.plans.detect import detect, forest_features, rule_features
 from logloom.plans.sync import sync_all, write
-from logloom.session import prepare, staged
+from logloom.session import prepare, ship, staged
+from logloom.sources import ranges
+from logloom.sources.event_text import as_logs, event_records, parse_event_text
 
 
 def read_logs(spark: SparkSession, path: str, kind: T.StructType = schema.LOG, files_per_batch: int | None = None) -> DataFrame:
@@ -64,6 +69,61 @@ def running_counters(scored: DataFrame) -> DataFrame:
     return scored.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("anomaly")).alias("anomalies"))
 
 
+# --- Trailing counts with state
+
+_MICROS = 1_000_000
+_STATE = "times array<long>, ids array<long>, before array<long>"
+
+
+def _close(times: list[int], ids: list[int], before: list[int], span: int) -> pd.DataFrame:
+    """The trailing count of every row of a cell, given the times of the cell before it."""
+    order = np.lexsort((ids, times))
+    at, earlier = np.array(times, dtype=np.int64)[order], np.sort(np.array(before, dtype=np.int64))
+    own = np.arange(1, len(at) + 1) - np.searchsorted(at, at - span, "left")
+    return pd.DataFrame({"id": np.array(ids, dtype=np.int64)[order], "n_5m": own + len(earlier) - np.searchsorted(earlier, at - span, "left")})
+
+
+def trailing_state(logs: DataFrame, delay: str = "10 minutes", seconds: int = schema.WINDOW_SECONDS) -> DataFrame:
+    """``id`` and ``n_5m`` of a stream of logs: how many logs of the source came in the ``seconds`` up to it, itself included.
+
+    The state is kept per source and cell of ``seconds``: the rows of the cell, and
+    the times of the cell before, which no trailing window exceeds. A cell is
+    counted, written and forgotten once the watermark has passed its end, so rows
+    that come out of order within ``delay`` are counted as if they had come in order,
+    as ``with_trailing_count`` counts them; ties go by id. Later rows are dropped,
+    and rows without a time have no count. A source's rows are spread over
+    its cells; state holds two cells and the delay of each source, never the table.
+    """
+    ship(logs.sparkSession)
+    span = seconds * _MICROS
+    timed = logs.select("id", "source", F.col("timestamp").cast("timestamp").alias("_time")).filter("_time is not null")
+    marked = timed.withWatermark("_time", delay).withColumn("_micros", F.unix_micros("_time"))
+    cell = F.call_function("div", F.col("_micros") - F.pmod("_micros", F.lit(span)), F.lit(span))
+    placed = marked.withColumn("_role", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_cell", cell + F.col("_role"))
+
+    def count(key: tuple, rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held = [list(part) for part in state.get] if state.exists else [[], [], []]
+        end = (int(key[1]) + 1) * span
+        if state.hasTimedOut:
+            state.remove()
+            if held[0]:
+                yield _close(*held, span)
+            return
+        passed = state.getCurrentWatermarkMs() * 1000
+        for part in rows:
+            kept = part[(part["_micros"] // span + 1) * span > passed]
+            own = kept[kept["_role"] == 0]
+            held[0] += own["_micros"].tolist()
+            held[1] += own["id"].tolist()
+            held[2] += kept.loc[kept["_role"] == 1, "_micros"].tolist()
+        if end > passed and any(held):
+            state.update(tuple(held))
+            state.setTimeoutTimestamp(end // 1000)
+
+    kept = placed.select("id", "source", "_cell", "_micros", "_role", "_time").groupBy("source", "_cell")
+    return kept.applyInPandasWithState(count, "id long, n_5m long", _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 # --- Scoring batches
 
 
@@ -176,6 +236,48 @@ def scoring_sink(
     return handle
 
 
+# --- From captured text to scored logs
+
+#: A batch's ids begin at its number times this.
+BATCH_IDS = 1 << 32
+
+
+def read_capture(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """Captured event dumps as a stream of lines that know their file and split."""
+    reader = prepare(spark).readStream
+    lines = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).text(path)
+    return ranges.lines_of(lines).withColumn("_seen", F.col("_metadata.file_modification_time"))
+
+
+def captured_logs(lines: DataFrame, batch_id: int, captured_at: Column | None = None, **parse) -> DataFrame:
+    """The log records of a batch of captured lines.
+
+    An id is the batch's number and the record's place among the batch's files, so
+    a batch that is taken again gives the same ids. Every record is valid: fields
+    that the text lacks get their defaults. A missing date is that of the capture,
+    by default the latest time a file of the batch was written.
+    """
+    now = captured_at
+    if now is None:
+        now = F.lit(lines.agg(F.max("_seen").cast("timestamp_ntz")).first()[0]).cast("timestamp_ntz")
+    events = as_logs(parse_event_text(event_records(lines.select("_file", "_block", "value")), now, **parse), now)
+    return events.withColumn("id", F.lit(batch_id).cast("long") * BATCH_IDS + F.col("row_no")).select(*schema.LOG.fieldNames())
+
+
+def capture_sink(
+    table: str, statistics: str | None = None, captured_at: Column | None = None, threshold: int = schema.THRESHOLD,
+    full: bool = False, targets: str | None = None, **parse,
+) -> Callable[[DataFrame, int], None]:
+    """A batch handler from captured text to stored, scored logs; see ``captured_logs`` and ``scoring_sink``."""
+    score = scoring_sink(table, statistics, threshold, full, targets)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        if not batch.isEmpty():
+            score(captured_logs(batch, batch_id, captured_at, **parse), batch_id)
+
+    return handle
+
+
 def newest_sink(path: str, keep: int = 200) -> Callable[[DataFrame, int], None]:
     """A batch handler that holds the newest logs for a viewer, each id once."""
 
