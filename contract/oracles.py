@@ -293,6 +293,30 @@ CLEAN_LOGS = RAW + f""", cleaned AS (
   FROM cleaned
 )"""
 
+# The stream's scored logs, with names made from their content and no explanation.
+LIVE = SCORED + """, live AS (
+  SELECT *, left(h, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS uuid,
+    NULL::VARCHAR AS ai_explanation, NULL::VARCHAR AS ai_root_cause, NULL::VARCHAR AS ai_model
+  FROM (SELECT *, sha256(concat_ws('|', id, strftime(timestamp, '%Y-%m-%d %H:%M:%S.%f'), source, event_type)) AS h FROM scored)
+)"""
+
+
+def _text(*columns: str) -> str:
+    return "concat_ws('|', " + ", ".join(f"coalesce(({c})::VARCHAR, '-')" for c in columns) + ") AS content"
+
+
+def _sent(logs: str = "true", told: str = "anomaly", rows: str = "explained", clause: str = EXPLAINED, now: str = _NOW) -> str:
+    """The records that go to the three targets: of the logs for which ``logs`` holds, explained where ``told`` does."""
+    cleaned = _text("strftime(timestamp, '%Y-%m-%dT%H:%M:%SZ')", "source", "event_type", "severity", "status_code", "coalesce(ip_address, '127.0.0.1')", "message")
+    anomaly = _text("uuid", "true", "'true'", "anomaly_reason", "'Hybrid Rule-Based + Isolation Forest'", now)
+    why = _text(
+        "uuid", "trim(coalesce(ai_explanation, anomaly_reason))", "coalesce(ai_root_cause, 'Abnormal behavioral signature detected on ' || endpoint || '.')",
+        "'Review IP network logs and verify user authentication authorization.'", "coalesce(ai_model, 'gemini-3.5-flash-lite')", now)
+    return q(clause, f"""SELECT 'logs' AS target, uuid AS id, {cleaned} FROM {rows} WHERE {logs}
+      UNION ALL SELECT 'anomalies', uuid, {anomaly} FROM {rows} WHERE anomaly AND {logs}
+      UNION ALL SELECT 'ai_analysis', uuid, {why} FROM {rows} WHERE {logs} AND {told}""")
+
+
 ORACLES = {
     # Explorer
     "q_search": q(LOGS, """SELECT * FROM logs WHERE message ILIKE '%LOCATION: g_rm%' OR endpoint ILIKE '%LOCATION: g_rm%'
@@ -394,8 +418,9 @@ ORACLES = {
     "c_clean_metrics": q(CLEAN_LOGS, """SELECT count(*) AS total_input, count(*) AS cleaned_count, 0::INTEGER AS nulls_repaired,
       count(timestamp) AS timestamps_normalized, count(status_code) AS status_codes_normalized FROM clean_logs"""),
     "c_clean_in_place": q(LOGS, "SELECT * REPLACE (coalesce(ip_address, '127.0.0.1') AS ip_address) FROM logs"),
-    "c_record": q(EXPLAINED, """SELECT id, uuid, strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS timestamp, anomaly, anomaly_score, ai_explanation,
-      ai_explanation IS NOT NULL OR ai_root_cause IS NOT NULL AS has_ai_analysis FROM explained"""),
+    "c_record": q(EXPLAINED, """SELECT id, uuid, strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS timestamp, source, event_type, severity, ip_address, status_code, message, endpoint,
+      anomaly, anomaly_score, anomaly_reason, ai_explanation, ai_root_cause, NULL::VARCHAR AS ai_next_step, ai_model, NULL::VARCHAR AS ai_analyzed_at,
+      ai_explanation IS NOT NULL OR ai_root_cause IS NOT NULL AS has_ai_analysis, NULL::VARCHAR AS created_at FROM explained"""),
     "c_cloud_log": q(LOGS, f"""SELECT left(h, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS id,
       strftime(timestamp, '%Y-%m-%dT%H:%M:%S') AS timestamp, event_type, severity, source, ip_address, status_code, message, endpoint,
       {_NOW} AS created_at, {_NOW} AS updated_at
@@ -442,10 +467,12 @@ ORACLES = {
       CASE WHEN id % 7 <> 0 THEN strftime(timestamp, '%Y-%m-%d') END AS dt FROM explained WHERE anomaly AND (id % 2 = 0 OR id % 3 <> 1)"""),
     "y_delete_one": q(LOGS, "SELECT count(*) AS n, sum(id)::BIGINT AS ids FROM logs WHERE id <> 77"),
     "y_clear_all": q(LOGS, "SELECT 0::BIGINT AS left_count, count(*) AS deleted_count FROM logs"),
-    "y_sync": q(SCORED, "SELECT count(*) AS logs_synced, count(*) FILTER (anomaly) AS anomalies_synced, count(*) FILTER (anomaly) AS ai_synced FROM scored"),
-    "y_sync_one": q(EXPLAINED, """SELECT count(*) AS logs_synced, count(*) FILTER (anomaly) AS anomalies_synced,
-      count(*) FILTER (anomaly AND ai_explanation IS NOT NULL) AS ai_synced FROM explained WHERE id = 156"""),
-    "y_feed": q(SCORED, "SELECT 0::BIGINT AS logs_synced, count(*) FILTER (anomaly) AS anomalies_synced, count(*) FILTER (anomaly) AS ai_synced FROM scored"),
+    "y_sync": _sent(),
+    "y_cascade": q(EXPLAINED, """SELECT 'logs' AS target, uuid AS id FROM explained WHERE id % 4 <> 0
+      UNION ALL SELECT 'anomalies', uuid FROM explained WHERE anomaly AND id % 4 <> 0
+      UNION ALL SELECT 'ai_analysis', uuid FROM explained WHERE anomaly AND id % 4 <> 0"""),
+    "y_sync_one": _sent("id = 156", "anomaly AND ai_explanation IS NOT NULL"),
+    "y_feed": f"SELECT * FROM ({_sent()}) WHERE target <> 'logs'",
     # Explanations
     "a_parse_reply": q(REPLIES, "SELECT id, explanation, likely_root_cause, recommended_next_step FROM parsed"),
     "a_attach": q(REPLIES + SCORED[len(LOGS):], """SELECT s.id, explanation AS ai_explanation, likely_root_cause AS ai_root_cause,
@@ -469,7 +496,7 @@ ORACLES = {
     "l_live_score": q(SCORED, "SELECT id, anomaly, anomaly_score, anomaly_reason FROM scored"),
     "l_counters": q(SCORED, "SELECT count(*) AS rows, count(*) FILTER (anomaly) AS anomalies FROM scored"),
     "l_newest": q(LOGS, "SELECT id, timestamp, source FROM logs ORDER BY timestamp DESC, id DESC LIMIT 200"),
-    "l_live_sync": q(SCORED, "SELECT count(*) AS logs_synced, count(*) FILTER (anomaly) AS anomalies_synced, count(*) FILTER (anomaly) AS ai_synced FROM scored"),
+    "l_live_sync": _sent(rows="live", clause=LIVE, now="(SELECT strftime(max(timestamp), '%Y-%m-%dT%H:%M:%S') FROM logs)"),
 }
 
 # The prompt's text per anomaly, from the neighbour rows.

@@ -11,6 +11,7 @@ from logloom.functions.clean import normalize_ip, normalize_status, sanitize
 from logloom.functions.times import normalize_time, parse_time
 from logloom.operators import explain, explorer, forest, layouts, neighbours, stats, tables, trailing, validate
 from logloom.operators import profile as profiles
+from logloom.operators.published import Store
 from logloom.plans import detect as detection
 from logloom.plans import ingest, sync
 from logloom.session import shared_folder, staged
@@ -355,9 +356,7 @@ def c_clean_in_place(spark, folder):
 
 
 def c_record(spark, folder):
-    return layouts.records(explained(spark, folder)).select(
-        "id", "uuid", "timestamp", "anomaly", "anomaly_score", "ai_explanation", "has_ai_analysis"
-    )
+    return layouts.records(explained(spark, folder))
 
 
 def c_cloud_log(spark, folder):
@@ -483,24 +482,23 @@ def j_cascade(spark, folder):
 
 
 def y_upsert(spark, folder):
-    """Changed and new rows, some keys twice, upserted into a stored table."""
-    path = _folder(spark)
+    """Changed and new rows, some keys twice and many under another day, upserted into a published table."""
     logs = views.logs(spark, folder)
-    tables.append_logs(logs.filter(F.col("id") % 5 != 0), path)
+    store = Store(spark, _folder(spark))
+    store.upsert({"logs": tables.with_day(logs.filter(F.col("id") % 5 != 0))})
     copies = logs.filter(F.col("id") % 10 < 2).withColumn("version", F.explode(F.array(F.lit(1), F.lit(2))))
     incoming = copies.withColumn("message", F.concat(F.lit("v"), F.col("version").cast("string")))
     moved = incoming.withColumn("timestamp", F.col("timestamp") + F.expr("INTERVAL 1 DAY"))
     fresh = tables.newest(moved, "id", F.col("version")).drop("version")
-    tables.upsert_table(spark, path, tables.with_day(fresh))
-    return spark.read.parquet(path).select("id", "timestamp", "message", F.col("dt").cast("string").alias("dt"))
+    store.upsert({"logs": tables.with_day(fresh)})
+    return store.read("logs").select("id", "timestamp", "message", F.col("dt").cast("string").alias("dt"))
 
 
 def y_delete_many(spark, folder):
-    path = _folder(spark)
-    logs = views.logs(spark, folder)
-    tables.append_logs(logs, path)
-    tables.delete_from_table(spark, path, logs.filter(F.col("source") == "svc-1").select("id"))
-    return spark.read.parquet(path).select("id", "source")
+    logs, store = views.logs(spark, folder), Store(spark, _folder(spark))
+    store.upsert({"logs": tables.with_day(logs)})
+    store.delete("logs", logs.filter(F.col("source") == "svc-1").select("id"))
+    return store.read("logs").select("id", "source")
 
 
 def _undated(spark, folder):
@@ -527,12 +525,12 @@ def y_delete_null_day(spark, folder):
 
 
 def y_sync_narrow(spark, folder):
-    """Anomalies in the four-column form, sent in two parts of which the second repeats some."""
+    """Anomalies in the four-column form, sent in two parts; the second repeats some and finds the form by the target."""
     path, rows = _folder(spark), staged(explained(spark, folder))
     dated = rows.withColumn("timestamp", F.when(F.col("id") % 7 != 0, F.col("timestamp")))
-    for part in (F.col("id") % 2 == 0, F.col("id") % 3 != 1):
-        sync.write(spark, sync.sync_all(dated.filter(part), _now(), narrow=True), path)
-    return spark.read.parquet(f"{path}/anomalies").withColumn("dt", F.col("dt").cast("string"))
+    for part, narrow in ((F.col("id") % 2 == 0, True), (F.col("id") % 3 != 1, False)):
+        sync.write(spark, sync.sync_all(dated.filter(part), _now(), narrow=narrow), path)
+    return sync.target(spark, path, "anomalies").withColumn("dt", F.col("dt").cast("string"))
 
 
 def y_delete_one(spark, folder):
@@ -546,23 +544,50 @@ def y_clear_all(spark, folder):
     return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("left_count")).withColumn("deleted_count", F.lit(gone).cast("long"))
 
 
+def _sent(logs, anomalies, explanations):
+    """The records of the three targets as rows of one table."""
+    text = lambda *names: F.concat_ws("|", *[F.coalesce(F.col(n).cast("string"), F.lit("-")) for n in names]).alias("content")
+    parts = [
+        logs and logs.select(F.lit("logs").alias("target"), "id", text("timestamp", "source", "event_type", "severity", "status_code", "ip_address", "message")),
+        anomalies.select(F.lit("anomalies").alias("target"), "id", text("log_id", "is_anomaly", "is_anamoly", "reason", "detected_by", "created_at")),
+        explanations.select(F.lit("ai_analysis").alias("target"), "id", text("anomaly_id", "explanation", "root_cause", "next_step", "model", "created_at")),
+    ]
+    parts = [p for p in parts if p is not None]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found
+
+
+def _targets(spark, root):
+    return _sent(*[sync.target(spark, root, name) for name in sync.TARGETS])
+
+
 def y_sync(spark, folder):
     path = _folder(spark)
     payload = sync.sync_all(staged(explained(spark, folder)), _now())
     sync.write(spark, payload, path)
     sync.write(spark, payload, path)
-    written = sync.Payload(*[spark.read.parquet(f"{path}/{name}") for name in sync.TARGETS])
-    return sync.counts(written)
+    return _targets(spark, path)
+
+
+def y_cascade(spark, folder):
+    """Logs deleted from the stored targets, with all that hangs on them."""
+    path, rows = _folder(spark), staged(explained(spark, folder))
+    sync.write(spark, sync.sync_all(rows, _now()), path)
+    sync.delete_logs(spark, path, rows.filter(F.col("id") % 4 == 0).select(F.col("uuid").alias("id")))
+    return _targets(spark, path).select("target", "id")
 
 
 def y_sync_one(spark, folder):
     rows = staged(explained(spark, folder))
-    every = sync.sync_one(rows, 156, _now())
-    return sync.counts(every)
+    one = sync.sync_one(rows, 156, _now())
+    return _sent(one.logs, one.anomalies, one.explanations)
 
 
 def y_feed(spark, folder):
-    return sync.counts(sync.feed_explanations(staged(explained(spark, folder)), _now()))
+    fed = sync.feed_explanations(staged(explained(spark, folder)), _now())
+    return _sent(fed.logs, fed.anomalies, fed.explanations)
 
 
 # --- Explanations
@@ -704,7 +729,7 @@ def l_live_sync(spark, folder):
     table, saved, root, marks = (_folder(spark) for _ in range(4))
     live.save_statistics(views.logs(spark, folder), saved, use_forest=False)
     live.start(_stream(spark, folder), live.scoring_sink(table, saved, targets=root), marks).awaitTermination()
-    return sync.counts(sync.Payload(*[spark.read.parquet(f"{root}/{name}") for name in sync.TARGETS]))
+    return _targets(spark, root)
 
 
 PREFIXES = ("q_", "k_", "v_", "s_", "c_", "d_", "j_", "y_", "a_", "l_")

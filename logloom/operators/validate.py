@@ -5,7 +5,7 @@ All rules are one projection: nothing is shuffled until duplicates are marked.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -218,24 +218,46 @@ def error_head(errors: DataFrame, limit: int = 20) -> DataFrame:
     )
 
 
-@dataclass(frozen=True)
 class Report:
-    """Valid records, errors and the one-row summary of one batch."""
+    """Valid records, errors and the one-row summary of one batch, each made when it is first asked for.
 
-    valid: DataFrame
-    errors: DataFrame
-    summary: DataFrame
+    A first part is read straight from the text rows. Once a second is asked for,
+    or the records with their duplicates, which need two passes, the checked rows
+    are staged, as reading them again is cheaper than parsing the text again.
+    """
 
+    def __init__(self, checked: DataFrame):
+        self._checked, self._asked, self._stored = checked, False, False
 
-def validate(raw: DataFrame) -> Report:
-    """Validate a batch of text rows that carries a unique ``row_no``.
+    def _rows(self, passes: int) -> DataFrame:
+        if not self._stored and (self._asked or passes > 1):
+            self._checked, self._stored = staged(self._checked), True
+        self._asked = True
+        return self._checked
 
-    The checked rows are staged: records, errors and counts all come from them,
-    and reading them again is cheaper than parsing the text again.
-    """
-    checked = staged(check_rows(normalize_names(raw)))
-    valid = mark_duplicates(valid_rows(checked))
-    return Report(valid, error_rows(checked), summary(checked))
+    @cached_property
+    def valid(self) -> DataFrame:
+        return mark_duplicates(valid_rows(self._rows(2)))
+
+    @cached_property
+    def errors(self) -> DataFrame:
+        return error_rows(self._rows(1))
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return summary(self._rows(1))
+
+
+class FileReport(Report):
+    """The report of a file that could not be read as rows."""
+
+    def __init__(self, valid: DataFrame, errors: DataFrame, totals: DataFrame):
+        self.valid, self.errors, self.summary = valid, errors, totals
+
+
+def validate(raw: DataFrame) -> Report:
+    """Validate a batch of text rows that carries a unique ``row_no``."""
+    return Report(check_rows(normalize_names(raw)))
 
 
 def file_error(spark, field: str, message: str) -> Report:
@@ -246,4 +268,4 @@ def file_error(spark, field: str, message: str) -> Report:
         [(0, 0, 0, 1, 0, False)],
         "total_processed long, valid_count long, rejected_count long, error_count long, duplicate_count long, is_valid boolean",
     )
-    return Report(valid, errors, totals)
+    return FileReport(valid, errors, totals)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,8 @@ from logloom.operators.explorer import first_anomalies
 from logloom.operators.layouts import (
     LOGS, clean_metrics, clean_records, cloud_anomalies, cloud_explanations, cloud_logs, explained, stored,
 )
-from logloom.operators.tables import DAY, upsert_table, with_day
+from logloom.operators.published import Store
+from logloom.operators.tables import DAY, with_day
 from logloom.plans.detect import detect
 from logloom.plans.ingest import as_logs, validate_file
 from logloom.session import staged
@@ -71,18 +73,38 @@ def counts(payload: Payload) -> DataFrame:
     )
 
 
-def write(spark: SparkSession, payload: Payload, root: str, moves: bool = True) -> None:
-    """Upsert the payload into the tables under ``root``, parents first.
+#: The targets from the top down, with the column that names the row above.
+CHAIN = (("logs", None), ("anomalies", "log_id"), ("ai_analysis", "anomaly_id"))
+#: Columns of anomalies that an older, narrow target lacks.
+WIDE = ("anomaly_score", "reason", "detected_by", "created_at")
 
-    Every record is stored under its log's day, null where that is unknown, so
-    that sending it again finds it there. ``moves`` as in ``upsert_table``.
+
+def write(spark: SparkSession, payload: Payload, root: str, moves: bool = True, step: Callable[[str], None] | None = None) -> int:
+    """Upsert the payload into the tables under ``root`` as one change; returns the version.
+
+    Readers see all three tables before or after it, never a mix; see
+    ``published``. Every record is stored under its log's day, null where that is
+    unknown, so that sending it again finds it there. A target of anomalies in the
+    narrow form gets them in that form. ``moves`` as in ``Store.upsert``.
     """
+    store, parts = Store(spark, root, step=step), {}
     for name, part in zip(TARGETS, (payload.logs, payload.anomalies, payload.explanations)):
-        if part is None:
-            continue
-        if DAY not in part.columns:
-            part = part.withColumn(DAY, F.substring("timestamp", 1, 10).try_cast("date"))
-        upsert_table(spark, f"{root}/{name}", part, moves=moves)
+        if part is not None:
+            parts[name] = part if DAY in part.columns else part.withColumn(DAY, F.substring("timestamp", 1, 10).try_cast("date"))
+    known = store.read("anomalies")
+    if known is not None and not set(known.columns) & set(WIDE):
+        parts["anomalies"] = parts["anomalies"].drop(*WIDE)
+    return store.upsert(parts, moves=moves)
+
+
+def target(spark: SparkSession, root: str, name: str) -> DataFrame | None:
+    """One of the tables under ``root``, as last published."""
+    return Store(spark, root).read(name)
+
+
+def delete_logs(spark: SparkSession, root: str, uuids: DataFrame) -> dict[str, int]:
+    """Delete logs by ``id`` with their anomalies and explanations, as one change; returns the counts."""
+    return Store(spark, root).cascade(uuids, CHAIN)
 
 
 def write_jdbc(rows: DataFrame, url: str, table: str, properties: dict[str, str] | None = None, batch: int = 500) -> None:

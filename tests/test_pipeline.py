@@ -123,7 +123,7 @@ def test_sync_is_idempotent_and_explains_all_anomalies(spark, tmp_path):
     payload = sync.sync_all(rows, now())
     for _ in range(2):
         sync.write(spark, payload, str(tmp_path / "root"))
-    assert [spark.read.parquet(f"{tmp_path}/root/{t}").count() for t in sync.TARGETS] == [2, 1, 1]
+    assert [sync.target(spark, str(tmp_path / "root"), t).count() for t in sync.TARGETS] == [2, 1, 1]
     assert sync.counts(sync.sync_one(rows, 3, now())).first() == (1, 1, 0)
     assert sync.counts(sync.sync_one(rows, 4, now())).first() == (1, 0, 0)
     assert sync.counts(sync.feed_explanations(rows, now())).first() == (0, 1, 1)
