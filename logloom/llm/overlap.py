@@ -22,7 +22,7 @@ BANDS, ROWS = 25, 5
 LIKELY = 0.7
 _CHUNK = 256
 #: Rounds that compare with one text per bucket before what is still apart is looked at pair by pair.
-_STARS = 2
+_STARS = 1
 #: Texts of a bucket that one task looks at together, and pairs that share one copy of a text.
 CELL = 256
 
@@ -69,10 +69,10 @@ def _kind(table: DataFrame, column: str = "key") -> str:
 
 def _with_text(pairs: DataFrame, texts: DataFrame, side: str, other: str) -> DataFrame:
     """``pairs`` with the text of ``side`` as ``_side``. A text of many pairs is laid out once for every CELL of them."""
-    counts = staged(pairs.groupBy(side).agg(F.count("*").alias("_n")))
-    parts = counts.withColumn("_parts", F.ceil(F.col("_n") / CELL))
-    dealt = meet(pairs, parts.select(side, "_parts"), side, counts).withColumn("_part", F.pmod(F.xxhash64(other), F.col("_parts"))).drop("_parts")
-    copies = texts.select(F.col("key").alias(side), F.col("text").alias(f"_{side}")).join(parts, side)
+    counts = staged(pairs.groupBy(side).agg(F.ceil(F.count("*") / CELL).alias("_parts")))
+    dealt = pairs.join(counts.filter("_parts > 1"), side, "left")  # few rows: one for every CELL pairs at most
+    dealt = dealt.withColumn("_part", F.pmod(F.xxhash64(other), F.coalesce("_parts", F.lit(1)))).drop("_parts")
+    copies = texts.select(F.col("key").alias(side), F.col("text").alias(f"_{side}")).join(counts, side)
     copies = copies.select(side, f"_{side}", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_part"))
     return dealt.join(copies, [side, "_part"]).drop("_part")
 
@@ -93,19 +93,26 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, least: float, seed
     return both.select("x", "y", "_a", "_b").mapInArrow(run, f"x {_kind(pairs, 'x')}, y {_kind(pairs, 'y')}").distinct()
 
 
-def _likely(rows: DataFrame, least: float, likely: float) -> DataFrame:
+def _buckets(rows: DataFrame) -> DataFrame:
+    """``key``, ``n``, ``comp``, ``at`` and ``band`` of the texts in buckets that hold more than one component, stored."""
+    placed = rows.select("key", "n", "comp", F.posexplode("bands").alias("at", "band"))
+    mixed = placed.groupBy("band").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("_n")).filter("_lo <> _hi")
+    mixed = staged(mixed.select("band", "_n"))
+    return staged(meet(placed, mixed.select("band"), "band", mixed))
+
+
+def _likely(met: DataFrame, rows: DataFrame, least: float, likely: float) -> DataFrame:
     """Pairs of texts that share a bucket, belong to different components, and agree in enough minimum hashes.
 
     A bucket is cut into cells; a task compares the minimum hashes of a cell as
     matrices and lets out only likely pairs, each in the first bucket it shares.
     """
-    placed = rows.select("key", "n", "comp", "bands", "minima", F.posexplode("bands").alias("at", "band"))
-    mixed = placed.groupBy("at", "band").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("_n")).filter("_lo <> _hi")
-    mixed = staged(mixed.select(F.struct("at", "band").alias("bucket"), F.ceil(F.col("_n") / CELL).alias("parts"), "_n"))
-    held = meet(placed.withColumn("bucket", F.struct("at", "band")), mixed.drop("_n"), "bucket", mixed.select("bucket", "_n"))
+    mixed = met.groupBy("band").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("_n")).filter("_lo <> _hi")
+    mixed = staged(mixed.select("band", F.ceil(F.col("_n") / CELL).alias("parts"), "_n"))
+    held = meet(met, mixed.drop("_n"), "band", mixed.select("band", "_n")).join(rows.select("key", "bands", "minima"), "key")
     held = held.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")))
     held = held.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    cell = [F.col("bucket"), F.least("part", "turn").alias("i"), F.greatest("part", "turn").alias("j")]
+    cell = [F.col("at"), F.col("band"), F.least("part", "turn").alias("i"), F.greatest("part", "turn").alias("j")]
     cells = held.groupBy(*cell).agg(F.collect_list(F.struct("part", "n", "key", "comp", "bands", "minima")).alias("rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,8 +139,8 @@ def _likely(rows: DataFrame, least: float, likely: float) -> DataFrame:
                         made.append(pa.RecordBatch.from_arrays([table[c].take(p) for c, p in (("key", x), ("key", y), ("comp", x), ("comp", y))], ["a", "b", "x", "y"]))
             yield from made
 
-    kinds = f"a {_kind(rows)}, b {_kind(rows)}, x {_kind(rows, 'comp')}, y {_kind(rows, 'comp')}"
-    return cells.select("bucket.at", "i", "j", "rows").mapInArrow(run, kinds)
+    kinds = f"a {_kind(met)}, b {_kind(met)}, x {_kind(met, 'comp')}, y {_kind(met, 'comp')}"
+    return cells.select("at", "i", "j", "rows").mapInArrow(run, kinds)
 
 
 def linked(texts: DataFrame, groups: DataFrame, width: int = SHINGLE, least: float = LEAST, seed: int = SEED, likely: float = LIKELY) -> DataFrame:
@@ -141,20 +148,19 @@ def linked(texts: DataFrame, groups: DataFrame, width: int = SHINGLE, least: flo
 
     ``texts`` has ``key`` (any type, one row per distinct text) and ``text``; ``groups``
     has each ``key`` once with its component ``comp``. Texts meet in buckets of equal
-    bands. First one text of each bucket is compared with the others, twice, which
-    joins most of a large group; of what is still apart, the likely pairs of a
+    bands. First one text of each bucket is compared with the others, which joins
+    most of a large group; of what is still apart, the likely pairs of a
     bucket are compared. Rows without words (null, empty or blank texts) are left as
     they are; null keys take no part; of rows with one key any may count.
 
     Returns ``node``, ``root`` of the components that join a smaller one.
     """
     rows = staged(signatures(texts.filter("key is not null"), width, seed).dropDuplicates(["key"]).join(groups, "key"))
-    links = None
+    links, placed = None, _buckets(rows)
     roots = rows.select(F.col("comp").alias("node"), F.col("comp").alias("root")).limit(0)
     for turn in range(_STARS + 1):
-        now = rows.join(roots.withColumnRenamed("node", "comp"), "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
+        met = placed if links is None else placed.join(roots.withColumnRenamed("node", "comp"), "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
         if turn < _STARS:
-            met = now.select("key", "n", "comp", F.explode("bands").alias("band"))
             pick = F.min_by(F.struct("key", "n", "comp"), F.xxhash64("key", "band", F.lit(turn))).alias("_o")
             first = met.groupBy("band").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), pick, F.count("*").alias("_n")).filter("_lo <> _hi")
             first = staged(first.select("band", F.col("_o.key").alias("b"), F.col("_o.n").alias("_m"), F.col("_o.comp").alias("y"), "_n"))
@@ -162,7 +168,7 @@ def linked(texts: DataFrame, groups: DataFrame, width: int = SHINGLE, least: flo
             pairs = pairs.filter(F.least("n", "_m") >= F.greatest("n", "_m") * least - 1e-9)
             pairs = pairs.select(F.col("key").alias("a"), "b", F.col("comp").alias("x"), "y").distinct()
         else:
-            pairs = _likely(now, least, likely)
+            pairs = _likely(met, rows, least, likely)
         pairs = staged(pairs)
         if pairs.isEmpty():
             continue
