@@ -206,8 +206,7 @@ def distinct(docs: DataFrame) -> DataFrame:
     counts = marked.groupBy("mark").agg(F.count("*").alias("_n"))
     kept = staged(first.select(mark("_first.name", F.col("_first.key"))).join(counts, "mark"))
     once = marked.join(kept.filter("_n = 1"), "mark", "left_semi").select("row.*")
-    some = kept.filter("_n > 1")
-    several = meet(marked, some.select("mark"), "mark", some)
+    several = marked.join(kept.filter("_n > 1"), "mark", "left_semi")  # shares the shuffle of the rows with the line above
     order = F.struct(*[F.col("row").getField(c) for c in _sortable(docs)])
     one = several.groupBy("mark").agg(F.min_by("row", order).alias("row"))
     return once.unionByName(one.select("row.*"))
