@@ -15,6 +15,9 @@ _OTHER_UPPER = r"[\p{IsUppercase}\p{Lt}&&[^A-Z]]"
 #: Most rows that a broadcast side may have (two or three numbers each: at most some tens of MB).
 BROADCAST_ROWS = 1_000_000
 
+#: Most rows of a sieve, 4 KB or 2^15 bits each: 16 MB.
+SIEVE = 4096
+
 #: Keys that may be heavy: their entries are broadcast, all of one vector, text key or count.
 HEAVY = 1000
 
@@ -61,6 +64,22 @@ def meet(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame | None =
     return some.unionByName(rest)
 
 
+def sifted(rows: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """``rows`` with ``_maybe``, false only where ``key`` is not in ``table``; rows stay where they are.
+
+    The hashed keys of ``table`` are set as bits, some sixteen for each and 2^27 at
+    most, and broadcast. More keys make ``_maybe`` true more often, never wrongly
+    false, so an exact join of what is left must follow. ``table`` is read twice.
+    """
+    parts = min(SIEVE, table.count() // 2048 + 1)
+    place = F.pmod(F.xxhash64(key), F.lit(parts << 15))
+    bucket, bit = F.shiftright(place, 15), place.bitwiseAND(F.lit((1 << 15) - 1)).cast("int")
+    bits = table.select(bucket.alias("_bucket"), bit.cast("long").alias("_bit")).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    maybe = F.coalesce(F.getbit(byte, bit.bitwiseAND(F.lit(7))) == 1, F.lit(False))
+    return rows.withColumn("_bucket", bucket).join(F.broadcast(bits), "_bucket", "left").withColumn("_maybe", maybe).drop("_bucket", "_bits")
+
+
 def workers(spark: SparkSession) -> None:
     """Ship this package to the executors and keep Arrow batches small, for texts may be long."""
     ship(spark)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import meet, text_id, workers
+from logloom.llm.common import meet, sifted, text_id, workers
 from logloom.llm.components import components
 from logloom.llm.simhash import SEED, hashes, near_duplicates
 from logloom.session import staged
@@ -98,10 +98,11 @@ def _buckets(rows: DataFrame) -> DataFrame:
     placed = rows.select("key", "n", "comp", F.posexplode("bands").alias("at", "band"))
     mixed = placed.groupBy("band").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("_n")).filter("_lo <> _hi")
     mixed = staged(mixed.select("band", "_n"))
-    return staged(meet(placed, mixed.select("band"), "band", mixed))
+    some = sifted(placed, "band", mixed).filter("_maybe").drop("_maybe")
+    return staged(meet(some, mixed.select("band"), "band", mixed))
 
 
-def _likely(met: DataFrame, rows: DataFrame, least: float, likely: float) -> DataFrame:
+def _likely(met: DataFrame, made: DataFrame, least: float, likely: float) -> DataFrame:
     """Pairs of texts that share a bucket, belong to different components, and agree in enough minimum hashes.
 
     A bucket is cut into cells; a task compares the minimum hashes of a cell as
@@ -109,7 +110,9 @@ def _likely(met: DataFrame, rows: DataFrame, least: float, likely: float) -> Dat
     """
     mixed = met.groupBy("band").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("_n")).filter("_lo <> _hi")
     mixed = staged(mixed.select("band", F.ceil(F.col("_n") / CELL).alias("parts"), "_n"))
-    held = meet(met, mixed.drop("_n"), "band", mixed.select("band", "_n")).join(rows.select("key", "bands", "minima"), "key")
+    held = staged(meet(met, mixed.drop("_n"), "band", mixed.select("band", "_n")))
+    some = sifted(made.select("key", "bands", "minima"), "key", staged(held.select("key").distinct())).filter("_maybe").drop("_maybe")
+    held = held.join(some.dropDuplicates(["key"]), "key")
     held = held.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")))
     held = held.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     cell = [F.col("at"), F.col("band"), F.least("part", "turn").alias("i"), F.greatest("part", "turn").alias("j")]
@@ -151,11 +154,14 @@ def linked(texts: DataFrame, groups: DataFrame, width: int = SHINGLE, least: flo
     bands. First one text of each bucket is compared with the others, which joins
     most of a large group; of what is still apart, the likely pairs of a
     bucket are compared. Rows without words (null, empty or blank texts) are left as
-    they are; null keys take no part; of rows with one key any may count.
+    they are; null keys take no part; of repeated rows any may count.
+    Only what may matter is shuffled: bands of mixed buckets, and texts and
+    minimum hashes that a pair names, see ``sifted``.
 
     Returns ``node``, ``root`` of the components that join a smaller one.
     """
-    rows = staged(signatures(texts.filter("key is not null"), width, seed).dropDuplicates(["key"]).join(groups, "key"))
+    made = staged(signatures(texts.filter("key is not null"), width, seed))
+    rows = staged(made.select("key", "n", "bands").dropDuplicates(["key"]).join(groups, "key"))
     links, placed = None, _buckets(rows)
     roots = rows.select(F.col("comp").alias("node"), F.col("comp").alias("root")).limit(0)
     for turn in range(_STARS + 1):
@@ -168,12 +174,13 @@ def linked(texts: DataFrame, groups: DataFrame, width: int = SHINGLE, least: flo
             pairs = pairs.filter(F.least("n", "_m") >= F.greatest("n", "_m") * least - 1e-9)
             pairs = pairs.select(F.col("key").alias("a"), "b", F.col("comp").alias("x"), "y").distinct()
         else:
-            pairs = _likely(met, rows, least, likely)
+            pairs = _likely(met, made, least, likely)
         pairs = staged(pairs)
         if pairs.isEmpty():
             continue
-        wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-        some = staged(texts.select("key", "text").join(wanted, "key", "left_semi").dropDuplicates(["key"]))
+        wanted = staged(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct())
+        some = sifted(texts.select("key", "text"), "key", wanted).filter("_maybe").drop("_maybe")
+        some = staged(some.join(wanted, "key", "left_semi").dropDuplicates(["key"]))
         found = _verified(pairs, some, width, least, seed).select(F.col("x").alias("a"), F.col("y").alias("b"))
         links = staged(found if links is None else links.unionByName(found))
         roots = components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
@@ -196,22 +203,33 @@ def distinct(docs: DataFrame) -> DataFrame:
     """
     name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
     rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"), text_id(F.col("text")).alias("key"), name.alias("name"))
-    texts = staged(rows.groupBy("key").agg(F.min("name").alias("name"), F.first("text").alias("text")))
+    names = staged(rows.groupBy("key").agg(F.min("name").alias("name"), F.count("*").alias("_n")))
+    texts = _once(rows.select("key", "text"), staged(names.filter("_n > 1").select("key")))
     near = staged(near_duplicates(texts.select(F.col("key").alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), F.col("component_id").alias("comp")))
     roots = linked(texts, near)
     group = near.join(roots.withColumnRenamed("node", "comp"), "comp", "left").select("key", F.coalesce("root", "comp").alias("comp"))
-    first = texts.select("key", "name").join(group, "key").groupBy("comp").agg(F.min(F.struct("name", "key")).alias("_first"))
+    first = names.select("key", "name").join(group, "key").groupBy("comp").agg(F.min(F.struct("name", "key")).alias("_first"))
     mark = lambda name, key: F.unhex(F.md5(F.concat_ws(":", F.hex(key), F.col(f"{name}.id").cast("string")))).alias("mark")
     marked = rows.select("row", mark("name", F.col("key")))
-    counts = marked.groupBy("mark").agg(F.count("*").alias("_n"))
+    counts = staged(marked.groupBy("mark").agg(F.count("*").alias("_n")))
     kept = staged(first.select(mark("_first.name", F.col("_first.key"))).join(counts, "mark"))
-    once = marked.join(kept.filter("_n = 1"), "mark", "left_semi").select("row.*")
-    several = marked.join(kept.filter("_n > 1"), "mark", "left_semi")  # shares the shuffle of the rows with the line above
+    other = staged(counts.join(kept.filter("_n = 1"), "mark", "left_anti").select("mark"))  # gone, or one of several rows stays
+    marked = sifted(marked, "mark", other)
+    moved = marked.filter("_maybe").drop("_maybe")
+    once = marked.filter("not _maybe").select("row.*").unionByName(moved.join(kept.filter("_n = 1"), "mark", "left_semi").select("row.*"))
+    several = moved.join(kept.filter("_n > 1"), "mark", "left_semi")  # shares the shuffle of the rows with the line above
     order = F.struct(*[F.col("row").getField(c) for c in _sortable(docs)])
     one = several.groupBy("mark").agg(F.min_by("row", order).alias("row"))
     return once.unionByName(one.select("row.*"))
 
 
+def _once(rows: DataFrame, several: DataFrame) -> DataFrame:
+    """``key`` and ``text``, each key once. Only texts of the keys in ``several``, which stand in several rows, are moved."""
+    rows = sifted(rows, "key", several)
+    moved = staged(rows.filter("_maybe").groupBy("key").agg(F.first("text").alias("text")))
+    return rows.filter("not _maybe").select("key", "text").unionByName(moved)
+
+
 def _sortable(docs: DataFrame) -> list[str]:
     """Columns whose values have an order."""
     return [f.name for f in docs.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant", "interval"))]

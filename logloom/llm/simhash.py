@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import workers
+from logloom.llm.common import sifted, workers
 from logloom.llm.components import components
 from logloom.session import staged
 
@@ -104,9 +104,11 @@ def _linked(prints: DataFrame) -> DataFrame:
     first = components(near.select(F.array_min("_all").alias("b"), F.explode("_all").alias("a")).select("a", "b"))
 
     placed = prints.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("comp"))
-    keyed = _variants(staged(placed), *_blanked()).repartition("key")
-    mixed = keyed.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo <> _hi").select("key")
-    met = staged(keyed.join(mixed, "key", "left_semi").distinct())
+    keyed = _variants(staged(placed), *_blanked())
+    spans = keyed.repartition("key").groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
+    mixed = staged(spans.filter("_lo <> _hi").select("key"))
+    some = sifted(keyed, "key", mixed).filter("_maybe").drop("_maybe")  # most variants meet nothing and are not shuffled again
+    met = staged(some.join(mixed, "key", "left_semi").distinct())
     other = met.select("key", F.col("fp").alias("_fp"), F.col("comp").alias("_comp"))
     pairs = met.join(other, "key").filter((F.col("comp") > F.col("_comp")) & _within(F.col("fp"), F.col("_fp")))
     second = components(pairs.select(F.col("comp").alias("a"), F.col("_comp").alias("b")).distinct())
@@ -132,7 +134,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, seed: int = SEED) ->
     id. Other columns are not read.
     """
     rows = staged(fingerprints(docs, width, seed))
-    prints = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("_least")))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a small table, but each row becomes a hundred
+    prints = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("_least")).repartition(tasks, "fp"))
     roots = staged(_linked(prints.select("fp")))
     members = roots.select(F.col("node").alias("fp"), "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct()).distinct()
     members = staged(members.join(prints, "fp"))
