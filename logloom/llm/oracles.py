@@ -83,8 +83,7 @@ base AS ({" UNION ALL ".join(_found(k, f) for k, f in enumerate(_FORMS[:3]))}),
 loose AS (SELECT c.*, {_LEVEL} AS least FROM ({_found(3, _FORMS[3])}) c
     WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.start < c.stop AND c.start < b.stop)),
 open AS (SELECT * FROM loose WHERE least IS NOT NULL AND NOT regexp_full_match(hit, '[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}')
-    AND NOT regexp_matches(lower(hit), 'example|sample|placeholder|dummy|x{{8}}|0123456789|abcdefgh') AND NOT regexp_full_match(hit, '/?([A-Za-z]{{1,19}}/)+[A-Za-z0-9_-]{{0,19}}')
-    AND len(list_filter(range(1, length(hit) - 6), lambda i: hit[i : i + 7] = repeat(hit[i], 8))) = 0),
+    AND NOT regexp_matches(lower(hit), 'example|sample|placeholder|dummy|x{{8}}|0123456789|abcdefgh') AND NOT regexp_full_match(hit, '/?([A-Za-z]{{1,19}}/)+[A-Za-z0-9_-]{{0,19}}')),
 win AS (SELECT doc_id, start, w, substr(hit, w, 20) AS part FROM (SELECT *, unnest(range(1, length(hit) - 18)) AS w FROM open)),
 chars AS (SELECT doc_id, start, w, c, count(*) AS n FROM (SELECT doc_id, start, w, unnest(string_split(part, '')) AS c FROM win) GROUP BY ALL),
 high AS (SELECT doc_id, start, max(h) AS h FROM (SELECT doc_id, start, w, log2(20) - sum(n * log2(n)) / 20 AS h FROM chars GROUP BY doc_id, start, w) GROUP BY ALL),

@@ -97,6 +97,30 @@ def test_secrets_equal_plain_scan(spark):
     assert "entropy:0:24" in got[6][4] and got[7][4] == "" == got[8][4]
 
 
+def test_secret_with_a_run_of_one_sign_and_long_strings(spark):
+    from random import Random
+
+    rng, alphabet = Random(5), secrets.CLASSES[2][2]
+    long = "".join(rng.choices(alphabet, k=100_000))
+    texts = ["AAAAAAAA" + "Zq8Xk2LmN4pR7sT9vWb1Cd3", long, "ab/cd/" * 20_000 + "x9", "z1" * 50_000]
+    got = [r.spans for r in secrets.scan(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got == ["entropy:0:31", "entropy:0:100000", "", ""]
+    assert secrets.scan(docs(spark, [])).count() == 0
+
+
+def test_sliding_entropy_equals_counting_anew(spark):
+    from random import Random
+
+    from pyspark.sql import functions as F
+
+    rng, alphabet = Random(6), secrets.CLASSES[2][2]
+    strings = ["".join(rng.choices(alphabet[: rng.choice([1, 3, 20, 66])], k=n)) for n in (0, 1, 5, 19, 20, 21, 40, 41, 200) for _ in range(4)]
+    rows = spark.createDataFrame([(s,) for s in strings], "s string")
+    for window in (7, 20, 31):
+        got = rows.select("s", secrets.entropy(F.col("s"), alphabet, window).alias("e")).collect()
+        assert all(abs(r.e - (entropy(r.s, window) if r.s else 0.0)) < 1e-9 for r in got)
+
+
 def test_secrets_on_the_tables(spark, small):
     table = spark.read.parquet(f"{small}/documents.parquet")
     got = {r.doc_id: tuple(r)[1:] for r in secrets.scan(table).collect()}
