@@ -352,6 +352,17 @@ ORACLES = {
       WHERE (place - 1) % (CASE WHEN buckets > 25 THEN buckets // 25 + 1 ELSE 1 END) = 0"""),
     "k_bands": q(SCORED, """SELECT CASE WHEN anomaly_score >= 70 THEN 'red' WHEN anomaly_score >= 50 THEN 'amber' ELSE 'green' END AS band,
       count(*) AS n FROM scored GROUP BY band"""),
+    "k_rolled_up": q(EXPLAINED + """, stored AS (
+      SELECT * REPLACE (CASE WHEN id % 10 < 2 THEN timestamp + INTERVAL 1 DAY ELSE timestamp END AS timestamp,
+        CASE WHEN id % 10 < 2 THEN 'moved' ELSE source END AS source)
+      FROM explained WHERE (id % 5 <> 0 OR id % 10 < 2) AND id % 7 <> 0)""", """
+      SELECT 'minute' AS part, strftime(timestamp, '%m-%d %H:%M') AS name, count(*) AS n, count(*) FILTER (anomaly) AS m FROM stored GROUP BY name
+      UNION ALL SELECT 'source', source, count(*), NULL FROM stored WHERE anomaly GROUP BY source
+      UNION ALL SELECT 'severity', s.severity, count(l.id), NULL FROM (VALUES ('INFO'), ('WARNING'), ('ERROR'), ('CRITICAL')) s(severity)
+        LEFT JOIN stored l USING (severity) GROUP BY s.severity
+      UNION ALL SELECT 'logs', 'all', count(*), count(*) FILTER (anomaly) FROM stored
+      UNION ALL SELECT 'explained', 'all', count(ai_explanation), count(*) FILTER (anomaly AND severity = 'CRITICAL') FROM stored
+      UNION ALL SELECT * FROM (SELECT 'recent', source, id, NULL FROM stored WHERE anomaly ORDER BY timestamp DESC, id DESC LIMIT 6)"""),
     # Validation
     "v_valid": q(CHECKED, f"SELECT {_VALID} FROM valid"),
     "v_errors": q(CHECKED, "SELECT row_no, field, message FROM errors"),

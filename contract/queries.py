@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions.clean import normalize_ip, normalize_status, sanitize
 from logloom.functions.times import normalize_time, parse_time
-from logloom.operators import explain, explorer, forest, layouts, neighbours, stats, tables, trailing, validate
+from logloom.operators import explain, explorer, forest, layouts, neighbours, rollups, stats, tables, trailing, validate
 from logloom.operators import profile as profiles
 from logloom.operators.published import Store
 from logloom.plans import detect as detection
@@ -132,6 +132,27 @@ def k_bands(spark, folder):
     return stats.score_bands(scored(spark, folder)).groupBy("band").agg(F.count(F.lit(1)).alias("n"))
 
 
+def k_rolled_up(spark, folder):
+    """The dashboard from the sums of a published table, after rows were changed, moved to another day, and deleted."""
+    rows, store = staged(explained(spark, folder)), rollups.store(spark, _folder(spark))
+    store.upsert({"logs": tables.with_day(rows.filter(F.col("id") % 5 != 0))})
+    moved = rows.filter(F.col("id") % 10 < 2).withColumns({"timestamp": F.col("timestamp") + F.expr("INTERVAL 1 DAY"), "source": F.lit("moved")})
+    store.upsert({"logs": tables.with_day(moved)})
+    store.delete("logs", rows.filter(F.col("id") % 7 == 0).select("id"))
+    sums = store.rollup("logs")
+    line = lambda part, key, n, m: [F.lit(part).alias("part"), F.col(key).alias("name"), F.col(n).alias("n"), m.cast("long").alias("m")]
+    none = F.lit(None)
+    totals = rollups.totals(sums).withColumn("name", F.lit("all"))
+    return (
+        rollups.timeline(sums).select(line("minute", "bucket", "total", F.col("anomalies")))
+        .unionByName(rollups.anomalies_by_source(sums).select(line("source", "source", "n", none)))
+        .unionByName(rollups.severity_distribution(sums).select(line("severity", "severity", "n", none)))
+        .unionByName(totals.select(line("logs", "name", "total_logs", F.col("total_anomalies"))))
+        .unionByName(totals.select(line("explained", "name", "ai_analyses_count", F.col("critical_anomalies"))))
+        .unionByName(rollups.recent(store).select(F.lit("recent").alias("part"), "source", F.col("id").alias("n"), none.cast("long").alias("m")).withColumnRenamed("source", "name"))
+    )
+
+
 # --- Validation and import
 
 def v_valid(spark, folder):

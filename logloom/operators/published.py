@@ -5,7 +5,9 @@ of every table; a change reads and writes only the cells that it touches, lists
 them in the next version, and publishes that last. Until then readers see the
 version before, and what a failed change has written is never listed. For each
 table a second one keeps the day of every key, so that a change finds its cells
-by the key's hash and not by looking through the table.
+by the key's hash and not by looking through the table. A table may also have a
+rollup: small sums per cell, made anew for the cells of a change and published
+with them, so that they always agree with the rows.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ from logloom.operators.tables import DAY, newest, table_exists, upsert
 from logloom.session import staged
 
 BUCKETS = 16
-_KEYS, _NONE = "_keys", "none"
+_KEYS, _ROLLUP, _NONE = "_keys", "_rollup", "none"
+_CELL = r"/_p_day=([^/]*)/_p_cell=(\d+)/[^/]*$"
 #: A cell: its day (or none) and its bucket.
 Cell = tuple[str, int]
 
@@ -52,10 +55,19 @@ class Version:
 
 
 class Store:
-    """Tables under ``root`` that are changed together. ``step`` is called after each step of a change."""
+    """Tables under ``root`` that are changed together. ``step`` is called after each step of a change.
 
-    def __init__(self, spark: SparkSession, root: str, key: str = "id", buckets: int = BUCKETS, step: Callable[[str], None] | None = None):
+    ``rollups`` names for some tables the function that sums their rows up by day
+    and the columns ``_p_day`` and ``_p_cell``, which it keeps. A change made
+    without it leaves the cells it touches without sums until ``refresh``.
+    """
+
+    def __init__(
+        self, spark: SparkSession, root: str, key: str = "id", buckets: int = BUCKETS, step: Callable[[str], None] | None = None,
+        rollups: dict[str, Callable[[DataFrame], DataFrame]] | None = None,
+    ):
         self.spark, self.root, self.key, self.buckets = spark, root.rstrip("/"), key, buckets
+        self.rollups = rollups or {}
         self.step = step or (lambda name: None)
 
     # --- Versions
@@ -129,10 +141,9 @@ class Store:
 
     # --- Changing
 
-    def _write(self, table: str, rows: DataFrame, day: Column) -> dict[Cell, str]:
+    def _write(self, table: str, placed: DataFrame) -> dict[Cell, str]:
         """Store rows by cell in a folder of their own. Large cells are split over files, small ones are not."""
         folder = f"data/{uuid.uuid4().hex}-{table}"
-        placed = rows.withColumn("_p_day", day).withColumn("_p_cell", self._bucket())
         placed.hint("rebalance", "_p_day", "_p_cell").write.partitionBy("_p_day", "_p_cell").parquet(f"{self.root}/{folder}")
         made = self.spark.read.parquet(f"{self.root}/{folder}").select("_p_day", "_p_cell").distinct().collect() if self._any(folder) else []
         self.step(f"written {table}")
@@ -146,12 +157,53 @@ class Store:
         """The version after replacing the given cells of tables by rows."""
         schemas, cells = dict(now.schemas), {t: dict(found) for t, found in now.cells.items()}
         for table, (rows, day, old) in changes.items():
-            made = self._write(table, rows, day)
+            made = self._write(table, rows.withColumn("_p_day", day).withColumn("_p_cell", self._bucket()))
             kept = {cell: path for cell, path in cells.get(table, {}).items() if cell not in old}
             cells[table] = kept | made
             schemas[table] = rows.schema.json()
+            rolled = table + _ROLLUP
+            if rolled in schemas or table in self.rollups:
+                cells[rolled] = {c: path for c, path in cells.get(rolled, {}).items() if c in kept and c not in made}
+            if table in self.rollups:
+                schemas[rolled], sums = self._summed(table, rows.schema, made)
+                cells[rolled] |= sums
         return Version(now.number + 1, schemas, cells)
 
+    # --- Rollups
+
+    def _summed(self, table: str, kind: T.StructType, cells: dict[Cell, str]) -> tuple[str, dict[Cell, str]]:
+        """Sums of stored cells: their columns, and where they are stored."""
+        if cells:
+            rows = self.spark.read.schema(kind).parquet(*[f"{self.root}/{path}" for path in sorted(cells.values())])
+            day, cell = (F.regexp_extract("_metadata.file_path", _CELL, i) for i in (1, 2))
+        else:
+            rows, day, cell = self.spark.createDataFrame([], kind), F.lit(_NONE), F.lit("0")
+        sums = self.rollups[table](rows.withColumns({"_p_day": day, "_p_cell": cell.cast("int")}))
+        made = self._write(table + _ROLLUP, sums) if cells else {}
+        return sums.drop("_p_day", "_p_cell").schema.json(), made
+
+    def _unsummed(self, table: str, now: Version) -> dict[Cell, str]:
+        known = now.cells.get(table + _ROLLUP, {})
+        return {cell: path for cell, path in now.cells.get(table, {}).items() if cell not in known}
+
+    def refresh(self, table: str) -> int:
+        """Sum up the cells that have no sums yet, as one change; returns how many they were."""
+        now = self.version()
+        lacking, rolled = self._unsummed(table, now), table + _ROLLUP
+        if table not in now.schemas or (not lacking and rolled in now.schemas):
+            return 0
+        kind, made = self._summed(table, T.StructType.fromJson(json.loads(now.schemas[table])), lacking)
+        cells = now.cells | {rolled: now.cells.get(rolled, {}) | made}
+        self._publish(Version(now.number + 1, now.schemas | {rolled: kind}, cells))
+        return len(lacking)
+
+    def rollup(self, table: str, version: Version | None = None) -> DataFrame:
+        """The sums of a table's cells; raises LookupError if any cell lacks them, for they would not agree with the rows."""
+        now = version or self.version()
+        if table + _ROLLUP not in now.schemas or self._unsummed(table, now):
+            raise LookupError(f"{table} has cells without sums; call refresh")
+        return self.read(table + _ROLLUP, now)
+
     def _replaced(self, table: str, rows: DataFrame, cells: set[Cell], keys: DataFrame, buckets: set[int]) -> dict:
         """The changes of a table and of its keys."""
         return {table: (rows, self._day(), cells), table + _KEYS: (keys, F.lit(_NONE), {(_NONE, b) for b in buckets})}
@@ -226,7 +278,7 @@ class Store:
     def clear(self) -> int:
         """Publish empty tables with the same columns; returns how many rows went."""
         now = self.version()
-        count = sum(self.read(t, now).count() for t in now.schemas if not t.endswith(_KEYS))
+        count = sum(self.read(t, now).count() for t in now.schemas if not t.endswith((_KEYS, _ROLLUP)))
         if now.schemas:
             self._publish(Version(now.number + 1, now.schemas, {}))
         return count

@@ -21,6 +21,11 @@ def totals(logs: DataFrame) -> DataFrame:
         F.count_if(F.col("severity").isin("ERROR", "CRITICAL")).alias("failed"),
         F.count_if(explained).alias("ai_analyses_count"),
     )
+    return rates(counted)
+
+
+def rates(counted: DataFrame) -> DataFrame:
+    """The totals from the counts of rows, anomalies, critical ones, failures and explanations."""
 
     def rate(part: str):
         share = F.coalesce(F.try_divide(F.col(part), F.col("total_logs")), F.lit(0.0))
@@ -50,22 +55,29 @@ def timeline(logs: DataFrame, dated: bool = False) -> DataFrame:
 
     Rows are counted per minute, and only the minutes are written as labels.
     """
-    label = "yyyy-MM-dd HH:mm" if dated else "MM-dd HH:mm"
     minutes = (
         logs.filter(F.col("timestamp").isNotNull())
         .groupBy(F.date_trunc("MINUTE", "timestamp").alias("minute"))
         .agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("anomaly")).alias("anomalies"))
     )
+    return labelled(minutes, dated)
+
+
+def labelled(minutes: DataFrame, dated: bool = False) -> DataFrame:
+    """Counts per minute added up by the minute's label."""
+    label = "yyyy-MM-dd HH:mm" if dated else "MM-dd HH:mm"
     named = minutes.groupBy(F.date_format("minute", label).alias("bucket"))
     return named.agg(F.sum("total").alias("total"), F.sum("anomalies").alias("anomalies"))
 
 
 def timeline_sampled(logs: DataFrame, buckets: int = MAX_BUCKETS) -> DataFrame:
-    """Every n-th bucket when there are more than ``buckets``; the others are left out.
+    """Every n-th bucket when there are more than ``buckets``; the others are left out."""
+    return sampled(timeline(logs), buckets)
 
-    The window sees at most one row per minute of a year.
-    """
-    ranked = timeline(logs).select(
+
+def sampled(line: DataFrame, buckets: int = MAX_BUCKETS) -> DataFrame:
+    """Every n-th bucket of a timeline; the window sees at most one row per minute of a year."""
+    ranked = line.select(
         "*",
         F.row_number().over(Window.orderBy("bucket")).alias("place"),
         F.count(F.lit(1)).over(Window.partitionBy()).alias("buckets"),
