@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +13,8 @@ from logloom.sources.delimited import number_rows
 
 # The block mark, and below the field names and levels of the dump.
 _BLOCK = r"(?m)^\s*Event\[\d+\]"
+#: What follows it to the end of the block is the message.
+_DETAIL = "Description:"
 
 
 def event_records(lines: DataFrame) -> DataFrame:
@@ -22,8 +23,8 @@ def event_records(lines: DataFrame) -> DataFrame:
     ``lines`` come from ``ranges.lines_of``. A dump may have any size: its splits are
     read by many tasks, and a block that lies across a border is put together.
     """
-    mark = re.compile(r"\s*Event\[\d+\]", re.ASCII)
-    found = ranges.whole_records(ranges.pieces(lines, lambda _: lambda line: mark.match(line) is not None))
+    begins = lambda part: pc.match_substring_regex(part, r"^[\t-\r ]*Event\[[0-9]+\]")
+    found = ranges.whole_records(ranges.pieces(ranges.packed(lines), lambda _: begins))
     return number_rows(found).filter(strip(F.regexp_replace("text", _BLOCK, "")) != "")
 
 
@@ -51,10 +52,9 @@ def parse_event_text(
         "name": F.coalesce(_field(F.col("block"), r"Source:\s*(.+)"), F.lit(f"Windows-{channel}")),
         "level": F.coalesce(F.lower(_field(F.col("block"), r"Level:\s*(.+)")), F.lit("information")),
         "code": F.coalesce(F.regexp_replace(_field(F.col("block"), r"Event ID:\s*(\d+)"), r"^0+(?=\d)", ""), F.lit("100")),
-        "told": F.col("block").rlike(r"Description:\s*[\s\S]"),
-        "detail": F.regexp_extract("block", r"Description:\s*([\s\S]+)", 1),
+        "detail": F.when(F.locate(_DETAIL, F.col("block")) > 0, F.substr("block", F.locate(_DETAIL, F.col("block")) + len(_DETAIL))),
     })
-    clean = F.when(F.col("told"), strip(F.regexp_replace(without_controls(strip(F.col("detail"))), r"(?U)\s+", " ")))
+    clean = F.when(F.col("detail") != "", strip(F.regexp_replace(without_controls(strip(F.col("detail"))), r"(?U)\s+", " ")))
     text = F.coalesce(clean, F.lit("Windows Event Log Entry"))
     level = F.col("level")
     if message_chars is not None:
@@ -73,7 +73,7 @@ def parse_event_text(
             F.nullif(text, F.lit("")),
             F.concat(F.lit(f"Windows {channel} Event "), "code", F.lit(" from "), "name"),
         ),
-    }).drop("block", "date", "name", "level", "code", "told", "detail")
+    }).drop("block", "date", "name", "level", "code", "detail")
 
 
 def as_logs(events: DataFrame, captured_at: Column) -> DataFrame:

@@ -12,7 +12,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,66 +29,85 @@ def lines_of(reader: DataFrame) -> DataFrame:
     return reader.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), "value")
 
 
-def _by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, list[str], tuple, bool]]:
+#: Bytes of splits that one task goes through, where the splits are smaller.
+_TASK = 64 << 20
+_UNITS = {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}
+
+
+def packed(lines: DataFrame) -> DataFrame:
+    """``lines`` of small splits in tasks of some 64 MB, so that each writes a file worth reading.
+
+    The splits stay as they are, each whole and in order within a task.
+    """
+    spark = lines.sparkSession
+    number, unit = re.fullmatch(r"(\d+)([kmgt]?)b?", spark.conf.get("spark.sql.files.maxPartitionBytes").strip().lower()).groups()
+    together = _TASK // max(int(number) << _UNITS[unit], 1)
+    if together <= 1:
+        return lines
+    splits = lines.rdd.getNumPartitions()
+    return lines.coalesce(max(-(-splits // together), min(splits, 2 * spark.sparkContext.defaultParallelism), 1))
+
+
+def _by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, pa.Array, tuple, bool]]:
     """Parts of splits in order: file, block, lines, what else a row says, and whether the split begins here."""
     last = None
     for batch in batches:
         files, blocks, lines = (batch.column(k) for k in range(3))
         more = [batch.column(k) for k in range(3, batch.num_columns)]
-        size, begin = batch.num_rows, 0
-        keys = list(zip(files.to_pylist(), blocks.to_pylist()))
-        while begin < size:
-            end = begin + 1
-            while end < size and keys[end] == keys[begin]:
-                end += 1
-            part = [line or "" for line in lines.slice(begin, end - begin).to_pylist()]
-            yield *keys[begin], part, tuple(column[begin].as_py() for column in more), keys[begin] != last
-            last, begin = keys[begin], end
-
-
-def pieces(lines: DataFrame, new: Callable[[tuple], Callable[[str], bool | None]]) -> DataFrame:
+        if not batch.num_rows:
+            continue
+        lines = pc.fill_null(lines.cast(pa.string()), "")
+        turns = pc.or_(pc.not_equal(files[1:], files[:-1]), pc.not_equal(blocks[1:], blocks[:-1]))
+        borders = [0, *(np.flatnonzero(turns.to_numpy(zero_copy_only=False)) + 1).tolist(), batch.num_rows]
+        for begin, end in zip(borders, borders[1:]):
+            key = (files[begin].as_py(), blocks[begin].as_py())
+            yield *key, lines[begin:end], tuple(column[begin].as_py() for column in more), key != last
+            last = key
+
+
+def _joined(lines: pa.Array) -> str:
+    return "\n".join(lines.to_pylist())
+
+
+def pieces(lines: DataFrame, new: Callable[[tuple], Callable[[pa.Array], pa.Array]]) -> DataFrame:
     """``_file``, ``_block``, ``_nth``, ``text``: the pieces of every split, stored.
 
     ``new(extra)`` makes a function for a split, told of further columns of its
-    rows, that says line by line whether a record begins; None skips the line. A
-    task holds one record at a time.
+    rows, that is given the lines part by part and says of each whether a record
+    begins; null skips the line. A task holds a part of the lines and one record.
     """
     ship(lines.sparkSession)
 
+    def made(place: tuple[str, int, int], texts: pa.Array) -> pa.RecordBatch:
+        """Pieces of a split from ``place`` on."""
+        n = len(texts)
+        origin = [pa.array([place[0]] * n, pa.string()), pa.array([place[1]] * n, pa.int64()), pa.array(range(place[2], place[2] + n), pa.int64())]
+        return pa.RecordBatch.from_arrays([*origin, texts], [*SPLIT, "_nth", "text"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [*SPLIT, "_nth", "text"]
         place, held, begins = None, None, None
-        out: list[tuple] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
-            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
-            out.clear()
-            return made
-
         for file, block, part, extra, fresh in _by_split(batches):
             if fresh:
                 if held:
-                    out.append((*place, "\n".join(held)))
+                    yield made(place, pa.array(["\n".join(held)], pa.string()))
                 place, held, begins = (file, block, 0), [], new(extra)
-            for line in part:
-                first = begins(line)
-                if first is None:
-                    continue
-                if first:
-                    if held:
-                        out.append((*place, "\n".join(held)))
-                        size += sum(map(len, held))
-                    place, held = (file, block, place[2] + 1), []
-                    if size > 1 << 22:
-                        yield flush()
-                        size = 0
-                held.append(line)
+            first = begins(part)
+            if first.null_count:
+                part, first = part.filter(first.is_valid()), first.drop_null()
+            starts = np.flatnonzero(first.to_numpy(zero_copy_only=False))
+            open_end = part[: starts[0]] if len(starts) else part
+            if len(open_end):
+                held.append(_joined(open_end))
+            if not len(starts):
+                continue
+            if held:
+                yield made(place, pa.array(["\n".join(held)], pa.string()))
+            if len(starts) > 1:
+                groups = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), part)
+                yield made((file, block, place[2] + 1), pc.binary_join(groups, "\n"))
+            place, held = (file, block, place[2] + len(starts)), [_joined(part[starts[-1] :])]
         if held:
-            out.append((*place, "\n".join(held)))
-        if out:
-            yield flush()
+            yield made(place, pa.array(["\n".join(held)], pa.string()))
 
     return staged(lines.mapInArrow(run, "_file string, _block long, _nth long, text string"))
 
@@ -154,9 +175,8 @@ def start_states(lines: DataFrame, sep: str) -> DataFrame:
                 if place:
                     yield pack()
                 place, state = (file, block), (False, True)
-            for line in part:
-                if '"' in line:
-                    state = tuple(after(line, s) for s in state)
+            for line in part.filter(pc.match_substring(part, '"')).to_pylist():
+                state = tuple(after(line, s) for s in state)
         if place:
             yield pack()
 
@@ -172,9 +192,10 @@ def start_states(lines: DataFrame, sep: str) -> DataFrame:
 
 def delimited_records(lines: DataFrame, sep: str) -> DataFrame:
     """Whole delimited records but blank lines, line breaks inside quotes included; see ``whole_records``."""
+    lines = packed(lines)
     states = staged(start_states(lines, sep))
 
-    def new(extra: tuple) -> Callable[[str], bool | None]:
+    def new(extra: tuple) -> Callable[[pa.Array], pa.Array]:
         after, opened = ends_open(sep), bool(extra[0])
 
         def begins(line: str) -> bool | None:
@@ -182,7 +203,7 @@ def delimited_records(lines: DataFrame, sep: str) -> DataFrame:
             fresh, opened = not opened, after(line, opened)
             return None if fresh and not line.strip() else fresh
 
-        return begins
+        return lambda part: pa.array([begins(line) for line in part.to_pylist()], pa.bool_())
 
     told = lines.join(F.broadcast(states), SPLIT).select(*SPLIT, "value", "_open")
     return whole_records(pieces(told, new))
