@@ -20,7 +20,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.text import micros
+from logloom.operators.skew import BROADCAST_ROWS
 from logloom.operators.trailing import BLOCK_BITS
+from logloom.session import staged
 
 REACH = 3
 # Nested stretches of time in microseconds: a second, then 3,600 of them.
@@ -76,7 +78,8 @@ def _context(groups: DataFrame, at: str, reach: int, widths: tuple[int, ...]) ->
 
     Every row stands for at least one log, so ``reach`` rows on either side are
     enough. Inside a stretch they are neighbouring rows; what lies beyond its
-    edge comes from the same step on one summary row per stretch.
+    edge comes from the same step on one summary row per stretch. Only the rows
+    marked ``_wanted``, where there is such a column, are returned.
     """
     keys = [*_KEY, f"_{len(widths)}"] if widths else _KEY
     if widths:
@@ -96,6 +99,8 @@ def _context(groups: DataFrame, at: str, reach: int, widths: tuple[int, ...]) ->
     beyond = _context(edges, keys[-1], reach, widths[1:]).select(
         *keys, F.col("before").alias("_before"), F.col("after").alias("_after")
     )
+    if "_wanted" in placed.columns:
+        placed = placed.filter("_wanted")
     return placed.join(beyond, keys).select(
         *_KEY, at, "last", "first",
         _joined(reach, F.col("before"), F.col("_before")).alias("before"),
@@ -115,8 +120,10 @@ def _reachable(keyed: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
     marked = keyed.select(*_KEY, hour, F.lit(0).alias("_wanted")).unionByName(wanted.select(*_KEY, hour, F.lit(1).alias("_wanted")))
     hours = marked.groupBy(*_KEY, "_hour").agg(F.max("_wanted").alias("_wanted"))
     near = F.max("_wanted").over(Window.partitionBy(*_KEY).orderBy("_hour").rowsBetween(-reach, reach))
-    needed = hours.withColumn("_near", near).filter("_near = 1").select(*_KEY, "_hour")
-    return keyed.withColumn("_hour", hour).join(needed, [*_KEY, "_hour"], "left_semi").drop("_hour")
+    hashed = F.struct(F.xxhash64(*_KEY).alias("a"), F.xxhash64(F.lit(1), *_KEY).alias("b")).alias("_hash")
+    needed = staged(hours.withColumn("_near", near).filter("_near = 1").select(hashed, "_hour"))
+    few = needed.count() <= BROADCAST_ROWS  # a bound in bytes, too, as keys are hashes: the logs stay where they are
+    return keyed.withColumns({"_hour": hour, "_hash": hashed}).join(F.broadcast(needed) if few else needed, ["_hash", "_hour"], "left_semi").drop("_hash", "_hour")
 
 
 def neighbours(logs: DataFrame, targets: DataFrame, reach: int = REACH) -> DataFrame:
@@ -125,14 +132,20 @@ def neighbours(logs: DataFrame, targets: DataFrame, reach: int = REACH) -> DataF
     ``targets`` are some of ``logs``, as a rule the anomalies.
     """
     wanted = _keyed(targets)
-    spots = wanted.groupBy(*_KEY, "_t").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
-    context = _context(_times(_reachable(_keyed(logs), wanted, reach), reach), "_t", reach, (_SECOND, _HOUR)).join(spots, [*_KEY, "_t"])
+    spots = wanted.groupBy(*_KEY, "_t").agg((F.count(F.lit(1)) > 0).alias("_wanted"))
+    # stored, as the stretches and the wanted rows are made from it; without that it would be made anew for each
+    times = staged(_times(_reachable(_keyed(logs), wanted, reach), reach).join(spots, [*_KEY, "_t"], "left"))
+    context = _context(times, "_t", reach, (_SECOND, _HOUR))
 
     # Payload is joined per key and time, where a log is named a few times at
-    # most, and not per target, where one log may be named by very many.
+    # most, and not per target, where one log may be named by very many. The
+    # nearest ``reach`` + 1 ids on a side are enough: one of them may be the target.
+    def nearest(*refs: str) -> Column:
+        return F.slice(F.array_distinct(F.transform(F.concat(*refs), lambda r: r.id)), 1, reach + 1)
+
     named = context.select(*_KEY, "_t", F.inline(F.array_union(
-        F.transform(F.concat("last", "before"), lambda r: F.struct(F.lit(False).alias("_later"), r.id.alias("id"))),
-        F.transform(F.concat("first", "after"), lambda r: F.struct(F.lit(True).alias("_later"), r.id.alias("id"))),
+        F.transform(nearest("last", "before"), lambda i: F.struct(F.lit(False).alias("_later"), i.alias("id"))),
+        F.transform(nearest("first", "after"), lambda i: F.struct(F.lit(True).alias("_later"), i.alias("id"))),
     )))
     shown = F.struct(micros(F.col("timestamp")).alias("t"), F.col("id").alias("id"), *SHOWN)
     loaded = named.join(logs.select(F.col("id").cast("long").alias("id"), *SHOWN), "id")
