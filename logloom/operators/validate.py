@@ -33,6 +33,8 @@ NO_HEADER = "CSV file has no header row or columns defined."
 NO_ROWS = "Dataset is empty. No log records found."
 
 ERROR_TYPE = "struct<field:string,message:string>"
+#: The columns that a record is made from; others are not read.
+COLUMNS = frozenset(name for names in schema.ALIASES.values() for name in names) | {"source", "severity", "user_agent", "location", "session_id"}
 DUPLICATE_KEY = ("timestamp", "source", "event_type", "status_code", "ip_address")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logloom import schema
 from logloom.operators.tables import append_logs, assign_ids, next_id, table_exists
-from logloom.operators.validate import EMPTY_FILE, NO_HEADER, NO_ROWS, Report, error_head, file_error, validate
+from logloom.operators.validate import COLUMNS, EMPTY_FILE, NO_HEADER, NO_ROWS, Report, error_head, file_error, validate
 from logloom.plans.detect import detect
 from logloom.session import prepare
 from logloom.sources.delimited import read_delimited
@@ -22,7 +22,7 @@ def validate_file(spark: SparkSession, path: str, sep: str | None = None, multi_
     text = F.trim(F.replace("value", F.lit("\ufeff"), F.lit("")))
     if spark.read.text(path).filter(text != "").isEmpty():
         return file_error(spark, "file", EMPTY_FILE)
-    rows = read_delimited(spark, path, sep, multi_line)
+    rows = read_delimited(spark, path, sep, multi_line, COLUMNS)
     if rows is None:
         return file_error(spark, "header", NO_HEADER)
     if rows.isEmpty():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+from collections.abc import Collection
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -50,13 +51,16 @@ def _files(spark: SparkSession, path: str) -> list[tuple[str, str, bool]]:
     return [(r.file, _first_record(spark, r.file, (r.line or "").lstrip("\ufeff")), bool(r.breaks)) for r in sorted(rows)]
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str | None = None, multi_line: bool | None = None) -> DataFrame | None:
+def read_delimited(
+    spark: SparkSession, path: str, sep: str | None = None, multi_line: bool | None = None, wanted: Collection[str] | None = None,
+) -> DataFrame | None:
     """All rows of the files at ``path`` as text, with normalised names and ``row_no``.
 
     Every file is read by its own header, which may be of any length and order;
     columns are matched by name, and one that a file lacks is null there. Files
     are split by range. Where a line holds an odd number of quotes, records are put
     together from lines first, see ``ranges``; ``multi_line`` sets it for all.
+    ``wanted`` names the columns to keep of those there are, None keeps all.
     Returns None when there is no header.
     """
     groups: dict[tuple, list[str]] = {}
@@ -69,6 +73,7 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, multi
     for (first, mark, lines), files in groups.items():
         # Of columns with the same normalised name the last one counts.
         columns = {normalize_header(name): f"c{place}" for place, name in enumerate(first) if name.strip()}
+        columns = {name: c for name, c in columns.items() if wanted is None or name in wanted}
         read = _in_quotes if lines else _by_lines
         part = read(spark, files, ", ".join(f"c{place} string" for place in range(len(first))), mark)
         part = part.select(*[F.col(c).alias(name) for name, c in columns.items()], "_file", "_block", "_seq")
@@ -103,7 +108,7 @@ def number_rows(rows: DataFrame) -> DataFrame:
     before = F.sum("n").over(Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1))
     offsets = splits.select("_file", "_block", (F.coalesce(before, F.lit(0)) - F.col("first") + 1).alias("_shift"))
     return (
-        kept.join(offsets, ["_file", "_block"])
+        kept.join(F.broadcast(offsets), ["_file", "_block"])  # one row per split; the records are not shuffled
         .withColumn("row_no", F.col("_seq") + F.col("_shift"))
         .drop("_file", "_block", "_seq", "_shift")
     )

@@ -140,3 +140,43 @@ def test_trailing_counts_with_state_after_a_restart(spark, tmp_path):
     query = live.trailing_state(live.read_logs(spark, path, table.schema)).writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start()
     query.awaitTermination()
     assert {r.id: r.n_5m for r in spark.read.parquet(out).collect()} == want
+
+
+def test_small_splits_are_read_by_few_tasks(spark, tmp_path, monkeypatch):
+    """Every task writes a file, which later steps open one by one."""
+    blocks = [f"Event[{k}]\n  Source: s{k}\n  Description: \n{'word ' * (k % 40)}end {k}\n" for k in range(400)]
+    (tmp_path / "dump.txt").write_text("".join(blocks))
+    files, write = [], ranges.staged
+    monkeypatch.setattr(ranges, "staged", lambda df: files.append(write(df)) or files[-1])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        got = read_event_text(spark, str(tmp_path / "dump.txt")).orderBy("row_no").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(files[0].inputFiles()) <= 2 * spark.sparkContext.defaultParallelism
+    assert [r.text.rstrip("\n") for r in got] == [b.rstrip("\n") for b in blocks]
+
+
+def test_descriptions_without_text(spark):
+    texts = ["Event[0]\n  Description:", "Event[0]\n  Description: \n ", "Event[0]\n Level: x", "Event[0]\nDescription: a \n\tb  Description: c"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    got = parse_event_text(rows, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).orderBy("k").collect()
+    told = "Windows Event Log Entry"
+    assert [r.message for r in got] == [told, "Windows Application Event 100 from Windows-Application", told, "a b Description: c"]
+
+
+def test_columns_without_use_are_not_stored(spark, tmp_path, monkeypatch):
+    """Validation reads a few columns of a wide file; the others are left in the file."""
+    from logloom.sources import delimited
+
+    wide = [f"extra_{k}" for k in range(50)]
+    head = ",".join([*wide, "timestamp", "source", "event_type", "severity", "message"])
+    row = ",".join(["x"] * 50 + ["2024-01-01 00:00:00", "api", "GET", "INFO"])
+    (tmp_path / "a.csv").write_text(f"{head}\n" + "".join(f"{row},m{k}\n" for k in range(5)))
+    stored, write = [], delimited.staged
+    monkeypatch.setattr(delimited, "staged", lambda df: stored.append(df.columns) or write(df))
+    got = validate_file(spark, str(tmp_path / "a.csv")).valid.orderBy("row_no").collect()
+    assert [(r.row_no, r.message) for r in got] == [(k + 1, f"m{k}") for k in range(5)]
+    assert not [c for c in stored[0] if c.startswith("extra")]
+    assert "extra_7" in read_delimited(spark, str(tmp_path / "a.csv")).columns
