@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ REQUEST = (
     '{\n  "explanation": "...",\n  "likely_root_cause": "...",\n  "recommended_next_step": "..."\n}\n'
 )
 NO_CONTEXT = "No surrounding context available."
+#: Prompts that a model is given at once.
+BATCH = 256
 
 
 def _or_na(value: Column) -> Column:
@@ -170,14 +173,19 @@ def explain(requests: DataFrame, model: Callable[[pd.DataFrame], pd.Series], nam
     """Call ``model`` on batches of ``(id, prompt)``; gives ``id, reply, ai_model``.
 
     The model is the user's function, e.g. a client of a hosted model. It runs
-    on the executors, one Arrow batch at a time.
+    on the executors and is given at most ``BATCH`` rows at a time, so that a
+    worker holds the texts of so few, whatever Spark's batches are.
     """
+    kind = pa.schema([("id", pa.int64()), ("reply", pa.string()), ("ai_model", pa.string())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "reply": model(batch), "ai_model": name})
+            for begin in range(0, batch.num_rows, BATCH):
+                part = batch.slice(begin, BATCH).to_pandas()
+                made = pd.DataFrame({"id": part["id"], "reply": model(part), "ai_model": name})
+                yield pa.RecordBatch.from_pandas(made, schema=kind, preserve_index=False)
 
-    return requests.select("id", "prompt").mapInPandas(run, "id long, reply string, ai_model string")
+    return requests.select(F.col("id").cast("long").alias("id"), "prompt").mapInArrow(run, "id long, reply string, ai_model string")
 
 
 def attach(logs: DataFrame, replies: DataFrame, analyzed_at: Column) -> DataFrame:

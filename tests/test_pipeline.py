@@ -204,3 +204,27 @@ def test_window_counts_stream_equals_batch(spark, arriving, tmp_path):
     batch = {(r.window_start, r.source): (r.n, r.errors) for r in live.window_counts(spark.read.parquet(arriving)).collect()}
     found = {(r.window_start, r.source): (r.n, r.errors) for r in spark.read.parquet(out).collect()}
     assert len(found) > 0 and all(batch[k] == v for k, v in found.items())
+
+
+def test_a_model_is_given_few_rows_at_once(spark):
+    """A worker holds the texts of one small batch, whatever Spark's own batches are."""
+    requests = spark.range(1000).coalesce(1).withColumn("prompt", F.concat(F.lit("p"), F.col("id").cast("string")))
+    answers = e.explain(requests, lambda batch: batch["prompt"] + " " + str(len(batch)), "m").collect()
+    assert sorted(r.id for r in answers) == list(range(1000)) and {r.ai_model for r in answers} == {"m"}
+    assert all(r.reply.split()[0] == f"p{r.id}" for r in answers)
+    assert max(int(r.reply.split()[1]) for r in answers) <= 256
+
+
+def test_nearest_logs_are_laid_out_once(spark, capsys):
+    """The times of a key are stored and not made anew for each of the steps that read them; ties at one time are kept apart."""
+    rows = frame(spark, [log(k, after(k // 7), source=f"s{k % 2}", ip_address=f"ip{k % 3}", message=f"m{k}") for k in range(60)]).localCheckpoint()
+    found = neighbours.neighbours(rows, rows.filter("id % 5 = 0"))
+    found.explain()
+    assert "row_number" not in capsys.readouterr().out
+    logs = {r.id: r for r in rows.collect()}
+    for got in found.collect():
+        own = logs[got.id]
+        near = [r for r in logs.values() if r.id != own.id and (r.source == own.source or r.ip_address == own.ip_address)]
+        earlier = sorted((r.timestamp, r.id) for r in near if r.timestamp <= own.timestamp)[-3:]
+        later = sorted((r.timestamp, r.id) for r in near if r.timestamp >= own.timestamp)[:3]
+        assert [c.id for c in got.context] == [i for _, i in earlier] + [own.id] + [i for _, i in later]
