@@ -1,10 +1,10 @@
 """Context-mixing range coder for token ids, many blocks in step.
 
-A block is coded from a fresh model. Three predictions are mixed: the id that
-last followed the same two ids (order 2), the one that last followed the same id
-(order 1), and adaptive id frequencies (order 0). How the unit is shared among
-them is learned for each joint state of confidence; frequencies count only ids that both
-predictions missed. Blocks don't depend on each
+Three predictions are mixed: the id that last followed the same two ids
+(order 2), the one that last followed the same id (order 1), and frequencies
+of ids (order 0), which are given, for example those of all blocks of a group.
+How the unit is shared among them is learned for each joint state of
+confidence. A block is coded from a fresh model; blocks don't depend on each
 other, so one pass advances all of them by one id at a time with array
 operations; all sums are integers, so that every machine decodes alike.
 """
@@ -18,194 +18,169 @@ import numpy as np
 BLOCK = 1024
 LANES = 2048
 _SLOTS = 512
-#: Contexts of the last four bits of an id, shared by a hash of the bits before.
-_TAILS = 1024
-_GAIN = 28  # of a count, for each occurrence; sums stay below 2^16
-_SCALE = np.uint64(44)
-_UNIT = 1 << 44
-_TOP, _BOTTOM = np.uint64(1 << 56), np.uint64(1 << 48)
-_U8, _U56 = np.uint64(8), np.uint64(56)
-#: Room for the coded bytes of a block: no id takes more than six, and eight end it.
-_ROOM = 6 * BLOCK + 16
+#: Parts of a span that the predictions share, and of their rest that the ids share.
+_UNIT_BITS, _PART_BITS = 30, 18
+_UNIT, _PARTS = 1 << _UNIT_BITS, 1 << _PART_BITS
+_SCALE, _U32, _WORD, _LOW = np.uint64(_UNIT_BITS), np.uint64(32), np.uint64(1 << 32), np.uint64((1 << 32) - 1)
+#: Words of a coded block: an id takes one at most, and two end it.
+_ROOM = BLOCK + 2
 LARGEST_ID = (1 << 16) - 1
-#: What an occurrence of a symbol adds to the 16 running sums of its context.
-_ADD = np.triu(np.full((16, 16), _GAIN, dtype=np.uint16))
-_FRESH = np.arange(1, 17, dtype=np.uint16)
-#: The sums of a context as one item, which numpy takes and puts at once.
-_ROW = np.dtype("V32")
+#: A state is the confidence (0 to 3) of order 2 and of order 1, and whether order 1 tells another id. What it has of shares at first.
+_STATES = [(sure2, sure1, has1) for sure2 in range(4) for sure1 in range(4) for has1 in range(2)]
+_FRESH = np.array([[sure2 > 0, has1, 1, 0] for sure2, _, has1 in _STATES], dtype=np.int32)
+#: What an occurrence adds to its share, and the unit of a share by their sum.
+_GAIN = 2
+_SHARE = _UNIT // np.maximum(np.arange(4 + _GAIN * BLOCK), 1)
+#: The shares of a state as one item, which numpy takes at once.
+_ROW = np.dtype("V16")
+
+
+def lanes(blocks: int) -> int:
+    """How many of a group's blocks to code in step: all alike, and about LANES, so that no few are left for a pass of their own."""
+    return -(-blocks // max(1, round(blocks / LANES))) or 1
+
+
+class Frequencies:
+    """How the parts of order 0 are shared among ids: ``ids`` that may occur, ascending, and ``parts`` of each."""
+
+    def __init__(self, ids: np.ndarray, parts: np.ndarray):
+        self.ids, self.parts = ids, parts
+        self.begin, self.size = (np.zeros(LARGEST_ID + 1, dtype=np.int64) for _ in range(2))
+        self.begin[ids], self.size[ids] = np.cumsum(parts) - parts, parts
+        self.owner = np.repeat(ids, parts)
+
+    @staticmethod
+    def of(stream: np.ndarray) -> Frequencies:
+        """In proportion to how often ids occur, one part at least."""
+        counts = np.bincount(stream, minlength=1)
+        ids = np.flatnonzero(counts)
+        return Frequencies(ids, 1 + counts[ids] * (_PARTS - len(ids)) // max(len(stream), 1))
+
+    @staticmethod
+    def alike() -> Frequencies:
+        ids = np.arange(LARGEST_ID + 1)
+        return Frequencies(ids, np.full(len(ids), _PARTS // len(ids)))
+
+    def dump(self) -> bytes:
+        """The steps between ids and the parts, byte by byte, so that the higher ones compress to nothing."""
+        table = np.stack([np.diff(self.ids, prepend=0), self.parts]).astype("<u4")
+        return table.view(np.uint8).reshape(2, -1, 4).transpose(0, 2, 1).tobytes()
+
+    @staticmethod
+    def load(data: bytes) -> Frequencies:
+        table = np.frombuffer(data, dtype=np.uint8).reshape(2, 4, -1).transpose(0, 2, 1).copy().view("<u4")[:, :, 0].astype(np.int64)
+        return Frequencies(np.cumsum(table[0]), table[1])
 
 
 class _Model:
-    """The state of ``lanes`` blocks. An id is coded as four symbols of 4 bits, each given those before."""
+    """The state of ``lanes`` blocks."""
 
     def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        self.two, self.one = np.zeros(lanes * _SLOTS, dtype=np.int64), np.zeros(lanes * _SLOTS, dtype=np.int64)
-        self.shares = np.ones(lanes * 32 * 4, dtype=np.int64)
-        self.rows = (1, 16, 256, _TAILS)
-        self.sums = [np.tile(_FRESH, lanes * k).view(_ROW) for k in self.rows]
+        lane = np.arange(lanes)
+        self.slot, self.state0 = lane * _SLOTS, lane * len(_FRESH)
+        self.two, self.one = np.zeros(lanes * _SLOTS, dtype=np.int32), np.zeros(lanes * _SLOTS, dtype=np.int32)
+        self.shares = np.tile(_FRESH.ravel(), lanes)
+        self.rows = self.shares.view(_ROW)
         self.last, self.before = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
 
-    def context(self, lanes: np.ndarray, depth: int, prefix: np.ndarray) -> np.ndarray:
-        """Where the counts of the next four bits stand, given the bits before."""
-        place = prefix if depth < 3 else (prefix * 40503 >> 6) & _TAILS - 1
-        return lanes * self.rows[depth] + place
-
     def predict(self, n: int) -> None:
-        """For the first ``n`` lanes: both predicted ids, and the parts of the unit they get."""
-        slot, last = self.lane[:n] * _SLOTS, self.last[:n] * 40503
+        """For the first ``n`` lanes: both predicted ids, the parts of the unit they get, and what an order-0 part is of the rest."""
+        slot, last = self.slot[:n], self.last[:n] * 40503
         self.at1 = slot + (last >> 4 & _SLOTS - 1)
         self.at2 = slot + ((last + self.before[:n] * 30011) >> 5 & _SLOTS - 1)
-        one, two = self.one[self.at1], self.two[self.at2]
-        self.sure1, self.sure2, self.id1, self.id2 = one & 255, two & 255, one >> 8, two >> 8
-        self.has2 = self.sure2 > 0
+        one, two = self.one.take(self.at1), self.two.take(self.at2)
+        self.sure1, self.sure2, self.id1, self.id2 = one & 3, two & 3, one >> 2, two >> 2
         self.has1 = (self.sure1 > 0) & (self.id1 != self.id2)
-        self.state = 4 * (self.lane[:n] * 32 + np.minimum(self.sure2, 3) * 8 + np.minimum(self.sure1, 3) * 2 + self.has1)
-        n2, n1 = self.shares.take(self.state) * self.has2, self.shares.take(self.state + 1) * self.has1
-        unit = _UNIT // (n2 + n1 + self.shares.take(self.state + 2))
-        self.part2, self.part1 = unit * n2, unit * n1
+        self.state = self.state0[:n] + (self.sure2 << 3) + (self.sure1 << 1) + self.has1
+        shares = self.rows.take(self.state).view(np.int32).reshape(-1, 4)
+        unit = _SHARE.take(shares[:, 0] + shares[:, 1] + shares[:, 2])
+        self.part2, self.part1 = unit * shares[:, 0], unit * shares[:, 1]
         self.base = self.part2 + self.part1
+        self.step = _UNIT - self.base >> _PART_BITS
 
-    def interval(
-        self, hit2: np.ndarray, hit1: np.ndarray, miss: np.ndarray, start: np.ndarray, width: np.ndarray,
-    ) -> tuple[np.ndarray, np.ndarray]:
-        """Start and width of what is coded: a prediction's part, or where both missed the given ones."""
-        begin, size = self.part2 * hit1, np.where(hit2, self.part2, self.part1)
-        begin[miss], size[miss] = start, width
-        return begin.astype(np.uint64), size.astype(np.uint64)
+    def interval(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, order0: Frequencies) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of what is coded: a prediction's part, or the parts of an id that both missed."""
+        hit = hit2 | hit1
+        start = np.where(hit, self.part2 * hit1, self.base + self.step * order0.begin.take(ids))
+        width = np.where(hit, np.where(hit2, self.part2, self.part1), self.step * order0.size.take(ids))
+        return start.view(np.uint64), width.view(np.uint64)
 
     def learn(self, n: int, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        self.shares[self.state + (2 - 2 * hit2 - hit1)] += 2
-        shifted = ids << 8
-        self.two[self.at2] = shifted + np.where(self.id2 == ids, np.minimum(self.sure2 + 1, 255), 1)
-        self.one[self.at1] = shifted + np.where(self.id1 == ids, np.minimum(self.sure1 + 1, 255), 1)
+        self.shares[4 * self.state + (2 - 2 * hit2 - hit1)] += _GAIN
+        shifted = ids << 2
+        self.two[self.at2] = shifted + np.minimum(self.sure2 * (self.id2 == ids) + 1, 3)
+        self.one[self.at1] = shifted + np.minimum(self.sure1 * (self.id1 == ids) + 1, 3)
         self.before[:n], self.last[:n] = self.last[:n], ids
 
 
-def _read(table: np.ndarray, row: np.ndarray) -> np.ndarray:
-    return table.take(row).view(np.uint16).reshape(-1, 16)
-
-
-def _add(table: np.ndarray, row: np.ndarray, sums: np.ndarray, at: np.ndarray) -> None:
-    """Count symbol ``at`` in the contexts whose sums were read."""
-    table[row] = (sums + _ADD.take(at, axis=0)).view(_ROW).ravel()
-
-
-def _part(sums: np.ndarray, flat: np.ndarray, at: np.ndarray, start: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The part of an interval that symbol ``at`` has, by the running sums of the counts."""
-    sums, place, later = sums.ravel(), flat + at, at > 0
-    total, end = sums.take(flat + 15).astype(np.int64), sums.take(place).astype(np.int64)
-    begin = sums.take(place - later).astype(np.int64) * later
-    lower = width * begin // total
-    return start + lower, width * end // total - lower
-
-
-def encode(blocks: list[np.ndarray]) -> list[bytes]:
-    """Code blocks of at most BLOCK ids each; the longest come first."""
+def encode(blocks: list[np.ndarray], order0: Frequencies | None = None) -> list[bytes]:
+    """Code blocks of at most BLOCK ids each; the longest come first. Without ``order0`` all ids are alike."""
     lengths = np.array([len(b) for b in blocks])
-    lanes, longest = len(blocks), int(lengths.max(initial=0))
+    lanes, longest, order0 = len(blocks), int(lengths.max(initial=0)), order0 or Frequencies.alike()
     ids = np.zeros((longest, lanes), dtype=np.int64)
     for k, block in enumerate(blocks):
         ids[: len(block), k] = block
     model = _Model(lanes)
     low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, np.uint64(0xFFFFFFFFFFFFFFFF))
-    out, at = np.zeros(lanes * _ROOM, dtype=np.uint8), np.arange(lanes) * _ROOM
+    out, at = np.zeros(lanes * _ROOM, dtype="<u4"), np.arange(lanes) * _ROOM
     for t in range(longest):
         n = lanes if lengths[-1] > t else int(np.count_nonzero(lengths > t))
         now = ids[t, :n]
         model.predict(n)
-        hit2 = model.has2 & (model.id2 == now)
-        hit1 = model.has1 & (model.id1 == now) & ~hit2
-        miss = np.flatnonzero(~(hit2 | hit1))
-        plain, own, start = now[miss], model.lane[miss], model.base[miss]
-        width, flat = _UNIT - start, model.lane[: len(miss)] * 16
-        for depth, table in enumerate(model.sums):
-            row, at4 = model.context(own, depth, plain >> (16 - 4 * depth)), plain >> (12 - 4 * depth) & 15
-            sums = _read(table, row)
-            start, width = _part(sums, flat, at4, start, width)
-            _add(table, row, sums, at4)
-        start, width = model.interval(hit2, hit1, miss, start, width)
-        unit = span[:n] >> _SCALE
+        hit2 = (model.sure2 > 0) & (model.id2 == now)
+        hit1 = model.has1 & (model.id1 == now)
+        start, width = model.interval(now, hit2, hit1, order0)
+        unit, before = span[:n] >> _SCALE, low[:n].copy()
         low[:n] += unit * start
         span[:n] = unit * width
-        _shift(low, span, n, lambda idx: _emit(out, at, low, idx))
+        _carry(out, at[np.flatnonzero(low[:n] < before)] - 1)
+        idx = np.flatnonzero(span[:n] < _WORD)
+        place, settled = at.take(idx), low.take(idx)
+        out[place] = settled >> _U32
+        at[idx] = place + 1
+        low[idx] = settled << _U32
+        span[idx] = span.take(idx) << _U32
         model.learn(n, now, hit2, hit1)
-    for _ in range(8):
-        out[at] = (low >> _U56).astype(np.uint8)
+    for word in (low >> _U32, low & _LOW):
+        out[at] = word
         at += 1
-        low <<= _U8
     return [out[k * _ROOM : at[k]].tobytes() for k in range(lanes)]
 
 
-def _emit(out: np.ndarray, at: np.ndarray, low: np.ndarray, idx: np.ndarray) -> None:
-    place = at.take(idx)
-    out[place] = (low.take(idx) >> _U56).astype(np.uint8)
-    at[idx] = place + 1
-
-
-def _shift(low: np.ndarray, span: np.ndarray, n: int, move) -> None:
-    """Shift out the bytes that are settled; where the span gets too small, cut it so that they are."""
-    idx = np.arange(n)
-    while len(idx):
-        base, size = low.take(idx), span.take(idx)
-        settled = (base ^ (base + size)) < _TOP
-        small = ~settled & (size < _BOTTOM)
-        go = settled | small
-        if not go.any():
-            return
-        if small.any():
-            span[idx[small]] = (~base[small] + np.uint64(1)) & (_BOTTOM - np.uint64(1))
-        idx = idx[go]
-        move(idx)
-        low[idx] = low.take(idx) << _U8
-        span[idx] = span.take(idx) << _U8
-
-
-def decode(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
-    """The ids of blocks that ``encode`` has coded."""
-    lengths = np.array(lengths)
-    lanes, longest = len(coded), int(lengths.max(initial=0))
-    sizes = np.array([len(c) for c in coded])
-    data = np.concatenate([np.frombuffer(b"".join(coded), dtype=np.uint8), np.zeros(8, dtype=np.uint8)])
-    at = (np.cumsum(sizes) - sizes).astype(np.int64)
-    code = np.zeros(lanes, dtype=np.uint64)
-    for _ in range(8):
-        code = (code << _U8) | data[at].astype(np.uint64)
-        at = np.minimum(at + 1, len(data) - 1)
-    ids, model = np.zeros((longest, lanes), dtype=np.int64), _Model(lanes)
-    low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, np.uint64(0xFFFFFFFFFFFFFFFF))
+def _carry(out: np.ndarray, place: np.ndarray) -> None:
+    """Add one to the words at ``place``, and to those before where they overflow."""
+    while len(place):
+        out[place] += np.uint32(1)
+        place = place[out[place] == 0] - 1
 
-    def move(idx: np.ndarray) -> None:
-        place = at.take(idx)
-        code[idx] = (code.take(idx) << _U8) | data.take(place).astype(np.uint64)
-        at[idx] = np.minimum(place + 1, len(data) - 1)
 
+def decode(coded: list[bytes], lengths: list[int], order0: Frequencies | None = None) -> list[np.ndarray]:
+    """The ids of blocks that ``encode`` has coded with the same ``order0``."""
+    lengths = np.array(lengths)
+    lanes, longest, order0 = len(coded), int(lengths.max(initial=0)), order0 or Frequencies.alike()
+    sizes = np.array([len(c) // 4 for c in coded], dtype=np.int64)
+    data = np.concatenate([np.frombuffer(b"".join(coded), dtype="<u4"), np.zeros(_ROOM, dtype="<u4")]).astype(np.uint64)
+    at = np.cumsum(sizes) - sizes + 2
+    code = (data[at - 2] << _U32) | data[at - 1]  # less what lies below the interval
+    span = np.full(lanes, np.uint64(0xFFFFFFFFFFFFFFFF))
+    ids, model = np.zeros((longest, lanes), dtype=np.int64), _Model(lanes)
     for t in range(longest):
         n = lanes if lengths[-1] > t else int(np.count_nonzero(lengths > t))
         model.predict(n)
         unit = span[:n] >> _SCALE
-        value = ((code[:n] - low[:n]) // unit).astype(np.int64)
+        value = np.minimum(code[:n] // unit, np.uint64(_UNIT - 1)).view(np.int64)
         hit2 = value < model.part2
         hit1 = ~hit2 & (value < model.base)
-        miss = np.flatnonzero(~(hit2 | hit1))
-        own, start = model.lane[miss], model.base[miss]
-        value, width, flat = np.minimum(value[miss], _UNIT - 1), _UNIT - start, model.lane[: len(miss)] * 16
-        found = np.zeros(len(miss), dtype=np.int64)
-        for depth, table in enumerate(model.sums):
-            row = model.context(own, depth, found)
-            sums = _read(table, row)
-            level = ((value - start + 1) * sums[:, 15] - 1) // width
-            ones = np.bitwise_count((sums <= level.astype(np.uint16)[:, None]).view(np.uint64))
-            at4 = np.minimum(ones[:, 0] + ones[:, 1], 15).astype(np.int64)
-            start, width = _part(sums, flat, at4, start, width)
-            _add(table, row, sums, at4)
-            found = found * 16 + at4
-        now = np.where(hit2, model.id2, model.id1)
-        now[miss] = found
-        start, width = model.interval(hit2, hit1, miss, start, width)
-        low[:n] += unit * start
+        found = order0.owner.take(((value - model.base) / model.step).astype(np.int64), mode="clip")  # exact: all below 2^31
+        now = np.where(hit2, model.id2, np.where(hit1, model.id1, found))
+        start, width = model.interval(now, hit2, hit1, order0)
+        code[:n] -= unit * start
         span[:n] = unit * width
-        _shift(low, span, n, move)
+        idx = np.flatnonzero(span[:n] < _WORD)
+        place = at.take(idx)
+        code[idx] = (code.take(idx) << _U32) | data.take(place)
+        at[idx] = place + 1
+        span[idx] = span.take(idx) << _U32
         ids[t, :n] = now
         model.learn(n, now, hit2, hit1)
     return [ids[:n, k].astype("<u4") for k, n in enumerate(lengths)]

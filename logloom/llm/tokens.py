@@ -21,7 +21,7 @@ from logloom.llm.common import running_total, text_key, workers
 from logloom.session import shared_folder
 
 END = 1
-MAGIC = b"TOKMIX1\n"
+MAGIC = b"TOKMIX2\n"
 #: Ids of a group of blocks coded in step, and of a file.
 GROUP, FILE = coder.LANES * coder.BLOCK, 1 << 24
 _GROUP_HEAD = struct.Struct("<III")
@@ -63,6 +63,10 @@ class Encoder:
     def _clear(self) -> None:
         self.words, self.ids, self.length = _Words(), np.empty(0, dtype=np.uint32), np.empty(0, dtype=np.int64)
 
+    def release(self) -> None:
+        """Forget the stretches. A worker process outlives its task, and what it holds is held beside all later stages."""
+        self._clear()
+
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=np.uint32) for e in found]
@@ -111,17 +115,17 @@ def _encoder(path: str, by_word: bool) -> Encoder:
 
 
 def pack(ids: list[int | None], rows: list[np.ndarray]) -> bytes:
-    """A group: its documents' ids and lengths, the blocks' sizes and checksums, and the blocks."""
+    """A group: its documents' ids and lengths, the blocks' sizes and checksums, how often ids occur, and the blocks."""
     stream = np.concatenate(rows) if rows else np.empty(0, dtype=np.uint32)
     if len(stream) and int(stream.max()) > coder.LARGEST_ID:
         raise ValueError("ids must fit 16 bits")
     blocks = [stream[k : k + coder.BLOCK] for k in range(0, len(stream), coder.BLOCK)]
-    coded = []
-    for k in range(0, len(blocks), coder.LANES):
-        coded += coder.encode(blocks[k : k + coder.LANES])
+    coded, often, lanes = [], coder.Frequencies.of(stream), coder.lanes(len(blocks))
+    for k in range(0, len(blocks), lanes):
+        coded += coder.encode(blocks[k : k + lanes], often)
     index = np.array([(0 if i is None else i, i is None, len(r)) for i, r in zip(ids, rows)], dtype="<i8").reshape(-1, 3)
     table = np.array([(len(b), len(c), coder.checksum(b)) for b, c in zip(blocks, coded)], dtype="<u4").reshape(-1, 3)
-    head = zlib.compress(index.tobytes() + table.tobytes(), 6)
+    head = zlib.compress(index.tobytes() + table.tobytes() + often.dump(), 6)
     return _GROUP_HEAD.pack(len(index), len(table), len(head)) + head + b"".join(coded)
 
 
@@ -135,13 +139,16 @@ def unpack(data: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
         at += _GROUP_HEAD.size
         head = zlib.decompress(data[at : at + size])
         at += size
-        index = np.frombuffer(head[: 24 * documents], dtype="<i8").reshape(-1, 3)
-        table = np.frombuffer(head[24 * documents :], dtype="<u4").reshape(-1, 3)
+        first, second = 24 * documents, 24 * documents + 12 * blocks
+        index = np.frombuffer(head[:first], dtype="<i8").reshape(-1, 3)
+        table = np.frombuffer(head[first:second], dtype="<u4").reshape(-1, 3)
+        often = coder.Frequencies.load(head[second:])
         rows, ends = [], at + np.cumsum(table[:, 1], dtype=np.int64)
-        for k in range(0, blocks, coder.LANES):
-            part = table[k : k + coder.LANES]
-            coded = [data[end - n : end] for end, n in zip(ends[k : k + coder.LANES].tolist(), part[:, 1].tolist())]
-            found = coder.decode(coded, part[:, 0].tolist())
+        lanes = coder.lanes(blocks)
+        for k in range(0, blocks, lanes):
+            part = table[k : k + lanes]
+            coded = [data[end - n : end] for end, n in zip(ends[k : k + lanes].tolist(), part[:, 1].tolist())]
+            found = coder.decode(coded, part[:, 0].tolist(), often)
             for ids, check in zip(found, part[:, 2].tolist()):
                 if coder.checksum(ids) != check:
                     raise ValueError("a block differs from its checksum")
@@ -174,6 +181,7 @@ def write(docs: DataFrame, folder: str, path: str, by_word: bool = True, end: in
             temporary, sha256, count = files.put(folder, name, b"".join(groups))
             return pa.RecordBatch.from_arrays([pa.array([x]) for x in (temporary, name, records, count, sha256, items)], names)
 
+        encoder.release()  # of a task that was ended early
         for batch in batches:
             found = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
             for doc_id, made in zip(batch.column(0).to_pylist(), found):
@@ -187,6 +195,7 @@ def write(docs: DataFrame, folder: str, path: str, by_word: bool = True, end: in
                     if items >= size:
                         yield close()
                         groups, number, records, items = [MAGIC], number + 1, 0, 0
+        encoder.release()
         if ids:
             groups.append(pack(ids, rows))
             records, items = records + len(ids), items + held

@@ -65,3 +65,42 @@ def test_files_hold_every_document(spark, tmp_path):
 
 def test_empty_table(spark):
     assert tokens.tokenized(docs(spark, []), PATH).count() == 0
+
+
+def test_a_group_is_coded_in_passes_of_like_size(monkeypatch):
+    """A few blocks beyond LANES took a pass of their own, as long as a whole one."""
+    passes, predict = [], coder._Model.predict
+    monkeypatch.setattr(coder, "LANES", 4)
+    monkeypatch.setattr(coder._Model, "predict", lambda self, n: (passes.append(n), predict(self, n)))
+    rows = [np.arange(4 * coder.BLOCK + 9) % 300]
+    assert np.array_equal(next(tokens.unpack(tokens.MAGIC + tokens.pack([1], rows)))[1], rows[0])
+    assert len(passes) <= 2 * coder.BLOCK and [coder.lanes(n) for n in (0, 1, 4, 5, 6, 7, 12)] == [1, 1, 4, 5, 3, 4, 4]
+
+
+def test_ids_are_coded_by_the_frequencies_of_their_group():
+    rng = np.random.default_rng(3)
+    stream = np.minimum(rng.zipf(1.2, 200 * coder.BLOCK), 50_000).astype(np.uint32)
+    often = coder.Frequencies.of(stream)
+    again = coder.Frequencies.load(often.dump())
+    assert np.array_equal(again.ids, often.ids) and np.array_equal(again.parts, often.parts) and often.parts.sum() <= 1 << 18
+    counts = np.bincount(stream)
+    best = -(counts[counts > 0] * np.log2(counts[counts > 0] / len(stream))).sum() / 8
+    data = tokens.pack([1], [stream])
+    assert len(data) < 1.2 * best  # every block learned them anew before, and took more
+    assert np.array_equal(next(tokens.unpack(tokens.MAGIC + data))[1], stream)
+
+
+def test_carries_pass_through_full_words():
+    out = np.array([5, 0xFFFFFFFF, 0xFFFFFFFF, 7, 8], dtype="<u4")
+    coder._carry(out, np.array([2, 4]))
+    assert out.tolist() == [6, 0, 0, 7, 9]
+
+
+def test_workers_forget_their_words_with_the_task(spark, tmp_path):
+    tokens.write(docs(spark, [f"word{k} other{k}" for k in range(400)]), str(tmp_path / "files"), PATH).count()
+
+    def held(batches):
+        for batch in batches:
+            yield batch.set_column(0, "id", __import__("pyarrow").array([len(tokens._encoder(PATH, True).words)] * batch.num_rows, "long"))
+
+    assert {r.id for r in spark.range(0, 64, 1, 16).mapInArrow(held, "id long").collect()} == {0}
