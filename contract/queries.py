@@ -586,7 +586,7 @@ def _targets(spark, root):
 
 def y_sync(spark, folder):
     path = _folder(spark)
-    payload = sync.sync_all(staged(explained(spark, folder)), _now())
+    payload = sync.kept(sync.sync_all(staged(explained(spark, folder)), _now()))
     sync.write(spark, payload, path)
     sync.write(spark, payload, path)
     return _targets(spark, path)

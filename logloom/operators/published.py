@@ -145,18 +145,22 @@ class Store:
         """Store rows by cell in a folder of their own. Large cells are split over files, small ones are not."""
         folder = f"data/{uuid.uuid4().hex}-{table}"
         placed.hint("rebalance", "_p_day", "_p_cell").write.partitionBy("_p_day", "_p_cell").parquet(f"{self.root}/{folder}")
-        made = self.spark.read.parquet(f"{self.root}/{folder}").select("_p_day", "_p_cell").distinct().collect() if self._any(folder) else []
+        names = [(day, cell) for day in self._folders(folder) for cell in self._folders(f"{folder}/{day}")]
         self.step(f"written {table}")
-        return {(str(r._p_day), r._p_cell): f"{folder}/_p_day={r._p_day}/_p_cell={r._p_cell}" for r in made}
+        return {(day.split("=", 1)[1], int(cell.split("=", 1)[1])): f"{folder}/{day}/{cell}" for day, cell in names}
 
-    def _any(self, folder: str) -> bool:
+    def _folders(self, folder: str) -> list[str]:
         top = self._path(folder)
-        return any(s.isDirectory() for s in top.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(top))
+        found = top.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(top)
+        return [s.getPath().getName() for s in found if s.isDirectory()]
 
-    def _changed(self, now: Version, changes: dict[str, tuple[DataFrame, Column, set[Cell]]]) -> Version:
-        """The version after replacing the given cells of tables by rows."""
+    def _changed(self, now: Version, changes: dict[str, tuple[DataFrame | None, Column, set[Cell]]]) -> Version:
+        """The version after replacing the given cells of tables by rows. The keys of a new table (None) are read from its rows."""
         schemas, cells = dict(now.schemas), {t: dict(found) for t, found in now.cells.items()}
         for table, (rows, day, old) in changes.items():
+            if rows is None:
+                own = table.removesuffix(_KEYS)
+                rows = self.read(own, Version(0, schemas, cells)).select(self.key, self._day().alias("_day"))
             made = self._write(table, rows.withColumn("_p_day", day).withColumn("_p_cell", self._bucket()))
             kept = {cell: path for cell, path in cells.get(table, {}).items() if cell not in old}
             cells[table] = kept | made
@@ -204,7 +208,22 @@ class Store:
             raise LookupError(f"{table} has cells without sums; call refresh")
         return self.read(table + _ROLLUP, now)
 
-    def _replaced(self, table: str, rows: DataFrame, cells: set[Cell], keys: DataFrame, buckets: set[int]) -> dict:
+    def _known(self, known: DataFrame, fresh: DataFrame) -> tuple[set[Cell], set[Cell], set[int]]:
+        """What stored keys tell of a change, from one join of the keys alone.
+
+        The cells that hold any of the change's keys, the cells that hold other keys, and
+        the buckets in which a key is new or gets another day.
+        """
+        came = fresh.groupBy(self.key).agg(F.min(self._day()).alias("_lo"), F.max(self._day()).alias("_hi"))
+        both = known.join(came, self.key, "full").withColumn("_bucket", self._bucket())
+        same = F.col("_day").eqNullSafe(F.col("_lo")) & F.col("_day").eqNullSafe(F.col("_hi"))
+        found = both.groupBy("_day", "_bucket").agg(
+            F.count_if(F.col("_lo").isNotNull()).alias("hit"), F.count_if(F.col("_lo").isNull()).alias("other"),
+            F.count_if(F.col("_lo").isNotNull() & ~same).alias("differ")).collect()
+        stored = [(r, (r._day, r._bucket)) for r in found if r._day is not None]
+        return {c for r, c in stored if r.hit}, {c for r, c in stored if r.other}, {r._bucket for r in found if r.differ}
+
+    def _replaced(self, table: str, rows: DataFrame | None, cells: set[Cell], keys: DataFrame | None, buckets: set[int]) -> dict:
         """The changes of a table and of its keys."""
         return {table: (rows, self._day(), cells), table + _KEYS: (keys, F.lit(_NONE), {(_NONE, b) for b in buckets})}
 
@@ -218,15 +237,25 @@ class Store:
         """
         now, changes = self.version(), {}
         for table, incoming in parts.items():
-            fresh = staged(newest(incoming, self.key, order) if order is not None else incoming)
+            fresh = newest(incoming, self.key, order) if order is not None else incoming
+            if table not in now.schemas:  # written as it comes, and its keys are read from there
+                changes |= self._replaced(table, fresh, set(), None, set())
+                continue
+            fresh = staged(fresh)
             new = {(r[0], r[1]) for r in fresh.select(self._day(), self._bucket()).distinct().collect()}
-            cells = new | (self._cells_of(table, fresh, now) if moves else set())
-            buckets = {b for _, b in cells}
-            old, known = self.read(table, now, cells), self.read(table + _KEYS, now, {(_NONE, b) for b in buckets})
-            rows = fresh if old is None else upsert(old, fresh, self.key)
-            keys = fresh.select(self.key, self._day().alias("_day"))
-            keys = keys if known is None else upsert(known, keys, self.key)
-            changes |= self._replaced(table, rows, cells, keys, buckets)
+            buckets = {b for _, b in new}  # a key that moves to another day stays in its bucket
+            known = self.read(table + _KEYS, now, {(_NONE, b) for b in buckets})
+            mixed, told = new, buckets
+            if moves:
+                held, mixed, told = self._known(known, fresh)
+                new = new | held
+            old = self.read(table, now, new & mixed)
+            # a cell of which every row is replaced is not read
+            rows = upsert(old, fresh, self.key) if new & mixed else old.unionByName(fresh, allowMissingColumns=True)
+            changes[table] = (rows, self._day(), new)
+            if told:  # else the keys stay as they are
+                keys = fresh.select(self.key, self._day().alias("_day")).filter(self._bucket().isin(sorted(told)))
+                changes |= {table + _KEYS: (upsert(self.read(table + _KEYS, now, {(_NONE, b) for b in told}), keys, self.key), F.lit(_NONE), {(_NONE, b) for b in told})}
         new = self._changed(now, changes)
         self._publish(new)
         return new.number

@@ -56,6 +56,11 @@ def feed_explanations(logs: DataFrame, now: Column) -> Payload:
     return Payload(None, every.anomalies, every.explanations)
 
 
+def kept(payload: Payload) -> Payload:
+    """The payload with its records stored: one that is sent more than once is made once."""
+    return Payload(payload.logs and staged(payload.logs), staged(payload.anomalies), staged(payload.explanations))
+
+
 def counts(payload: Payload) -> DataFrame:
     """One row: how many records go to each target."""
     parts = [payload.logs, payload.anomalies, payload.explanations]

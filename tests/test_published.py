@@ -114,3 +114,41 @@ def test_cascade_over_stored_targets(spark, root):
     assert Store(spark, root).version().number == number + 1
     assert sync.delete_logs(spark, root, gone) == {"logs": 0, "anomalies": 0, "ai_analysis": 0}
     assert Store(spark, root).version().number == number + 1
+
+
+def test_a_change_taken_again_opens_no_rows_and_leaves_the_keys(spark, root):
+    store = Store(spark, root, buckets=4)
+    data = [(k, f"2024-01-0{1 + k % 3}" if k % 4 else None, "a") for k in range(40)]
+    store.upsert({"t": rows(spark, data).withColumn("more", F.lit(1))})
+    before, opened = store.version(), []
+    read = Store.read
+
+    class Watched(Store):
+        def read(self, table, version=None, cells=None):
+            opened.append((table, cells))
+            return read(self, table, version, cells)
+
+    Watched(spark, root, buckets=4).upsert({"t": rows(spark, [(k, day, "b") for k, day, _ in data])})
+    assert all(not cells for table, cells in opened if table == "t")
+    after = store.version()
+    assert after.cells["t_keys"] == before.cells["t_keys"] and not set(after.cells["t"].values()) & set(before.cells["t"].values())
+    assert seen(store) == {k: (str(day), "b") for k, day, _ in data}
+    assert store.read("t").columns == ["id", "dt", "v", "more"] and store.read("t").filter("more is null").count() == 40
+    # one key moves and one is new: their buckets alone get new keys, and other rows of their cells stay
+    store.upsert({"t": rows(spark, [(1, "2024-02-01", "c"), (99, "2024-01-01", "new")])})
+    assert seen(store) == {k: (str(day), "b") for k, day, _ in data} | {1: ("2024-02-01", "c"), 99: ("2024-01-01", "new")}
+    assert 0 < sum(path != after.cells["t_keys"][cell] for cell, path in store.version().cells["t_keys"].items()) <= 2
+    assert store.delete("t", rows(spark, [(k, None, "") for k in (1, 2, 99)])) == 3 and 1 not in seen(store)
+
+
+def test_repeated_and_null_keys_are_replaced_and_kept_as_they_come(spark, root):
+    store = Store(spark, root, buckets=2)
+    twice = [(1, "2024-01-01", "a"), (1, "2024-01-01", "a"), (2, "2024-01-02", "a"), (3, "2024-01-01", "a"), (3, "2024-01-02", "a")]
+    for _ in range(2):
+        store.upsert({"t": rows(spark, twice)})
+    assert sorted((r.id, str(r.dt)) for r in store.read("t").collect()) == sorted((k, d) for k, d, _ in twice)
+    store.upsert({"t": rows(spark, [(3, "2024-01-02", "b"), (None, "2024-01-02", "n")])})
+    got = sorted(((r.id or 0), str(r.dt), r.v) for r in store.read("t").collect())
+    assert got == [(0, "2024-01-02", "n"), (1, "2024-01-01", "a"), (1, "2024-01-01", "a"), (2, "2024-01-02", "a"), (3, "2024-01-02", "b")]
+    store.upsert({"t": rows(spark, [(1, "2024-01-01", "c"), (1, "2024-01-01", "d")])})  # as often as there are keys: the others stay
+    assert sorted((r.id or 0) for r in store.read("t").collect()) == [0, 1, 1, 2, 3]
