@@ -21,6 +21,7 @@ from logloom.session import staged
 FEATURES = ("f_status", "f_severity", "f_window", "f_source", "f_event", "f_hour", "f_length")
 MIN_ROWS = 10
 SCALE = 1_000_000  # scores are compared at six decimals
+_TOGETHER = 512  # rows that are scored at a time
 _NODE = "tree int, node int, feature int, cut double, below int, above int, size int, depth int"
 
 
@@ -115,28 +116,31 @@ def scorer(nodes: DataFrame, sample: int):
     ``nodes`` has at most ``trees * (2 * sample - 1)`` rows, whatever the table's size.
     """
     found = nodes.toPandas().sort_values(["tree", "node"], ignore_index=True)
-    # One flat node table; a tree's nodes start at its root. Leaves lead to themselves.
+    # One flat node table; a tree's nodes start at its root. The node above a cut follows the one below it; leaves lead to themselves.
     roots = np.flatnonzero(found["node"].to_numpy() == 0)
     shift = np.repeat(roots, np.diff(np.append(roots, len(found))))
     place = np.arange(len(found))
     leaf = found["feature"].to_numpy() < 0
     low = np.where(leaf, place, found["below"] + shift)
-    high = np.where(leaf, place, found["above"] + shift)
+    cut = np.where(leaf, np.inf, found["cut"])
     feature = found["feature"].to_numpy().clip(0)
     path = found["depth"].to_numpy() + _mean_path(found["size"])
-    model = nodes.sparkSession.sparkContext.broadcast((feature, found["cut"].to_numpy(), low, high, path, roots))
+    model = nodes.sparkSession.sparkContext.broadcast((feature, cut, low, path, roots))
     norm = float(_mean_path(sample)) or 1.0
     steps = math.ceil(math.log2(max(sample, 2)))
 
     @F.pandas_udf("double")
     def score(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, e: pd.Series, f: pd.Series, g: pd.Series) -> pd.Series:
-        feature, cut, low, high, lengths, roots = model.value
+        feature, cut, low, lengths, roots = model.value
         rows = np.column_stack([a, b, c, d, e, f, g])
-        at = np.broadcast_to(roots, (len(rows), len(roots)))
-        line = np.arange(len(rows))[:, None]
-        for _ in range(steps):
-            at = np.where(rows[line, feature[at]] <= cut[at], low[at], high[at])
-        return pd.Series(np.exp2(-lengths[at].mean(axis=1) / norm))
+        depth = np.empty(len(rows))
+        for begin in range(0, len(rows), _TOGETHER):  # what a step reads stays in the processor's cache
+            part = rows[begin : begin + _TOGETHER]
+            at, line = np.tile(roots, (len(part), 1)), np.arange(len(part))[:, None] * part.shape[1]
+            for _ in range(steps):
+                at = low.take(at) + (part.take(line + feature.take(at)) > cut.take(at))
+            depth[begin : begin + _TOGETHER] = lengths.take(at).mean(axis=1)
+        return pd.Series(np.exp2(-depth / norm))
 
     return score
 
@@ -166,8 +170,19 @@ def fit(
     sample = min(settings.sample, total)
     nodes = staged(grow(draw(rows.select("id", *FEATURES), total, settings), settings))
     scored = staged(rows.withColumn("_score", _score(nodes, sample)))
+    return Fitted(nodes, sample, _limit(scored, contamination)), scored
+
+
+def _limit(scored: DataFrame, contamination: float) -> float:
     histogram = scored.groupBy(F.col("_score").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    return Fitted(nodes, sample, float(quantile(histogram, 1 - contamination).first()["value"])), scored
+    return float(quantile(histogram, 1 - contamination).first()["value"])
+
+
+def learn(rows: DataFrame, total: int, contamination: float = schema.CONTAMINATION, settings: Settings = Settings()) -> Fitted:
+    """The forest of ``fit`` for rows whose scores nobody wants: only their histogram is stored."""
+    sample = min(settings.sample, total)
+    nodes = staged(grow(draw(rows.select("id", *FEATURES), total, settings), settings))
+    return Fitted(nodes, sample, _limit(rows.select(_score(nodes, sample).alias("_score")), contamination))
 
 
 def flagged(rows: DataFrame, fitted: Fitted) -> DataFrame:

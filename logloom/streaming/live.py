@@ -143,7 +143,7 @@ def take_statistics(logs: DataFrame, use_forest: bool = True) -> Statistics:
     if not use_forest or seen.total < forest.MIN_ROWS:
         return Statistics(seen, threshold, None)
     rows = staged(forest_features(rule_features(logs, seen, counted), seen).select("id", *forest.FEATURES))
-    return Statistics(seen, threshold, forest.fit(rows, seen.total)[0])
+    return Statistics(seen, threshold, forest.learn(rows, seen.total))
 
 
 def save_statistics(logs: DataFrame, path: str, use_forest: bool = True) -> None:

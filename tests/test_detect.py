@@ -188,3 +188,23 @@ def test_forest_samples(spark):
     assert len(small) == 20 and all(r.n == 64 == r.ids for r in small)
     large = forest.draw(rows, 5000, forest.Settings(trees=2, sample=64)).groupBy("tree").count().collect()
     assert len(large) == 2 and all(r["count"] == 64 for r in large)
+
+
+def test_a_forest_that_is_only_learned_stores_no_rows(spark, monkeypatch):
+    rows, stored, staged = feature_rows(spark, 700), [], forest.staged
+    settings = forest.Settings(trees=10)
+    want, scored = forest.fit(rows, 700, settings=settings)
+    monkeypatch.setattr(forest, "staged", lambda df: (stored.append(df.columns), staged(df))[1])
+    got = forest.learn(rows, 700, settings=settings)
+    assert (got.limit, got.sample) == (want.limit, want.sample) and stored == [want.nodes.columns]
+    nodes, trees = want.nodes.orderBy("tree", "node").collect(), {}
+    for r in nodes:
+        trees.setdefault(r.tree, []).append(r)
+    for row in scored.orderBy("id").limit(60).collect():  # the paths walked one by one
+        paths = []
+        for tree in trees.values():
+            at = tree[0]
+            while at.feature >= 0:
+                at = tree[at.below if row[forest.FEATURES[at.feature]] <= at.cut else at.above]
+            paths.append(at.depth + float(forest._mean_path(at.size)))
+        assert row._score == pytest.approx(forest.SCALE * 2 ** (-np.mean(paths) / float(forest._mean_path(want.sample))), abs=1)
