@@ -101,6 +101,6 @@ def test_workers_forget_their_words_with_the_task(spark, tmp_path):
 
     def held(batches):
         for batch in batches:
-            yield batch.set_column(0, "id", __import__("pyarrow").array([len(tokens._encoder(PATH, True).words)] * batch.num_rows, "long"))
+            yield batch.set_column(0, "id", __import__("pyarrow").array([len(tokens._encoder(PATH, True).words)] * batch.num_rows, "int64"))
 
     assert {r.id for r in spark.range(0, 64, 1, 16).mapInArrow(held, "id long").collect()} == {0}
