@@ -30,7 +30,7 @@ _STATES = [(sure2, sure1, has1) for sure2 in range(4) for sure1 in range(4) for
 _FRESH = np.array([[sure2 > 0, has1, 1, 0] for sure2, _, has1 in _STATES], dtype=np.int32)
 #: What an occurrence adds to its share, and the unit of a share by their sum.
 _GAIN = 2
-_SHARE = _UNIT // np.maximum(np.arange(4 + _GAIN * BLOCK), 1)
+_SHARE = (_UNIT // np.maximum(np.arange(4 + _GAIN * BLOCK), 1)).astype(np.int32)
 #: The shares of a state as one item, which numpy takes at once.
 _ROW = np.dtype("V16")
 
@@ -45,9 +45,9 @@ class Frequencies:
 
     def __init__(self, ids: np.ndarray, parts: np.ndarray):
         self.ids, self.parts = ids, parts
-        self.begin, self.size = (np.zeros(LARGEST_ID + 1, dtype=np.int64) for _ in range(2))
+        self.begin, self.size = (np.zeros(LARGEST_ID + 1, dtype=np.int32) for _ in range(2))
         self.begin[ids], self.size[ids] = np.cumsum(parts) - parts, parts
-        self.owner = np.repeat(ids, parts)
+        self.owner = np.repeat(ids.astype(np.int32), parts)
 
     @staticmethod
     def of(stream: np.ndarray) -> Frequencies:
@@ -73,43 +73,65 @@ class Frequencies:
 
 
 class _Model:
-    """The state of ``lanes`` blocks."""
+    """The state of ``lanes`` blocks.
+
+    Order 1 and order 2 are the rows of one array, so that one operation serves
+    both. What lanes hold for the same context lies side by side: most lanes are
+    at common ones, which stay in the cache.
+    """
 
     def __init__(self, lanes: int):
-        lane = np.arange(lanes)
-        self.slot, self.state0 = lane * _SLOTS, lane * len(_FRESH)
-        self.two, self.one = np.zeros(lanes * _SLOTS, dtype=np.int32), np.zeros(lanes * _SLOTS, dtype=np.int32)
-        self.shares = np.tile(_FRESH.ravel(), lanes)
+        self.lanes, self.lane = lanes, np.arange(lanes, dtype=np.int32)
+        self.slot = np.stack([self.lane, self.lane + lanes * _SLOTS])
+        self.table = np.zeros(2 * lanes * _SLOTS, dtype=np.int32)
+        self.shares = np.repeat(_FRESH, lanes, axis=0).ravel()
         self.rows = self.shares.view(_ROW)
-        self.last, self.before = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
+        self.last, self.before = np.zeros(lanes, dtype=np.int32), np.zeros(lanes, dtype=np.int32)
 
     def predict(self, n: int) -> None:
         """For the first ``n`` lanes: both predicted ids, the parts of the unit they get, and what an order-0 part is of the rest."""
-        slot, last = self.slot[:n], self.last[:n] * 40503
-        self.at1 = slot + (last >> 4 & _SLOTS - 1)
-        self.at2 = slot + ((last + self.before[:n] * 30011) >> 5 & _SLOTS - 1)
-        one, two = self.one.take(self.at1), self.two.take(self.at2)
-        self.sure1, self.sure2, self.id1, self.id2 = one & 3, two & 3, one >> 2, two >> 2
-        self.has1 = (self.sure1 > 0) & (self.id1 != self.id2)
-        self.state = self.state0[:n] + (self.sure2 << 3) + (self.sure1 << 1) + self.has1
-        shares = self.rows.take(self.state).view(np.int32).reshape(-1, 4)
-        unit = _SHARE.take(shares[:, 0] + shares[:, 1] + shares[:, 2])
+        at = np.empty((2, n), dtype=np.int32)
+        np.multiply(self.last[:n], 40503, out=at[0])  # wraps, but the bits taken are below
+        np.multiply(self.before[:n], 30011, out=at[1])
+        at[1] += at[0]
+        at[0] >>= 4
+        at[1] >>= 5
+        at &= _SLOTS - 1
+        at *= self.lanes
+        at += self.slot[:, :n]
+        self.at = at.astype(np.intp)
+        self.seen = self.table.take(self.at, mode="clip")
+        self.sure = self.seen & 3
+        self.has1 = (self.sure[0] > 0) & (self.seen[0] ^ self.seen[1] > 3)
+        self.state = (self.sure[1] << 3) + (self.sure[0] << 1)
+        self.state += self.has1
+        self.state *= self.lanes
+        self.state += self.lane[:n]
+        shares = self.rows.take(self.state, mode="clip").view(np.int32).reshape(-1, 4)
+        unit = _SHARE.take(shares[:, 0] + shares[:, 1] + shares[:, 2], mode="clip")
         self.part2, self.part1 = unit * shares[:, 0], unit * shares[:, 1]
         self.base = self.part2 + self.part1
         self.step = _UNIT - self.base >> _PART_BITS
 
     def interval(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, order0: Frequencies) -> tuple[np.ndarray, np.ndarray]:
         """Start and width of what is coded: a prediction's part, or the parts of an id that both missed."""
-        hit = hit2 | hit1
-        start = np.where(hit, self.part2 * hit1, self.base + self.step * order0.begin.take(ids))
-        width = np.where(hit, np.where(hit2, self.part2, self.part1), self.step * order0.size.take(ids))
-        return start.view(np.uint64), width.view(np.uint64)
+        start = self.base + self.step * order0.begin.take(ids, mode="clip")
+        width = self.step * order0.size.take(ids, mode="clip")
+        start = np.where(hit2, 0, np.where(hit1, self.part2, start))
+        width = np.where(hit2, self.part2, np.where(hit1, self.part1, width))
+        return start.astype(np.uint64), width.astype(np.uint64)
 
     def learn(self, n: int, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        self.shares[4 * self.state + (2 - 2 * hit2 - hit1)] += _GAIN
+        part = (self.state << 2) + 2
+        part -= hit2.view(np.int8) * np.int8(2) + hit1.view(np.int8)
+        part = part.astype(np.intp)
+        self.shares[part] = self.shares.take(part, mode="clip") + _GAIN
         shifted = ids << 2
-        self.two[self.at2] = shifted + np.minimum(self.sure2 * (self.id2 == ids) + 1, 3)
-        self.one[self.at1] = shifted + np.minimum(self.sure1 * (self.id1 == ids) + 1, 3)
+        same = self.seen ^ shifted < 4
+        gain = np.minimum(self.sure, 2)
+        gain *= same
+        gain += shifted + 1
+        self.table[self.at.ravel()] = gain.ravel()
         self.before[:n], self.last[:n] = self.last[:n], ids
 
 
@@ -117,7 +139,7 @@ def encode(blocks: list[np.ndarray], order0: Frequencies | None = None) -> list[
     """Code blocks of at most BLOCK ids each; the longest come first. Without ``order0`` all ids are alike."""
     lengths = np.array([len(b) for b in blocks])
     lanes, longest, order0 = len(blocks), int(lengths.max(initial=0)), order0 or Frequencies.alike()
-    ids = np.zeros((longest, lanes), dtype=np.int64)
+    ids = np.zeros((longest, lanes), dtype=np.int32)
     for k, block in enumerate(blocks):
         ids[: len(block), k] = block
     model = _Model(lanes)
@@ -127,13 +149,15 @@ def encode(blocks: list[np.ndarray], order0: Frequencies | None = None) -> list[
         n = lanes if lengths[-1] > t else int(np.count_nonzero(lengths > t))
         now = ids[t, :n]
         model.predict(n)
-        hit2 = (model.sure2 > 0) & (model.id2 == now)
-        hit1 = model.has1 & (model.id1 == now)
+        same = model.seen ^ now << 2 < 4
+        hit2, hit1 = same[1] & (model.sure[1] > 0), same[0] & model.has1
         start, width = model.interval(now, hit2, hit1, order0)
         unit, before = span[:n] >> _SCALE, low[:n].copy()
         low[:n] += unit * start
         span[:n] = unit * width
-        _carry(out, at[np.flatnonzero(low[:n] < before)] - 1)
+        over = low[:n] < before
+        if over.any():
+            _carry(out, at[np.flatnonzero(over)] - 1)
         idx = np.flatnonzero(span[:n] < _WORD)
         place, settled = at.take(idx), low.take(idx)
         out[place] = settled >> _U32
@@ -163,16 +187,17 @@ def decode(coded: list[bytes], lengths: list[int], order0: Frequencies | None =
     at = np.cumsum(sizes) - sizes + 2
     code = (data[at - 2] << _U32) | data[at - 1]  # less what lies below the interval
     span = np.full(lanes, np.uint64(0xFFFFFFFFFFFFFFFF))
-    ids, model = np.zeros((longest, lanes), dtype=np.int64), _Model(lanes)
+    ids, model = np.zeros((longest, lanes), dtype=np.int32), _Model(lanes)
     for t in range(longest):
         n = lanes if lengths[-1] > t else int(np.count_nonzero(lengths > t))
         model.predict(n)
         unit = span[:n] >> _SCALE
-        value = np.minimum(code[:n] // unit, np.uint64(_UNIT - 1)).view(np.int64)
+        value = np.minimum(code[:n] // unit, np.uint64(_UNIT - 1)).astype(np.int32)
         hit2 = value < model.part2
         hit1 = ~hit2 & (value < model.base)
-        found = order0.owner.take(((value - model.base) / model.step).astype(np.int64), mode="clip")  # exact: all below 2^31
-        now = np.where(hit2, model.id2, np.where(hit1, model.id1, found))
+        found = order0.owner.take(((value - model.base) / model.step).astype(np.intp), mode="clip")  # exact: all below 2^31
+        told = model.seen >> 2
+        now = np.where(hit2, told[1], np.where(hit1, told[0], found))
         start, width = model.interval(now, hit2, hit1, order0)
         code[:n] -= unit * start
         span[:n] = unit * width

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +27,17 @@ MAGIC = b"TOKMIX2\n"
 #: Ids of a group of blocks coded in step, and of a file.
 GROUP, FILE = coder.LANES * coder.BLOCK, 1 << 24
 _GROUP_HEAD = struct.Struct("<III")
-#: Stretches remembered, and those asked for at once.
+#: Pieces remembered, and those asked for at once.
 _WORDS_KEPT, _TOGETHER = 700_000, 256
 
 # Characters for which splitting here and by the tokenizer's own rules agree: ASCII, Latin letters, some signs.
 _PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ÿĀ-įĲ-ňŊ-ž–—‘’“”…€]*")
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+# The tokenizer's own rule for such a text in lower case; letters come first, as most pieces are of them.
+_PIECES = re.compile(r"[a-zß-öø-ÿā-įĳ-ňŋ-ž]+|'(?:[stmd]|re|ve|ll)|[0-9]|[!-/:-@\[-`{-~–—‘’“”…€]+")
 
 
 class _Words(dict):
-    """Numbers stretches of text in the order of their first use."""
+    """Numbers pieces of text in the order of their first use."""
 
     def __missing__(self, word: str) -> int:
         number = self[word] = len(self)
@@ -45,11 +48,11 @@ class Encoder:
     """Encodes texts with the ``tokenizers`` library.
 
     For a lower-casing tokenizer of words, ``by_word`` asks it for each distinct
-    stretch between white space once: its rules never join those, so a text is
-    the sequence of its stretches' ids. Stretches are asked for many at a time,
-    and told apart by the ids that end a word. Texts with other characters than
-    common ones, or with what may be a special token, go through the library
-    whole.
+    piece once: its rules split texts into pieces, never joining these, so a text
+    is the sequence of its pieces' ids. Pieces are asked for many at a time, with
+    spaces between, and told apart by the ids that end one. Texts with other
+    characters than common ones, or with what may be a special token, go through
+    the library whole.
     """
 
     def __init__(self, path: str, by_word: bool = True):
@@ -64,7 +67,7 @@ class Encoder:
         self.words, self.ids, self.length = _Words(), np.empty(0, dtype=np.uint32), np.empty(0, dtype=np.int64)
 
     def release(self) -> None:
-        """Forget the stretches. A worker process outlives its task, and what it holds is held beside all later stages."""
+        """Forget the pieces. A worker process outlives its task, and what it holds is held beside all later stages."""
         self._clear()
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
@@ -72,11 +75,11 @@ class Encoder:
         return [np.array(e.ids, dtype=np.uint32) for e in found]
 
     def _learn(self, fresh: list[str]) -> None:
-        """Add the ids of new stretches."""
+        """Add the ids of new pieces."""
         made = np.concatenate(self._whole([" ".join(fresh[k : k + _TOGETHER]) for k in range(0, len(fresh), _TOGETHER)]))
-        last, pieces = np.flatnonzero(self.ends[made]), np.cumsum([len(_PIECES.findall(word)) for word in fresh])
-        if len(last) == pieces[-1]:
-            length = np.diff(last[pieces - 1], prepend=-1)
+        last = np.flatnonzero(self.ends[made])
+        if len(last) == len(fresh):
+            length = np.diff(last, prepend=-1)
         else:
             parts = self._whole(fresh)
             made, length = np.concatenate(parts), np.array([len(p) for p in parts])
@@ -86,15 +89,14 @@ class Encoder:
         plain = [self.by_word and _PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
         if len(self.words) > _WORDS_KEPT:
             self._clear()
-        number = self.words.__getitem__
+        number, known = self.words.__getitem__, len(self.words)
         places = []
         for text, simple in zip(texts, plain):
             if simple:
-                parts = text.lower().split()
+                parts = _PIECES.findall(text.lower())
                 places.append(np.fromiter(map(number, parts), dtype=np.int64, count=len(parts)))
-        fresh = list(self.words)[len(self.length) :]
-        if fresh:
-            self._learn(fresh)
+        if len(self.words) > known:
+            self._learn(list(islice(self.words, known, None)))
         begin = np.cumsum(self.length) - self.length
         others = iter(self._whole([t for t, simple in zip(texts, plain) if not simple]))
         found, mine = [], iter(places)
@@ -110,7 +112,8 @@ class Encoder:
 
 @cache
 def _encoder(path: str, by_word: bool) -> Encoder:
-    """One per worker process."""
+    """One per worker process. Spark's tasks are all the parallelism it needs: threads of its own would contend with them."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Encoder(path, by_word)
 
 

@@ -104,3 +104,28 @@ def test_workers_forget_their_words_with_the_task(spark, tmp_path):
             yield batch.set_column(0, "id", __import__("pyarrow").array([len(tokens._encoder(PATH, True).words)] * batch.num_rows, "int64"))
 
     assert {r.id for r in spark.range(0, 64, 1, 16).mapInArrow(held, "id long").collect()} == {0}
+
+
+def test_a_piece_is_asked_of_the_tokenizer_once(monkeypatch):
+    """Each stretch between white space was asked for, so a word was asked again with every sign beside it."""
+    asked, whole = [], tokens.Encoder._whole
+    monkeypatch.setattr(tokens.Encoder, "_whole", lambda self, texts: asked.extend(texts) or whole(self, texts))
+    encoder, texts = tokens.Encoder(PATH), ["Émile, émile. (émile) émile's", "l'émile 42 émile!"]
+    found = encoder.encode(texts) + encoder.encode(texts)
+    assert " ".join(asked).split() == ["émile", ",", ".", "(", ")", "'s", "l", "'", "4", "2", "!"]
+    assert [list(x) for x in found] == 2 * [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_pieces_of_all_plain_characters():
+    letters = [c for c in map(chr, range(0x2100)) if tokens._PLAIN.fullmatch(c)]
+    rng = np.random.default_rng(5)
+    texts = letters + ["".join(rng.choice([*letters, *"''''  \n_stmdrevl"], 40)) for _ in range(2000)]
+    want = [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+    assert [list(x) for x in tokens.Encoder(PATH).encode(texts)] == want
+
+
+def test_blocks_are_coded_as_before():
+    """Files of the same form hold the same bytes, whatever the model's layout in memory."""
+    rng = np.random.default_rng(11)
+    blocks = [np.minimum(rng.zipf(1.3, n), 65535) for n in (1024, 1024, 700)] + [np.arange(90) % 7]
+    assert zlib.crc32(b"".join(coder.encode(blocks))) == 2339217934
